@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, langid, pii, sharding, simhash
+from plumbline.llm import bpe, decontaminate, langid, pii, sharding, simhash
 
 QUERIES = {
     "op1_language": langid.op1_language,
     "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
     "op5_sharding": sharding.op5_sharding,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_simhash": simhash.op9_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_decontaminate": decontaminate.OP7_SQL,
+}
