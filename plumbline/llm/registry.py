@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, decontaminate, langid, pii, sharding, simhash
+from plumbline.llm import bpe, decontaminate, embeddings, langid, pii, secrets, sharding, simhash
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_sharding": sharding.op5_sharding,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_simhash": simhash.op9_simhash,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 SQL: dict[str, str] = {
