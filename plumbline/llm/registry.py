@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from plumbline.llm import bpe, decontaminate, embeddings, langid, pii, secrets, sharding, simhash
 
 QUERIES = {
@@ -13,8 +14,11 @@ QUERIES = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_simhash": simhash.op9_simhash,
     "op10_secrets": secrets.op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
