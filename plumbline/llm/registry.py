@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plumbline.llm import bpe, decontaminate, embeddings, langid, pii, secrets, sharding, simhash
+from plumbline.llm import bpe, decontaminate, embeddings, langid, passages, pii, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_language": langid.op1_language,
+    "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
     "op5_sharding": sharding.op5_sharding,
+    "op6_passages": passages.op6_passages,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_simhash": simhash.op9_simhash,
