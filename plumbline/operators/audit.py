@@ -95,7 +95,7 @@ def summary(scan: DataFrame) -> DataFrame:
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts of row x column, absent ones 0."""
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def cardinality(df: DataFrame, content: str, *keys: str) -> DataFrame:

@@ -14,7 +14,7 @@ def confusion(pred: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def confusion_wide(pred: DataFrame, labels: list[str]) -> DataFrame:
-    return pred.groupBy("true_label").pivot("predicted_label", labels).agg(F.count("*")).na.fill(0)
+    return pred.groupBy("true_label").pivot("predicted_label", labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def accuracy(pred: DataFrame) -> DataFrame:
