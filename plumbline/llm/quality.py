@@ -97,7 +97,8 @@ class CoTrained:
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, added: int = ADDED, sure: float = 0.9) -> CoTrained:
     """Each round, each view labels the pool rows of each class that it is surest of (`added` at most, at
     `sure` at least) for the other view's next fit. A fifth of the labelled rows, in order, takes no
-    part in the fits and calibrates the views' sum."""
+    part in the fits and calibrates each view by a slope and a shift. The views say different things of a
+    row, so their calibrated log-odds add up."""
     if not len(y) or len(set(y.tolist())) < 2:
         p = float(y.mean()) if len(y) else 0.5
         z = float(np.log((p + 1e-3) / (1 - p + 1e-3)))
@@ -125,10 +126,12 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
                 for i in np.argsort(-chance, kind="stable")[:added]:
                     if chance[i] >= sure:
                         given[1 - k].setdefault(int(i), label)
-    logits = np.stack([x[rest] @ w[:-1] + w[-1] for (x, _), w in zip(views, weights, strict=True)], axis=1)
-    scale = np.maximum(np.abs(logits).mean(0), 1e-6)
-    blend = _logistic(logits / scale, y[rest], l2=1e-2, steps=300)
-    blend[:2] = np.maximum(blend[:2], 0) / scale
+    blend = np.zeros(3)
+    for k, ((x, _), w) in enumerate(zip(views, weights, strict=True)):
+        z = x[rest] @ w[:-1] + w[-1]
+        scale = max(float(np.abs(z).mean()), 1e-6)
+        slope, shift = _logistic((z / scale)[:, None], y[rest], l2=1e-2, steps=300)
+        blend[k], blend[2] = max(0.0, slope) / scale, blend[2] + shift
     return CoTrained(weights[0], weights[1], blend)
 
 
