@@ -58,7 +58,7 @@ def buckets(x: np.ndarray, table: int, hashes: int = HASHES, probes: int = PROBE
 
 
 def _entries(nodes: DataFrame, tables: int) -> DataFrame:
-    """(dim, t, bucket, label, rep, v) of each node and bucket."""
+    """(dim, t, bucket, label, node, v) of each node and bucket."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,19 +69,19 @@ def _entries(nodes: DataFrame, tables: int) -> DataFrame:
                     x /= np.abs(x).max(1, keepdims=True)
                     for t in range(tables):
                         for b in buckets(x, t).T:
-                            yield pd.DataFrame({"dim": dim, "t": t, "bucket": b, "label": some["label"], "rep": some["rep"], "v": some["v"]})
+                            yield pd.DataFrame({"dim": dim, "t": t, "bucket": b, "label": some["label"], "node": some["node"], "v": some["v"]})
 
-    return nodes.select("rep", "label", "v").mapInPandas(put, f"dim int, t int, bucket long, label {dict(nodes.dtypes)['label']}, rep {dict(nodes.dtypes)['rep']}, v array<double>")
+    return nodes.select("node", "label", "v").mapInPandas(put, f"dim int, t int, bucket long, label {dict(nodes.dtypes)['label']}, node string, v array<double>")
 
 
-def _verified(groups: DataFrame, least: float, kind: str) -> DataFrame:
+def _verified(groups: DataFrame, least: float) -> DataFrame:
     """(a, b) with a < b from lists of vectors that share a bucket."""
 
-    @F.pandas_udf(f"array<struct<a:{kind},b:{kind}>>")
-    def near(reps: pd.Series, lists: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<a:string,b:string>>")
+    def near(nodes: pd.Series, lists: pd.Series) -> pd.Series:
         out = []
-        for ids, vs in zip(reps, lists, strict=True):
-            ids, x = np.asarray(ids), np.stack(vs).astype(np.float64)
+        for ids, vs in zip(nodes, lists, strict=True):
+            x = np.stack(vs).astype(np.float64)
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
             links = set()
@@ -92,7 +92,7 @@ def _verified(groups: DataFrame, least: float, kind: str) -> DataFrame:
             out.append([{"a": a, "b": b} for a, b in links])
         return pd.Series(out)
 
-    return groups.select(F.explode(near("reps", "vs")).alias("l")).select("l.a", "l.b")
+    return groups.select(F.explode(near("nodes", "vs")).alias("l")).select("l.a", "l.b")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -109,30 +109,31 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES,
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    kind = dict(vectors.dtypes)[id_col]
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     key = [F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.lit(i), "label", "v")).alias(f"k{i}") for i in (1, 2)]
     rows = cut(rows.select("vec_id", "label", "v", *key))
-    nodes = cut(rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
+    rows = rows.withColumn("node", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2"))).drop("k1", "k2")  # null where either is
+    nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
 
-    entries = cut(_entries(nodes.repartition("rep"), tables))
+    entries = cut(_entries(nodes.repartition("node"), tables))
     bucket = ["dim", "t", "bucket", "label"]
     full = entries.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     held = entries.join(full, bucket).withColumn("own", own)
-    held = held.select(*bucket, "rep", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    held = held.groupBy(*bucket, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(F.collect_list("rep").alias("reps"), F.collect_list("v").alias("vs"))
-    links = cut(_verified(held, least, kind).distinct())
+    held = held.select(*bucket, "node", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    held = held.groupBy(*bucket, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(F.collect_list("node").alias("nodes"), F.collect_list("v").alias("vs"))
+    links = cut(_verified(held, least).distinct())
 
-    count = nodes.select("rep", "n")
+    count = nodes.select("node", "n")
     both = links.union(links.select("b", "a"))
-    near = both.join(count.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
-    roots = connected_components(links).select(F.col("node").alias("rep"), "root")
-    label = nodes.select("k1", "k2", "rep", "n").join(near, "rep", "left").join(roots, "rep", "left")
-    label = label.select("k1", "k2", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.select("vec_id", "k1", "k2").join(label, ["k1", "k2"], "left")
+    near = both.join(count.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
+    roots = cut(connected_components(links).join(nodes.select("node", "rep"), "node"))
+    first = roots.join(roots.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
+    label = nodes.select("node", "rep", "n").join(near, "node", "left").join(first, "node", "left")
+    label = label.select("node", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("first", "rep").alias("component_id"))
+    out = rows.select("vec_id", "node").join(label, "node", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 
