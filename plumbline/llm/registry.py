@@ -21,6 +21,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op8_embeddings": embeddings.OP8_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
