@@ -105,3 +105,8 @@ def decisions(members: DataFrame, selected: DataFrame, rules: list[tuple[str, li
         decision, reason = F.when(hit, what).otherwise(decision), F.when(hit, why).otherwise(reason)
     run = F.col("hypothesis").isNotNull()
     return j.select("family", F.when(run, "RUN").otherwise(decision).alias("decision"), F.when(run, F.col("hypothesis")).otherwise(reason).alias("reason"))
+
+
+def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, order): each value once, with the first place it is met at, in that order."""
+    return df.groupBy(value).agg(F.min(order).alias(order)).orderBy(order)

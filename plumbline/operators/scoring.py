@@ -31,6 +31,28 @@ class CentroidScorer:
         return items.crossJoin(c).withColumn("logit", self.distance(F.col("v"), F.col("centroid"))).drop("centroid", "v")
 
 
+class LogisticScorer:
+    """Multinomial logistic regression, fitted on the executors; logits are the model's raw scores."""
+
+    def __init__(self, train: DataFrame, **settings):
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import StringIndexer
+        from pyspark.ml.functions import array_to_vector
+
+        self.index = StringIndexer(inputCol="label", outputCol="idx", stringOrderType="alphabetAsc").fit(train)
+        rows = self.index.transform(train.withColumn("features", array_to_vector("v")))
+        self.model = LogisticRegression(labelCol="idx", featuresCol="features", family="multinomial", **settings).fit(rows)
+
+    def scores(self, items: DataFrame) -> DataFrame:
+        """(items' columns, predicted_label, logit), a row for each label."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        raw = self.model.transform(items.withColumn("features", array_to_vector("v"))).withColumn("raw", vector_to_array("rawPrediction"))
+        names = F.array(*map(F.lit, self.index.labels))
+        out = raw.select(*[c for c in items.columns if c != "v"], F.explode(F.arrays_zip(names.alias("predicted_label"), F.col("raw").alias("logit"))).alias("z"))
+        return out.select(*[c for c in items.columns if c != "v"], "z.predicted_label", "z.logit")
+
+
 def probabilities(scores: DataFrame, key: str) -> DataFrame:
     """scores with `prob`, the softmax of logit over the labels of a key."""
     w = Window.partitionBy(key)

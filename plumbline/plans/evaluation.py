@@ -215,3 +215,12 @@ def vector_distance(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
     return p.select("vec_id", *[F.round(f("x", "y"), 5).alias(n) for n, f in (("dot", lambda a, b: values.dot(F.col(a), F.col(b))), ("euclidean", lambda a, b: values.euclidean(F.col(a), F.col(b))), ("manhattan", lambda a, b: values.manhattan(F.col(a), F.col(b))))])
+
+
+@query()
+def logistic_predict(spark: SparkSession, d: str) -> DataFrame:
+    """(path, predicted_label) of a logistic model; a fitted model, so without SQL."""
+    v = vectors(spark, d)
+    scorer = scoring.LogisticScorer(v.where("split = 'train'"), maxIter=20, regParam=0.01)
+    probs = scoring.probabilities(scorer.scores(v.where("split = 'validation'").select("vec_id", "v")), "vec_id")
+    return scoring.predict(probs, "vec_id").select("vec_id", "predicted_label", F.round("confidence", 4).alias("confidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import contracts, joins, runs, sequence
-from plumbline.plans.registry import query
+from plumbline.plans.registry import SQL, query
 from plumbline.sources.views import HISTORY_SQL, RECEIPTS_SQL, history, receipts, table
 
 R, H = f"WITH {RECEIPTS_SQL}", f"WITH RECURSIVE {HISTORY_SQL}"
@@ -181,3 +181,51 @@ def epoch_means(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "events").select((F.col("user_id") % 9).cast("int").alias("epoch"), F.col("value").alias("loss"), F.expr("event_id % 32 + 1").alias("n"), F.expr("event_id % 7 % (event_id % 32 + 1)").alias("correct"))
     return metrics.batch_means(e).withColumns({"loss": F.round("loss", 6), "accuracy": F.round("accuracy", 6)})
+
+
+_DECIDED = SQL["coverage_decision"]
+
+
+@query(f"SELECT decision, count(*) AS n FROM ({_DECIDED}) GROUP BY 1")
+def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
+    return coverage_decision(spark, d).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{R}, f AS (SELECT DISTINCT candidate AS family FROM receipts), c AS (SELECT DISTINCT candidate AS family FROM receipts WHERE status = 'complete')
+SELECT (SELECT string_agg(family, ',' ORDER BY family) FROM f) AS assigned, (SELECT coalesce(string_agg(family, ',' ORDER BY family), '') FROM c) AS completed,
+  (SELECT count(*) FROM f) = (SELECT count(*) FROM c) AS complete, (SELECT coalesce(string_agg(run_id, ',' ORDER BY run_id), '') FROM receipts WHERE status <> 'complete') AS failed_runs"""
+)
+def handoff(spark: SparkSession, d: str) -> DataFrame:
+    r = receipts(spark, d).withColumn("family", F.col("candidate"))
+    h = runs.handoff(r, r.select("family"))
+    return h.select(*[F.array_join(c, ",").alias(c) for c in ("assigned", "completed", "failed_runs")], "complete")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1")
+def last_status(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
+    return runs.last_status(e).withColumnRenamed("run_id", "user_id")
+
+
+@query("SELECT event_type, min(event_id) AS event_id FROM events GROUP BY 1")
+def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return joins.ordered_distinct(table(spark, d, "events"), "event_type", "event_id")
+
+
+@query(
+    f"""{R}, c AS (SELECT run_id, CASE seed WHEN 0 THEN 'h0' ELSE 'h1' END AS split_hash, candidate AS phase FROM receipts UNION ALL SELECT 'a/b', 'h0', 'x' UNION ALL SELECT 'a/b', 'h0', 'x')
+SELECT 1 AS ord, 'one_split_and_phase' AS "check", CAST(2 AS BIGINT) AS violations UNION ALL SELECT 2, 'unique_run_ids', (SELECT count(*) FROM (SELECT run_id FROM c GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 3, 'run_id_names', (SELECT count(*) FROM c WHERE contains(run_id, '/'))"""
+)
+def comparable_runs(spark: SparkSession, d: str) -> DataFrame:
+    r = receipts(spark, d).select("run_id", F.when(F.col("seed") == 0, "h0").otherwise("h1").alias("split_hash"), F.col("candidate").alias("phase"))
+    bad = spark.createDataFrame([("a/b", "h0", "x")] * 2, r.schema)
+    return contracts.comparable_runs(r.union(bad)).select("ord", "check", "violations")
+
+
+@query("SELECT CAST(i AS INTEGER) AS number FROM range(7) t(i)")
+def search_space(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.operators import scoring
+
+    return scoring.search_space(spark, {"lr": [0.1, 0.01, 0.001], "batch": [32, 64], "augment": ["no", "yes"]}, 7).select("number")

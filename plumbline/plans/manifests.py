@@ -311,3 +311,26 @@ def validated_join(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT d.lang, l.quality, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2")
 def truth_lookup(spark: SparkSession, d: str) -> DataFrame:
     return joins.lookup(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "quality").groupBy("lang", "quality").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{M}, x AS (SELECT path, label, sha FROM manifest WHERE doc_id % 4 = 1), t AS (SELECT sha FROM manifest WHERE doc_id % 4 = 2), c AS (SELECT label, count(*) AS n FROM x GROUP BY 1)
+SELECT 1 AS ord, 'class_count' AS "check", (SELECT count(*) FROM (SELECT count(*) AS n FROM c) WHERE n <> 4) AS violations UNION ALL SELECT 2, 'rows_per_class', (SELECT count(*) FROM c WHERE n <> 50)
+UNION ALL SELECT 3, 'duplicates', (SELECT count(*) FROM (SELECT sha FROM x GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 4, 'in_training', (SELECT count(*) FROM x WHERE sha IN (SELECT sha FROM t))"""
+)
+def external_set(spark: SparkSession, d: str) -> DataFrame:
+    m = manifest(spark, d)
+    return contracts.exact_set(m.where("doc_id % 4 = 1"), 50, 4, m.where("doc_id % 4 = 2")).select("ord", "check", "violations")
+
+
+@query(f"{M} SELECT path, sha AS sha256, sha256(sha) AS actual FROM manifest WHERE doc_id % 23 = 1")
+def content_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    m = manifest(spark, d)
+    return joins.hash_mismatches(m, m.select("path", F.when(F.col("doc_id") % 23 == 1, values.sha256(F.col("sha256"))).otherwise(F.col("sha256")).alias("sha256")))
+
+
+@query("SELECT 1 AS ord, 'ids' AS \"check\", count(*) FILTER (doc_id % 9 = 0) AS violations FROM documents UNION ALL SELECT 2, 'captures', CAST(0 AS BIGINT)")
+def capture_contract(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.when(F.col("doc_id") % 9 == 0, "w 1").otherwise(F.col("source")).alias("writer_id"), F.col("lang").alias("capture_id"), F.col("doc_id").cast("string").alias("path"))
+    return contracts.capture_contract(rows).select("ord", "check", "violations")
