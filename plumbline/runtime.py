@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,20 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+class Stored:
+    """A table written as Parquet in the folder of checkpoints, for rows that a checkpoint would hold in several
+    times the space; drop() removes it once nothing that is still to be computed reads it."""
+
+    def __init__(self, df: DataFrame):
+        sc = df.sparkSession.sparkContext
+        if sc.getCheckpointDir() is None:
+            cut(df.limit(0))
+        self._path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet")
+        df.write.parquet(str(self._path))
+        self.df = df.sparkSession.read.parquet(str(self._path))
+
+    def drop(self) -> None:
+        sc = self.df.sparkSession.sparkContext
+        self._path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(self._path, True)
