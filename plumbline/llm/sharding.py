@@ -55,7 +55,7 @@ def _splitters(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[i
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): every row of docs in one of `shards` shards of near equal bytes.
 
-    A row's size is its text's UTF-8 bytes plus 8 (null: 8). Keys order rows by text, then id, each by
+    A row's size is its text's UTF-8 bytes plus 8 (null: 8, with the CRC of no bytes). Keys order rows by text, then id, each by
     hash. Keys drawn with a chance in proportion to size give quantile boundaries of many more ranges
     than shards; rows are dealt to ranges, ranges of over twice the mean get more boundaries from a
     second sample, and exact range totals then place each row on the line of all bytes, which is cut
@@ -69,7 +69,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.xxhash64(F.lit("text"), F.col(text_col)).alias("h"),
         F.xxhash64(F.lit("row"), F.col(id_col)).alias("g"),
     )
