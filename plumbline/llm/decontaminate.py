@@ -8,17 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.native import let, longs
+from plumbline.llm.native import let, longs, small_side
 from plumbline.runtime import cut
 
 #: Everything that is not in a word: ASCII other than digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a benchmark window, and words of a hashed gram; any WINDOW shared words share a fingerprint.
 WINDOW, GRAM = 10, 5
-#: 64-bit words of a filter of the benchmark's hashes that plans carry at most.
-FILTER_WORDS = 1 << 14
-#: Rows of a benchmark side that are broadcast at most, counted first; more rows are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: 64-bit words of a filter of the benchmark's hashes that plans carry at most, and bits set for a hash.
+FILTER_WORDS, FILTER_BITS = 1 << 15, 3
 
 
 def words_of(text: Column) -> Column:
@@ -43,23 +41,21 @@ def winnowed(hashes: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
 def _filter(hashes: DataFrame, most: int = FILTER_WORDS):
     """A test of a long column or variable that passes every value of hashes.h, and few others while hashes are few.
 
-    A bit table of a size bounded by FILTER_WORDS; with many hashes it passes more and the exact joins
-    after it have more to do, with the same result.
+    A Bloom filter of four words a hash, of a size bounded by FILTER_WORDS; beyond that it passes more
+    and the exact joins after it have more to do, with the same result.
     """
     n = hashes.count()
     size = 1
-    while size < most and size * 4 < n:
+    while size < most and size < n * 4:
         size *= 2
-    at = lambda x: F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(size - 1)).cast("int")
-    bit = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(63)).cast("int")
-    rows = hashes.groupBy(at(F.col("h")).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("b")).collect()
-    table = dict(map(tuple, rows))
+    # 21 bits of the hash for each bit set, more than the 15 + 6 that choose a word and a bit in it
+    word = lambda x, k: F.shiftrightunsigned(x, 21 * k + 6).bitwiseAND(F.lit(size - 1)).cast("int")
+    bit = lambda x, k: F.shiftrightunsigned(x, 21 * k).bitwiseAND(F.lit(63)).cast("int")
+    places = F.explode(F.array(*[F.struct(word(F.col("h"), k).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h"), k)).alias("b")) for k in range(FILTER_BITS)]))
+    table = dict(map(tuple, hashes.select(places.alias("x")).groupBy("x.i").agg(F.bit_or("x.b")).collect()))
     bits = longs([table.get(i, 0) for i in range(size)])
-    return lambda x: F.call_function("shiftrightunsigned", F.get(bits, at(x)), bit(x)).bitwiseAND(F.lit(1)) == 1
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    one = lambda x, k: F.call_function("shiftrightunsigned", F.get(bits, word(x, k)), bit(x, k)).bitwiseAND(F.lit(1)) == 1
+    return lambda x: reduce(Column.__and__, [one(x, k) for k in range(FILTER_BITS)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -69,7 +65,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     inside an occurrence of a window; items lists, sorted, the ids (as strings) of items with one.
 
     Documents and items are winnowed: two texts that share WINDOW words share a fingerprint. Documents
-    are read once; a bit table of the fingerprints drops most of them, an exact join on fingerprints
+    are read once; a filter of the fingerprints drops most of them, an exact join on fingerprints
     more, and only the rest is extended to whole windows, compared word by word. Items shorter than a
     window have no fingerprint but their own hash, which is looked for at every position.
 
@@ -90,7 +86,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = [grams(F.col("hs"), n) for n in short]
     item_prints = items.select(F.explode(reduce(lambda a, i: F.when(F.size("w") == short[i], own[i]).otherwise(a), range(len(short)), let(F.col("hs"), lambda h: winnowed(h)))).alias("h")).distinct()
     item_prints = cut(item_prints)
-    n_prints = item_prints.count()
     passes = _filter(item_prints)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("w"))
@@ -100,18 +95,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     key = ["doc_id", "text_hash"]
     likely = rows.where("prints is not null")
-    met = likely.select(*key, F.explode("prints").alias("h")).join(_small(item_prints, n_prints), "h", "left_semi").groupBy(*key).agg(F.lit(1).alias("met"))
+    met = likely.select(*key, F.explode("prints").alias("h")).join(small_side(item_prints), "h", "left_semi").groupBy(*key).agg(F.lit(1).alias("met"))
     likely = likely.dropDuplicates(key).alias("l").join(met.alias("m"), F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.text_hash") == F.col("m.text_hash")), "left_semi")
 
     windows = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - 1))), lambda i: joined(WINDOW)(F.col("w"), i))).alias("window"))
     windows = cut(windows.groupBy("window").agg(F.collect_set("item").alias("items")))
-    n_windows = windows.count()
     found = likely.select(*key, words_of(F.col("text")).alias("w"))
     hashed = windows.select(_window_hash(F.col("window")).alias("h")).distinct()
     passes = _filter(hashed)
     spans = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), joined(n)(F.col("w"), i).alias("window")))
     every = F.concat(*[F.when(F.size("w") >= n, F.filter(spans(n), lambda s: passes(_window_hash(s["window"])))).otherwise(F.array().cast("array<struct<at:int,n:int,window:string>>")) for n in [*short, WINDOW]])
-    hits = found.select(*key, F.explode(every).alias("s")).select(*key, "s.*").join(_small(windows, n_windows), "window")
+    hits = found.select(*key, F.explode(every).alias("s")).select(*key, "s.*").join(small_side(windows), "window")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("at", "n")), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     hits = hits.groupBy(*key).agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     out = rows.select(*key, "n_words").alias("r").join(hits.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.text_hash") == F.col("h.text_hash")), "left")
@@ -125,6 +119,7 @@ def _window_hash(window: Column) -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a word inside an occurrence of a benchmark window."""
     hit = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__pl_id"), F.col("text_hash").alias("__pl_hash")).distinct()
+    hit = small_side(cut(hit))
     return docs.join(hit, docs[id_col].eqNullSafe(hit["__pl_id"]) & (F.xxhash64(docs[text_col]) == hit["__pl_hash"]), "left_anti")
 
 

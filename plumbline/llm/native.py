@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers or short strings that are broadcast at most, counted first; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it within a lambda."""
@@ -16,3 +19,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def longs(values: list[int]) -> Column:
     """An array<bigint> literal; the number of values must be bounded by the caller."""
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if a count proves it small, else as it is. df should be cut(), as it is computed twice."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df

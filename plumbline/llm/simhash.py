@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.native import small_side
 from plumbline.operators.graph import connected_components
 from plumbline.runtime import cut
 
@@ -148,6 +149,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     twice = groups.where("doc_id = component_id or component_id is null").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     own = docs.withColumns({"__pl_id": F.col(id_col), "__pl_hash": F.xxhash64(F.col(text_col))})
     on = lambda x: own["__pl_id"].eqNullSafe(x["doc_id"]) & (own["__pl_hash"] == x["text_hash"])
+    gone = small_side(cut(gone))
     kept = own.join(gone, on(gone), "left_anti")
     twice = cut(twice)
     if not twice.isEmpty():

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from plumbline.llm import decontaminate
+from plumbline.llm import decontaminate, native
 from tests.compare import rows
 from tests.conftest import SF
 
@@ -54,7 +54,7 @@ def test_random_texts(spark, seed):
 
 
 def test_a_shuffled_benchmark_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(native, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(decontaminate, "FILTER_WORDS", 1)
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     assert got(decontaminate.contamination(docs, items)) == brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
