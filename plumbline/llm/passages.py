@@ -2,9 +2,9 @@
 
 A token is the hash of five words. For a hash function, the compact window (l, c, r) of a document says
 that every run of tokens from i to j with l <= i <= c <= j <= r has its least hash at c: all these
-subsequences share one min-hash. Only windows that hold a whole passage matter, about two for each
-passage length of text, and every repeated passage lies in one such window of each of its documents,
-with equal tokens at c.
+subsequences share one min-hash. Only windows of RUN tokens or more matter, about two for each RUN of
+text, and the longest row of equal tokens of two similar passages lies in one such window of each of
+their documents, with equal tokens at c.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from plumbline.llm.native import small_side
 from plumbline.operators.graph import connected_components
 from plumbline.runtime import Stored, cut
 
-#: Words of a token, words of a passage at least, hash functions. One function finds every passage that stands
-#: unchanged elsewhere; each further one finds more of the edited ones, for as many rows again.
+#: Words of a token, words of a passage at least, hash functions.
 SHINGLE, PASSAGE, HASHES = 5, 50, 1
-#: Tokens of a passage, and tokens beside c that two passages must share as they stand: with this much in
-#: common on one side, phrases that many unrelated documents hold do not fill the join.
+#: Tokens of a passage. Two of SPAN tokens that are SIMILAR share 41, and one edit within takes four or five, so
+#: that RUN of them stand in a row in both (repeats within the passage aside). Windows are those of RUN tokens:
+#: the least hash of such a row is a centre in both documents whatever the hash function, so one is enough.
+#: SIDE tokens beside the centre, on the side where the row holds them, keep common phrases out of the join.
 SPAN = PASSAGE - SHINGLE + 1
-SIDE = 12
+RUN = 21
+SIDE = RUN // 2
 SIMILAR = 0.8
 #: Rounds in which each bucket is held against one of its own; what none of them matched is then held against
 #: one that shares SPAN - STEP + 1 tokens around the centre, at any of the places, STEP apart, that these can have.
@@ -104,7 +106,7 @@ def _keys(text: str | None) -> list[tuple[int, int]]:
         runs ^= runs >> np.uint64(32)
     out = []
     for seed in range(HASHES):
-        for lo, c, hi in compact_windows(_mixed(t, seed)):
+        for lo, c, hi in compact_windows(_mixed(t, seed), RUN):
             if c + SIDE <= hi:
                 out.append((int(runs[c]) ^ seed * 2 + 1, c))
             if c - SIDE >= lo:
@@ -227,8 +229,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rounds, which takes a passage that thousands of documents share in one step; what is left is
     held against one that shares nearly a whole passage with it, if there is one. A passage that
     another document holds as it stands is always found; its span can end a few words early where a
-    third document, not the one it was held against, shares more of it. Edited passages are found where
-    one of their windows keeps its centre.
+    third document, not the one it was held against, shares more of it. Edited passages share a key.
 
     Null, empty and short texts have no passages. Rows with a null id take part and are told apart by
     their text; other columns are not read; an empty table gives an empty result.

@@ -99,6 +99,23 @@ def test_recall_of_edited_passages():
         assert hits >= least * 100
 
 
+def test_shortest_passages_with_one_edit_share_a_key():
+    """50 to 60 words in foreign surroundings, one word changed, taken out or put in at any place, the middle above all."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    around = lambda p: " ".join([word() for _ in range(r.randint(10, 70))] + p + [word() for _ in range(r.randint(10, 70))])
+    for n in (50, 51, 55, 59, 60):
+        for at in [n // 2] * 40 + list(range(n)):
+            p = [word() for _ in range(n)]
+            for q in (p[:at] + [word()] + p[at + 1 :], p[:at] + p[at + 1 :], p[:at] + [word()] + p[at:]):
+                a, b = around(p), around(q)
+                ta, tb = passages.tokens(a)[0], passages.tokens(b)[0]
+                every = [(i, j) for i in range(len(ta)) for j in np.flatnonzero(tb == ta[i]).tolist()]
+                ka, kb = dict(passages._keys(a)), dict(passages._keys(b))
+                got = passages.compare(ta, tb, [(ka[k], kb[k]) for k in ka.keys() & kb.keys()])[0]
+                assert bool(got) == bool(passages.compare(ta, tb, every)[0]), (n, at, len(q))
+
+
 def test_odd_rows(spark, odd, none):
     got = passages.repeated_passages(odd).collect()
     assert len(got) == odd.count()
