@@ -139,22 +139,27 @@ def verify(a: np.ndarray, a_at: int, b: np.ndarray, b_at: int) -> tuple[int, int
     return a_at - most, a_at - least + SPAN, b_at - most, b_at - least + SPAN
 
 
-def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[bool]]:
+def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[bool], list[tuple[int, int]]]:
     """Spans (start and end in a, in b) of similar passages around equal tokens a[i] and b[j] of two documents, and for
-    each pair (i, j) whether it is in one. Runs that are equal as they stand are taken whole."""
+    each pair (i, j) whether it is in one and where, in a, its run of equal tokens starts and ends. Runs that are equal
+    as they stand are taken whole."""
     spans: list[tuple[int, int, int, int]] = []
     good = []
-    runs: dict[int, list[tuple[int, int]]] = {}
+    ends: list[tuple[int, int]] = []
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for i, j in anchors:
         d = j - i
         if d not in runs:
             lo, hi = max(0, -d), min(len(a), len(b) - d)
             edge = np.diff(np.concatenate(([0], (a[lo:hi] == b[lo + d : hi + d]).astype(np.int8), [0])))
-            starts, ends = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo
-            long = ends - starts >= SPAN
-            runs[d] = list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
-            spans += [(s, e, s + d, e + d) for s, e in runs[d]]
-        if any(s <= i < e for s, e in runs[d]):
+            starts, stops = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo
+            long = stops - starts >= SPAN
+            runs[d] = starts, stops
+            spans += [(s, e, s + d, e + d) for s, e in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
+        at = int(np.searchsorted(runs[d][0], i, "right")) - 1
+        s, e = int(runs[d][0][at]), int(runs[d][1][at])
+        ends.append((s, e))
+        if e - s >= SPAN:
             good.append(True)
             continue
         x, y = max(0, i - SPAN + 1), max(0, j - SPAN + 1)
@@ -162,14 +167,23 @@ def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tup
         good.append(got is not None)
         if got:
             spans.append((got[0] + x, got[1] + x, got[2] + y, got[3] + y))
-    return spans, good
+    return spans, good, ends
 
 
-_FOUND = "a long, b long, spans array<struct<a0:int,a1:int,b0:int,b1:int>>, missed array<struct<key:bigint,c:int>>"
+_FOUND = "a long, b long, spans array<struct<a0:int,a1:int,b0:int,b1:int>>, missed array<struct<key:bigint,c:int>>, past array<struct<key:bigint,c:int>>"
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """compare() of pairs (key, a, ca, b, cb), document by document, their texts from texts (th, text)."""
+def _past(a: np.ndarray, b: int, d: int, s: int, e: int) -> list[tuple[int, int]]:
+    """(key, c) of the tokens of a just before and after a run that it shares with document b, at d from there in b.
+
+    Documents that share more with one another than with b leave b at one place with one token.
+    """
+    return [(xxhash.xxh64_intdigest(np.array([b, c + d, side, a[c : c + 1].view(np.int64)[0]], np.int64).tobytes()) - (1 << 63), c) for side, c in ((0, s - 1), (1, e)) if 0 <= c < len(a)]
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, past: bool) -> DataFrame:
+    """compare() of pairs (key, a, ca, b, cb), document by document, their texts from texts (th, text): `missed` are the
+    keys of a that are in no passage, `past` what _past() gives, if asked for."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -178,10 +192,15 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for a, b, anchors, x, y in zip(batch["a"], batch["b"], batch["anchors"], batch["text_a"], batch["text_b"], strict=True):
                 if last[0] != b:
                     last = (b, tokens(y)[0])
-                spans, good = compare(tokens(x)[0], last[1], [(p["ca"], p["cb"]) for p in anchors])
+                ta = tokens(x)[0]
+                spans, good, ends = compare(ta, last[1], [(p["ca"], p["cb"]) for p in anchors])
+                if a == b:  # runs of a document that it has twice, which take over what is found of one for the other
+                    spans, good = [x for x in spans if np.array_equal(ta[x[0] : x[1]], ta[x[2] : x[3]])], [False] * len(good)
                 missed = [{"key": p["key"], "c": p["ca"]} for p, ok in zip(anchors, good, strict=True) if not ok]
-                out.append((a, b, [dict(zip(("a0", "a1", "b0", "b1"), s, strict=True)) for s in spans], missed))
-            yield pd.DataFrame(out, columns=["a", "b", "spans", "missed"])
+                runs = {(p["cb"] - p["ca"], *x) for p, x in zip(anchors, ends, strict=True)} if past else ()
+                beyond = [{"key": k, "c": c} for r in runs for k, c in _past(ta, b, *r)]
+                out.append((a, b, [dict(zip(("a0", "a1", "b0", "b1"), s, strict=True)) for s in spans], missed, beyond))
+            yield pd.DataFrame(out, columns=["a", "b", "spans", "missed", "past"])
 
     grouped = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("key", "ca", "cb")).alias("anchors"))
     grouped = grouped.join(texts.select(F.col("th").alias("a"), F.col("text").alias("text_a")), "a")
@@ -189,31 +208,12 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return grouped.select("a", "b", "anchors", "text_a", "text_b").mapInPandas(judge, _FOUND)
 
 
-def _further(occurrences: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, th, c, sub): for each occurrence the hashes of the runs of SPAN - STEP + 1 tokens around c that end 0,
-    STEP, 2 STEP ... tokens after it, or start with it.
-
-    Two passages that share SPAN tokens with c among them share one of these runs at least; and two that
-    share such a run are similar passages, so that one of a group stands for all.
-    """
-
-    def subs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = SPAN - STEP + 1
-        for batch in batches:
-            out = []
-            for th, text, hits in zip(batch["th"], batch["text"], batch["hits"], strict=True):
-                t, _ = tokens(text)
-                for x in hits:
-                    c = x["c"]
-                    for right in (*range(0, size - 1, STEP), size - 1):
-                        start = c + right - size + 1
-                        if start >= 0 and c + right < len(t):
-                            out.append((x["key"], th, c, xxhash.xxh64_intdigest(t[start : start + size].tobytes(), right)))
-            frame = pd.DataFrame(out, columns=["key", "th", "c", "sub"])
-            yield frame.assign(sub=np.array(frame["sub"].tolist(), np.uint64).view(np.int64))
-
-    grouped = occurrences.groupBy("th").agg(F.collect_list(F.struct("key", "c")).alias("hits")).join(texts, "th")
-    return grouped.select("th", "text", "hits").mapInPandas(subs, "key long, th long, c int, sub long")
+def _against(rows: DataFrame, seed: int, group: str = "key") -> DataFrame:
+    """pairs (key, a, ca, b, cb) of each of rows (key, th, c) with one of its group, where a group is of two documents or more."""
+    place = F.struct(F.xxhash64(F.lit(seed), "th").alias("o"), F.xxhash64(F.lit(seed), "th", "c").alias("p"), "th", "c")
+    leaders = rows.groupBy(group).agg(F.min(place).alias("lo"), F.max("th").alias("most"), F.min("th").alias("least")).where("least <> most")
+    led = rows.join(leaders.select(group, "lo"), group).where("th <> lo.th or c <> lo.c")
+    return led.select("key", F.col("th").alias("a"), F.col("c").alias("ca"), F.col("lo.th").alias("b"), F.col("lo.c").alias("cb"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,11 +225,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reachable from document to document over such passages.
 
     Equal texts are one node: a text of PASSAGE words or more that occurs in two rows is a repeated
-    passage as a whole. Occurrences of one min-hash are held against one of another document for ROUNDS
-    rounds, which takes a passage that thousands of documents share in one step; what is left is
-    held against one that shares nearly a whole passage with it, if there is one. A passage that
-    another document holds as it stands is always found; its span can end a few words early where a
-    third document, not the one it was held against, shares more of it. Edited passages share a key.
+    passage as a whole. Occurrences of one key are held against one of them for ROUNDS rounds, which takes
+    a passage that thousands of documents share in one step. Those that leave that one at the same place
+    with the same token are a group again, until no group holds two documents, so all words of every
+    passage that another document holds as it stands are reported. Edited passages share a key; their
+    spans can end a few words early where another document than the one held against shares more.
 
     Null, empty and short texts have no passages. Rows with a null id take part and are told apart by
     their text; other columns are not read; an empty table gives an empty result.
@@ -255,28 +255,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # one row for each text; repeated rows of one id, which give the same result twice, are few or are made one by the spans' distinct()
     source = rows.alias("r").join(wanted.alias("w"), (F.col("r.th") == F.col("w.th")) & F.col("r.doc_id").eqNullSafe(F.col("w.rep"))).select("r.th", "r.text")
 
-    other = F.when(F.col("th") == F.col("lo.th"), F.col("hi")).otherwise(F.col("lo"))  # a leader that is another text
-    against = lambda led: led.select("key", F.col("th").alias("a"), F.col("c").alias("ca"), other["th"].alias("b"), other["c"].alias("cb"))
+    listed = lambda judged, c: judged.select(F.explode(c).alias("m"), F.col("a").alias("th")).select("m.key", "th", "m.c").distinct()
     results, rest = [], occurrences
     for i in range(ROUNDS):
-        place = F.struct(F.xxhash64(F.lit(i), "th").alias("o"), F.xxhash64(F.lit(i), "th", "c").alias("p"), "th", "c")
-        leaders = rest.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.th <> hi.th")
-        judged = cut(_compared(against(rest.join(leaders, "key")), source))
-        results.append(judged)
-        rest = cut(judged.select(F.explode("missed").alias("m"), F.col("a").alias("th")).select("m.key", "th", "m.c").distinct())
-        if rest.isEmpty():
+        results.append(cut(_compared(_against(rest, i), source, i == 0)))
+        rest = listed(results[-1], "missed")
+    past, i = listed(results[0], "past"), ROUNDS
+    while True:  # a group that left a document together has one in its place, so groups shrink until none is of two
+        judged = cut(_compared(_against(past, i), source, True))
+        if judged.isEmpty():
             break
-    else:
-        near = occurrences.join(rest.select("key").distinct(), "key", "left_semi")
-        subs = cut(_further(near, source))
-        place = F.struct(F.xxhash64("th").alias("o"), "th", "c")
-        leaders = subs.groupBy("key", "sub").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.th <> hi.th")
-        left = subs.join(rest, ["key", "th", "c"], "left_semi").join(leaders, ["key", "sub"])
-        results.append(cut(_compared(against(left).distinct(), source)))
+        results.append(judged)
+        past, i = listed(judged, "past"), i + 1
     found = cut(reduce(DataFrame.union, results).select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.explode("spans").alias("s")).select("ta", "tb", "s.*").distinct())
+    twice, found = found.where("ta = tb"), found.where("ta <> tb")
 
     span = lambda t, lo, hi: found.select(F.col(t).alias("th"), F.struct(F.col(lo).alias("s"), (F.col(hi) + SHINGLE - 1).alias("e")).alias("x"))
     spans = span("ta", "a0", "a1").union(span("tb", "b0", "b1"))
+    lo, hi = F.greatest("b0", "x.s"), F.least("b1", F.col("x.e") - (SHINGLE - 1))
+    again = twice.join(spans, F.col("ta") == F.col("th")).where(hi - lo >= SPAN)
+    spans = spans.union(again.select("th", F.struct((lo + F.col("a0") - F.col("b0")).alias("s"), (hi + F.col("a0") - F.col("b0") + SHINGLE - 1).alias("e")).alias("x")))
     spans = spans.union(nodes.where(f"n > 1 and n_words >= {PASSAGE}").select("th", F.struct(F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e")).alias("x")))
     spans = spans.distinct().groupBy("th").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     begin = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))

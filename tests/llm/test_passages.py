@@ -99,6 +99,30 @@ def test_recall_of_edited_passages():
         assert hits >= least * 100
 
 
+def test_every_word_of_exact_passages_is_reported(spark):
+    """Also where most documents hold a passage and some a longer form of it, on one side or both, in several steps."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    docs = {}
+    for _ in range(12):
+        before, core, after = text(40), text(60), text(40)
+        for _ in range(24):
+            lo, hi = r.choice((0, 0, 3, 5, 10, 20, 33)), r.choice((0, 0, 4, 5, 10, 20, 33))
+            passage = before[len(before) - lo :] + core + after[:hi]
+            docs[len(docs)] = " ".join(text(r.randint(5, 80)) + passage * r.choice((1, 1, 1, 2)) + text(r.randint(5, 80)))
+    want = covered(docs)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for x in passages.repeated_passages(df).collect():
+        assert want[x.doc_id] <= words(x) and x.n_repeated_words == len(words(x))
+
+
+def test_every_word_of_exact_passages_in_sample(spark):
+    sf = "/root/testdata/sf0.01"
+    want = covered({r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()})
+    assert all(want[r.doc_id] <= words(r) for r in passages.op6_passages(spark, sf).collect())
+
+
 def test_shortest_passages_with_one_edit_share_a_key():
     """50 to 60 words in foreign surroundings, one word changed, taken out or put in at any place, the middle above all."""
     r = random.Random(2)
