@@ -33,9 +33,10 @@ SPAN = PASSAGE - SHINGLE + 1
 RUN = 21
 SIDE = RUN // 2
 SIMILAR = 0.8
-#: Rounds in which each bucket is held against one of its own; what none of them matched is then held against
-#: one that shares SPAN - STEP + 1 tokens around the centre, at any of the places, STEP apart, that these can have.
-ROUNDS, STEP = 3, 5
+SHARED = 41
+#: Rounds in which each bucket is held against one of its own; what none of them matched is then joined with all of
+#: its bucket that share enough tokens more.
+ROUNDS = 3
 _REMEMBERED = 500_000
 _words: dict[bytes, int] = {}
 
@@ -170,7 +171,7 @@ def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tup
     return spans, good, ends
 
 
-_FOUND = "a long, b long, spans array<struct<a0:int,a1:int,b0:int,b1:int>>, missed array<struct<key:bigint,c:int>>, past array<struct<key:bigint,c:int>>"
+_FOUND = "a long, b long, spans array<struct<a0:int,a1:int,b0:int,b1:int>>, missed array<struct<key:bigint,c:int,s:int,e:int>>, past array<struct<key:bigint,c:int>>"
 
 
 def _past(a: np.ndarray, b: int, d: int, s: int, e: int) -> list[tuple[int, int]]:
@@ -183,7 +184,7 @@ def _past(a: np.ndarray, b: int, d: int, s: int, e: int) -> list[tuple[int, int]
 
 def _compared(pairs: DataFrame, texts: DataFrame, past: bool) -> DataFrame:
     """compare() of pairs (key, a, ca, b, cb), document by document, their texts from texts (th, text): `missed` are the
-    keys of a that are in no passage, `past` what _past() gives, if asked for."""
+    keys of a that are in no passage, with the run there, `past` what _past() gives, if asked for."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
@@ -196,7 +197,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, past: bool) -> DataFrame:
                 spans, good, ends = compare(ta, last[1], [(p["ca"], p["cb"]) for p in anchors])
                 if a == b:  # runs of a document that it has twice, which take over what is found of one for the other
                     spans, good = [x for x in spans if np.array_equal(ta[x[0] : x[1]], ta[x[2] : x[3]])], [False] * len(good)
-                missed = [{"key": p["key"], "c": p["ca"]} for p, ok in zip(anchors, good, strict=True) if not ok]
+                missed = [{"key": p["key"], "c": p["ca"], "s": s, "e": e} for p, ok, (s, e) in zip(anchors, good, ends, strict=True) if not ok]
                 runs = {(p["cb"] - p["ca"], *x) for p, x in zip(anchors, ends, strict=True)} if past else ()
                 beyond = [{"key": k, "c": c} for r in runs for k, c in _past(ta, b, *r)]
                 out.append((a, b, [dict(zip(("a0", "a1", "b0", "b1"), s, strict=True)) for s in spans], missed, beyond))
@@ -216,6 +217,54 @@ def _against(rows: DataFrame, seed: int, group: str = "key") -> DataFrame:
     return led.select("key", F.col("th").alias("a"), F.col("c").alias("ca"), F.col("lo.th").alias("b"), F.col("lo.c").alias("cb"))
 
 
+def _around(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sub, key, th, c, w): for each of rows (key, th, c, s, e) the hashes of key and each token less than SPAN from c;
+    w is how often the token stands there outside of the run from s to e, 0 where there is no run."""
+
+    def subs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for th, text, hits in zip(batch["th"], batch["text"], batch["hits"], strict=True):
+                t, _ = tokens(text)
+                for x in hits:
+                    at = np.arange(max(0, x["c"] - SPAN + 1), min(len(t), x["c"] + SPAN))
+                    token, place = np.unique(_mixed(t[at], x["key"]), return_inverse=True)
+                    out = np.zeros(len(at)) if x["s"] is None else (at < x["s"]) | (at >= x["e"])
+                    yield pd.DataFrame({"sub": token.view(np.int64), "key": x["key"], "th": th, "c": x["c"], "w": np.bincount(place, out).astype(np.int32)})
+
+    grouped = rows.groupBy("th").agg(F.collect_list(F.struct("key", "c", "s", "e")).alias("hits")).join(texts, "th")
+    return grouped.select("th", "text", "hits").mapInPandas(subs, "sub long, key long, th long, c int, w int")
+
+
+def _left_over(rest: DataFrame, occurrences: DataFrame, source: DataFrame) -> list[DataFrame]:
+    """_compared() of rest, occurrences in no passage with the one of their key that they were held against, with all of
+    their key that can be similar.
+
+    Similar passages share SHARED tokens; those outside of the run with the one held against are a few at
+    least, or it would be similar as well. So partners are joined by these tokens, not by the key alone,
+    and counted; unrelated documents around a common phrase share none.
+    """
+    one = ["key", "th", "c"]
+    near = occurrences.join(rest.select("key").distinct(), "key", "left_semi").join(rest, one, "left")
+    every = Stored(_around(near, source))
+    shared = every.df.groupBy("sub").agg(F.min("th").alias("least"), F.max("th").alias("most"), F.max("w").alias("w")).where("least <> most and w > 0").select("sub")
+    subs = every.df.join(shared, "sub")
+    need = rest.select(*one, (F.lit(SHARED) - F.col("e") + F.col("s")).alias("need"))
+    live = cut(subs.where("w > 0").groupBy(*one).agg(F.sum("w").alias("w")).join(need, one).where("w >= need").select(*one, "need"))
+    subs = cut(subs.join(live.select("key").distinct(), "key", "left_semi"))
+    every.drop()
+    asking = subs.where("w > 0").join(live, one).select("key", F.col("th").alias("a"), F.col("c").alias("ca"), "sub", "w", "need")
+
+    first = _against(subs, ROUNDS, "sub").distinct().join(live.select("key", F.col("th").alias("a"), F.col("c").alias("ca")), ["key", "a", "ca"], "left_semi")
+    first = cut(first.where("a <> b"))
+    judged = cut(_compared(first, source, False))
+    tried = first.groupBy("key", "a", "ca").agg(F.count("*").alias("n"))
+    missed = judged.select("a", F.explode("missed").alias("m")).groupBy("m.key", "a", F.col("m.c").alias("ca")).agg(F.count("*").alias("missed"))
+    done = tried.join(missed, ["key", "a", "ca"], "left").where("coalesce(missed, 0) < n")
+    pairs = asking.join(done, ["key", "a", "ca"], "left_anti").join(subs.select("sub", F.col("th").alias("b"), F.col("c").alias("cb")), "sub").where("a <> b")
+    pairs = pairs.groupBy("key", "a", "ca", "b", "cb").agg(F.sum("w").alias("w"), F.first("need").alias("need")).where("w >= need")
+    return [judged, cut(_compared(pairs.join(first, ["key", "a", "ca", "b", "cb"], "left_anti"), source, False))]
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_passages, n_repeated_words, spans, component_id) for every row of docs.
 
@@ -255,7 +304,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # one row for each text; repeated rows of one id, which give the same result twice, are few or are made one by the spans' distinct()
     source = rows.alias("r").join(wanted.alias("w"), (F.col("r.th") == F.col("w.th")) & F.col("r.doc_id").eqNullSafe(F.col("w.rep"))).select("r.th", "r.text")
 
-    listed = lambda judged, c: judged.select(F.explode(c).alias("m"), F.col("a").alias("th")).select("m.key", "th", "m.c").distinct()
+    listed = lambda judged, c: judged.select(F.explode(c).alias("m"), F.col("a").alias("th")).select("m.*", "th").distinct()
     results, rest = [], occurrences
     for i in range(ROUNDS):
         results.append(cut(_compared(_against(rest, i), source, i == 0)))
@@ -267,6 +316,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             break
         results.append(judged)
         past, i = listed(judged, "past"), i + 1
+    rest = cut(rest)
+    if not rest.isEmpty():
+        results += _left_over(rest, occurrences, source)
     found = cut(reduce(DataFrame.union, results).select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.explode("spans").alias("s")).select("ta", "tb", "s.*").distinct())
     twice, found = found.where("ta = tb"), found.where("ta <> tb")
 

@@ -117,6 +117,26 @@ def test_every_word_of_exact_passages_is_reported(spark):
         assert want[x.doc_id] <= words(x) and x.n_repeated_words == len(words(x))
 
 
+def test_edited_passages_around_a_common_phrase(spark):
+    """Every pair is found, although hundreds of unrelated documents hold the 30 words that its keys lie in."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    phrase, docs = text(30), {}
+    for i in range(100):
+        side = r.choice((1, -1))
+        p = (phrase + text(24)) if side > 0 else text(24) + phrase
+        q = list(p)
+        q[32 if side > 0 else -33] = word()
+        docs[2 * i], docs[2 * i + 1] = (" ".join(text(30) + x + text(30)) for x in (p, q))
+    for i in range(200, 500):
+        docs[i] = " ".join(text(40) + phrase + text(40))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {x.doc_id: x for x in passages.repeated_passages(df).collect()}
+    assert [i for i in range(200) if got[i].component_id != i - i % 2 or got[i].n_repeated_words < 45] == []
+    assert all(got[i].n_passages == 0 for i in range(200, 500))
+
+
 def test_every_word_of_exact_passages_in_sample(spark):
     sf = "/root/testdata/sf0.01"
     want = covered({r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()})
