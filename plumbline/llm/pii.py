@@ -24,7 +24,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
 #: After a cue: an optional type word and separators, then the identifier.
 _IBAN = re.compile(r"[\x20:#=.-]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_SOCIAL = re.compile(r"[\x20:#=.-]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+_SOCIAL = re.compile(r"(?:\x20?(?:[Nn]umber|NUMBER|[Nn]o\.?|[Nn]r\.?))?[\x20:#=.-]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _NUMBER = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?))?[\x20:#=]{0,4}([0-9](?:[\x20-]?[0-9]){7,17})(?![0-9])")
 _USER = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 #: Cues and the parser for what follows them; fixed values.
@@ -56,7 +56,7 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(d, ("digit", 1))
         a.add_word(f"+{d}", ("plus", 2))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
+        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             a.add_word(form, (cue, len(form)))
     a.make_automaton()
     return a

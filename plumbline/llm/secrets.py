@@ -24,7 +24,7 @@ _RULES = {
     "access": (r"AKIA[A-Z0-9]{14,}+", None, None, "id"),
     "hex": (r"[0-9a-f]{16,}+", None, None, None),
     "weak_access": (r"(?<![A-Z0-9])(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{12,28})(?![A-Z0-9])", None, None, "id"),
-    "weak_secret": (r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=_.-])", None, None, "secret"),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=_-]|\.\S)", None, None, "secret"),
     "endpoint": (r"https?://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?", None, None, "endpoint"),
 }
 _HIT = "array<struct<kind:string,i:int,gap:int,len:int,ok:boolean>>"

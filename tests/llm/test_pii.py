@@ -52,3 +52,8 @@ def test_odd_rows(spark, odd, none):
     got = pii.mask_personal(odd)
     assert got.columns == odd.columns and got.exceptAll(odd).count() == 0
     assert pii.find("1" * 6000 + ".1.1.1") == [] and pii.find("0" * 5000 + "1.1.1.1")[0][0] == "ip"
+
+
+def test_social_security_cues_in_title_case_and_with_number():
+    for cue in ("Social Security number: ", "Social Security Number ", "social security no. ", "SOCIAL SECURITY NUMBER: ", "Social security ", "SSN number "):
+        assert ("account", len(cue), len(cue) + 11) in pii.find(f"{cue}123-45-6789 end"), cue

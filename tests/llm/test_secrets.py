@@ -49,6 +49,13 @@ def test_weak_candidates_need_their_complement(spark):
     assert got == {1: ["weak_access", "weak_secret", "endpoint"], 2: [], 3: [], 4: [], 5: [], 6: [], 7: ["weak_access", "assign"], 8: ["weak_secret", "access", "endpoint"], 9: ["weak_access", "weak_secret"]}
 
 
+def test_weak_secrets_of_env_files_and_sentences(spark):
+    key, bare, host = "AKIA" + "Z" * 16, "aB3" * 13 + "x", "https://api.example.com"
+    rows = [(1, f"{key} aws_secret_access_key={bare}"), (2, f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={bare}\nURL={host}"), (3, f"{key} with {bare}. And"), (4, f"{key} with {bare}."), (5, f"{key} with {bare}.x"), (6, f"aws_secret_access_key={bare}")]
+    got = {x.doc_id: [k for k, _, _ in spans(x)] for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["access", "weak_secret"], 2: ["access", "weak_secret", "endpoint"], 3: ["access", "weak_secret"], 4: ["access", "weak_secret"], 5: ["access"], 6: []}
+
+
 def test_odd_rows(spark, odd, none):
     got = secrets.find_secrets(odd).collect()
     assert len(got) == odd.count() and all(spans(r) == [] for r in got)
