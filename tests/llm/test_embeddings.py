@@ -70,3 +70,16 @@ def test_query(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     found = embeddings.op8_embeddings(spark, SF)
     assert got(found) == brute(rows) and found.where("kept <> (vec_id = component_id)").count() == 0
+
+
+def test_pairs_at_the_threshold_share_a_bucket():
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(2, 10_000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.sqrt((y * y).sum(1, keepdims=True))
+    met = np.zeros(len(x), bool)
+    for t in range(embeddings.TABLES):
+        a, b = embeddings.buckets(x, t), embeddings.buckets(y, t)
+        met |= (a[:, :, None] == b[:, None, :]).any((1, 2))
+    assert met.all()
