@@ -140,14 +140,15 @@ def verify(a: np.ndarray, a_at: int, b: np.ndarray, b_at: int) -> tuple[int, int
     return a_at - most, a_at - least + SPAN, b_at - most, b_at - least + SPAN
 
 
-def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[bool], list[tuple[int, int]]]:
+def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], near: bool = True) -> tuple[list[tuple[int, int, int, int]], list[bool], list[tuple[int, int]]]:
     """Spans (start and end in a, in b) of similar passages around equal tokens a[i] and b[j] of two documents, and for
     each pair (i, j) whether it is in one and where, in a, its run of equal tokens starts and ends. Runs that are equal
-    as they stand are taken whole."""
+    as they stand are taken whole, and are the only ones where near is not set."""
     spans: list[tuple[int, int, int, int]] = []
     good = []
     ends: list[tuple[int, int]] = []
     runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    known = np.concatenate(([0], np.cumsum(np.isin(a, b)))) if near else None
     for i, j in anchors:
         d = j - i
         if d not in runs:
@@ -164,6 +165,10 @@ def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tup
             good.append(True)
             continue
         x, y = max(0, i - SPAN + 1), max(0, j - SPAN + 1)
+        held = known[x : i + SPAN + 1] if near else ()
+        if len(held) <= SPAN or (held[SPAN:] - held[:-SPAN]).max() < SHARED:  # no SPAN tokens of a around i of which b has as many
+            good.append(False)
+            continue
         got = verify(a[x : i + SPAN], i - x, b[y : j + SPAN], j - y)
         good.append(got is not None)
         if got:
@@ -182,7 +187,7 @@ def _past(a: np.ndarray, b: int, d: int, s: int, e: int) -> list[tuple[int, int]
     return [(xxhash.xxh64_intdigest(np.array([b, c + d, side, a[c : c + 1].view(np.int64)[0]], np.int64).tobytes()) - (1 << 63), c) for side, c in ((0, s - 1), (1, e)) if 0 <= c < len(a)]
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, past: bool) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, past: bool, near: bool = True) -> DataFrame:
     """compare() of pairs (key, a, ca, b, cb), document by document, their texts from texts (th, text): `missed` are the
     keys of a that are in no passage, with the run there, `past` what _past() gives, if asked for."""
 
@@ -194,7 +199,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, past: bool) -> DataFrame:
                 if last[0] != b:
                     last = (b, tokens(y)[0])
                 ta = tokens(x)[0]
-                spans, good, ends = compare(ta, last[1], [(p["ca"], p["cb"]) for p in anchors])
+                spans, good, ends = compare(ta, last[1], [(p["ca"], p["cb"]) for p in anchors], near)
                 if a == b:  # runs of a document that it has twice, which take over what is found of one for the other
                     spans, good = [x for x in spans if np.array_equal(ta[x[0] : x[1]], ta[x[2] : x[3]])], [False] * len(good)
                 missed = [{"key": p["key"], "c": p["ca"], "s": s, "e": e} for p, ok, (s, e) in zip(anchors, good, ends, strict=True) if not ok]
@@ -221,15 +226,27 @@ def _around(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(sub, key, th, c, w): for each of rows (key, th, c, s, e) the hashes of key and each token less than SPAN from c;
     w is how often the token stands there outside of the run from s to e, 0 where there is no run."""
 
+    def table(parts: list) -> pd.DataFrame:
+        sub, key, th, c, w = zip(*parts, strict=True)
+        size = [len(x) for x in sub]
+        wide = {k: np.repeat(np.array(v, np.int64), size) for k, v in (("key", key), ("th", th), ("c", c))}
+        return pd.DataFrame({"sub": np.concatenate(sub), **wide, "w": np.concatenate(w)}).astype({"c": np.int32})
+
     def subs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for th, text, hits in zip(batch["th"], batch["text"], batch["hits"], strict=True):
                 t, _ = tokens(text)
                 for x in hits:
                     at = np.arange(max(0, x["c"] - SPAN + 1), min(len(t), x["c"] + SPAN))
                     token, place = np.unique(_mixed(t[at], x["key"]), return_inverse=True)
                     out = np.zeros(len(at)) if x["s"] is None else (at < x["s"]) | (at >= x["e"])
-                    yield pd.DataFrame({"sub": token.view(np.int64), "key": x["key"], "th": th, "c": x["c"], "w": np.bincount(place, out).astype(np.int32)})
+                    parts.append((token.view(np.int64), x["key"], th, x["c"], np.bincount(place, out).astype(np.int32)))
+                    if len(parts) == 2000:
+                        yield table(parts)
+                        parts = []
+            if parts:
+                yield table(parts)
 
     grouped = rows.groupBy("th").agg(F.collect_list(F.struct("key", "c", "s", "e")).alias("hits")).join(texts, "th")
     return grouped.select("th", "text", "hits").mapInPandas(subs, "sub long, key long, th long, c int, w int")
@@ -311,7 +328,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rest = listed(results[-1], "missed")
     past, i = listed(results[0], "past"), ROUNDS
     while True:  # a group that left a document together has one in its place, so groups shrink until none is of two
-        judged = cut(_compared(_against(past, i), source, True))
+        judged = cut(_compared(_against(past, i), source, True, False))
         if judged.isEmpty():
             break
         results.append(judged)
