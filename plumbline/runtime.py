@@ -25,29 +25,44 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "p
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
-    The files go to the folder in spark.checkpoint.dir, which all executors share. Only where the
-    setting is absent (tests, notebooks) a temporary folder of this machine is used.
+    Only a local session without the setting (tests, notebooks) gets a temporary folder of this machine; on
+    a cluster that would be another folder on each machine, so it is an error there.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in checkpoint_dir()."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 class Stored:
-    """A table written as Parquet in the folder of checkpoints, for rows that a checkpoint would hold in several
-    times the space; drop() removes it once nothing that is still to be computed reads it."""
+    """A table written as Parquet in checkpoint_dir(), for rows that a checkpoint would hold in several times the
+    space; drop() removes it once nothing that is still to be computed reads it. The shuffle files of its
+    computation go when it is written."""
+
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, df: DataFrame):
-        sc = df.sparkSession.sparkContext
-        if sc.getCheckpointDir() is None:
-            cut(df.limit(0))
-        self._path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet")
-        df.write.parquet(str(self._path))
-        self.df = df.sparkSession.read.parquet(str(self._path))
+        spark = df.sparkSession
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}.parquet")
+        before = spark.conf.get(self._CLEAN, "false")
+        spark.conf.set(self._CLEAN, "true")
+        try:
+            df.write.parquet(str(self._path))
+        finally:
+            spark.conf.set(self._CLEAN, before)
+        self.df = spark.read.parquet(str(self._path))
 
     def drop(self) -> None:
         sc = self.df.sparkSession.sparkContext
