@@ -1,44 +1,46 @@
 """Near-duplicate passages across documents by compact windows.
 
-A token is the hash of five words. For a hash function, the compact window (l, c, r) of a document says
-that every run of tokens from i to j with l <= i <= c <= j <= r has its least hash at c: all these
-subsequences share one min-hash. Only windows of RUN tokens or more matter, about two for each RUN of
-text, and the longest row of equal tokens of two similar passages lies in one such window of each of
-their documents, with equal tokens at c.
+A token is the hash of five words, a passage a run of SPAN tokens. For a hash function, the compact window
+(l, c, r) of a document says that every run of tokens from i to j with l <= i <= c <= j <= r has its least hash
+at c: all these runs share one min-hash, the window's signature. The windows of a document are the nodes of the
+Cartesian tree over its hashes whose subtrees hold a passage, about two for each SPAN tokens.
+
+Windows with a signature that another document has are interval-joined within their document: where windows of
+two hash functions hold the same passage, the two signatures are a key. Documents with a key in common are
+candidates there, and their passages are compared token by token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.batches import small_batches
 from plumbline.llm.native import small_side
 from plumbline.operators.graph import connected_components
 from plumbline.runtime import Stored, cut
 
-#: Words of a token, words of a passage at least, hash functions.
-SHINGLE, PASSAGE, HASHES = 5, 50, 1
-#: Tokens of a passage. Two of SPAN tokens that are SIMILAR share 41, and one edit within takes four or five, so
-#: that RUN of them stand in a row in both (repeats within the passage aside). Windows are those of RUN tokens:
-#: the least hash of such a row is a centre in both documents whatever the hash function, so one is enough.
-#: SIDE tokens beside the centre, on the side where the row holds them, keep common phrases out of the join.
+#: Words of a token, words of a passage at least, hash functions; passages of two functions' common min-hashes are
+#: compared. Of four functions each agrees with a chance equal to the similarity, so at 0.8 two do with 97 %.
+SHINGLE, PASSAGE, HASHES = 5, 50, 4
+#: Tokens of a passage, and their Jaccard similarity at least.
 SPAN = PASSAGE - SHINGLE + 1
-RUN = 21
-SIDE = RUN // 2
 SIMILAR = 0.8
-SHARED = 41
-#: Rounds in which each bucket is held against one of its own; what none of them matched is then joined with all of
-#: its bucket that share enough tokens more.
-ROUNDS = 3
+#: Distinct tokens that two passages without repeated ones share at least.
+SHARED = int(np.ceil(2 * SPAN * SIMILAR / (1 + SIMILAR)))
+#: Passages of one key that a task compares with one another; a larger group is compared block by block.
+BLOCK = 4096
 _REMEMBERED = 500_000
 _words: dict[bytes, int] = {}
+_PLACES = np.uint64((1 << 30) - 1)
 
 
 def tokens(text: str | None) -> tuple[np.ndarray, int]:
@@ -52,12 +54,16 @@ def tokens(text: str | None) -> tuple[np.ndarray, int]:
     for w in set(found).difference(known):
         known[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    n = len(h) - SHINGLE + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+    return _chained(h, SHINGLE), len(found)
+
+
+def _chained(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive values."""
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for i in range(n):
+        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out, len(found)
+    return out
 
 
 def _mixed(t: np.ndarray, seed: int) -> np.ndarray:
@@ -65,224 +71,270 @@ def _mixed(t: np.ndarray, seed: int) -> np.ndarray:
     return t ^ t >> np.uint64(31)
 
 
-def compact_windows(hashes: np.ndarray, span: int = SPAN) -> list[tuple[int, int, int]]:
-    """(l, c, r) of every window of `span` tokens or more, r included; of equal hashes the first is the least.
+def compact_windows(hashes: np.ndarray, span: int = SPAN, ends: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(l, c, r) of every window of `span` hashes or more, r included; of equal hashes the first is the least.
 
-    Sliding minima, by doubling, give the centres; the bounds come from the Cartesian tree of the
-    centres alone, as the nearest smaller token on either side of a centre is a centre too.
+    `ends` are the ends of documents that stand in a row in `hashes`, each a tree of its own. The centres, nodes of
+    the Cartesian tree with `span` hashes or more below, are the sliding minima. l and r come from the tree of the
+    centres alone, as the nearest smaller hash on either side of a centre is a centre too.
     """
     n = len(hashes)
     if n < span:
         return []
-    order = np.empty(n, np.int64)
-    order[np.argsort(hashes, kind="stable")] = np.arange(n)
-    low, width = order, 1
+    ends = np.array([n]) if ends is None else ends
+    # hashes are compared by their upper 34 bits, then by place, wherever they stand
+    low, width = hashes & ~_PLACES | np.arange(n, dtype=np.uint64), 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < span:
         low = np.minimum(low[: n - span + 1], low[span - width :])
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    centres = np.unique(place[low]).tolist()
-    left, right, stack = {}, {}, []
-    for c in centres:
-        while stack and order[stack[-1]] > order[c]:
-            right[stack.pop()] = c - 1
-        left[c] = stack[-1] + 1 if stack else 0
-        stack.append(c)
-    return [(left[c], c, right.get(c, n - 1)) for c in centres]
-
-
-def _keys(text: str | None) -> list[tuple[int, int]]:
-    """(key, c): for each compact window and each side of c, the hash of c and the SIDE tokens there, with the hash
-    function. c is the window's min-hash, so the key is one that subsequences share with what stands beside it."""
-    t, _ = tokens(text)
-    if len(t) < SPAN:
-        return []
-    n = len(t) - SIDE
-    runs = np.zeros(n, np.uint64)
-    for i in range(SIDE + 1):
-        runs = (runs ^ t[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        runs ^= runs >> np.uint64(32)
-    out = []
-    for seed in range(HASHES):
-        for lo, c, hi in compact_windows(_mixed(t, seed), RUN):
-            if c + SIDE <= hi:
-                out.append((int(runs[c]) ^ seed * 2 + 1, c))
-            if c - SIDE >= lo:
-                out.append((int(runs[c - SIDE]) ^ seed * 2 + 2, c))
+    starts = np.concatenate(([0], ends[:-1]))
+    document = np.searchsorted(ends, np.arange(n - span + 1), "right")
+    low = low[np.arange(n - span + 1) + span <= ends[document]]
+    low = low[np.concatenate(([True], low[1:] != low[:-1]))] if len(low) else low
+    centres = (low & _PLACES).astype(np.int64)
+    of = np.searchsorted(ends, centres, "right")
+    out, stack = [], []
+    first, last, where = 0, -1, -1
+    for c, h, d in zip(centres.tolist(), low.tolist(), of.tolist(), strict=True):
+        if d != where:
+            out += [(left, x, last) for left, x, _ in stack]
+            first, last, where, stack = int(starts[d]), int(ends[d]) - 1, d, []
+        while stack and stack[-1][2] > h:
+            left, x, _ = stack.pop()
+            out.append((left, x, c - 1))
+        stack.append((stack[-1][1] + 1 if stack else first, c, h))
+    out += [(left, x, last) for left, x, _ in stack]
     return out
 
 
-def verify(a: np.ndarray, a_at: int, b: np.ndarray, b_at: int) -> tuple[int, int, int, int] | None:
-    """The spans (start and end in a, start and end in b) of similar passages around tokens a[a_at] and b[b_at], or None.
-
-    Passages of SPAN tokens with the shared token at the same place are tried; theirs is the Jaccard
-    similarity of the token sets. The spans cover all that match.
-    """
-    in_b, in_a = np.isin(a, b), np.isin(b, a)
-    left, right = min(a_at, b_at, SPAN - 1), min(len(a) - a_at, len(b) - b_at, SPAN) - 1
-    if left + right + 1 < SPAN:
-        return None
-    x = np.concatenate(([0], np.cumsum(in_b)))
-    y = np.concatenate(([0], np.cumsum(in_a)))
-    back = np.arange(SPAN - 1 - right, left + 1)
-    shared = np.minimum(x[a_at - back + SPAN] - x[a_at - back], y[b_at - back + SPAN] - y[b_at - back])
-    good = []
-    for o in back[shared >= SIMILAR * 2 * SPAN / (1 + SIMILAR) - 1e-9].tolist():
-        p, q = set(a[a_at - o : a_at - o + SPAN].tolist()), set(b[b_at - o : b_at - o + SPAN].tolist())
-        if len(p & q) >= SIMILAR * len(p | q):
-            good.append(o)
-    if not good:
-        return None
-    most, least = max(good), min(good)
-    return a_at - most, a_at - least + SPAN, b_at - most, b_at - least + SPAN
-
-
-def compare(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], near: bool = True) -> tuple[list[tuple[int, int, int, int]], list[bool], list[tuple[int, int]]]:
-    """Spans (start and end in a, in b) of similar passages around equal tokens a[i] and b[j] of two documents, and for
-    each pair (i, j) whether it is in one and where, in a, its run of equal tokens starts and ends. Runs that are equal
-    as they stand are taken whole, and are the only ones where near is not set."""
-    spans: list[tuple[int, int, int, int]] = []
-    good = []
-    ends: list[tuple[int, int]] = []
-    runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    known = np.concatenate(([0], np.cumsum(np.isin(a, b)))) if near else None
-    for i, j in anchors:
-        d = j - i
-        if d not in runs:
-            lo, hi = max(0, -d), min(len(a), len(b) - d)
-            edge = np.diff(np.concatenate(([0], (a[lo:hi] == b[lo + d : hi + d]).astype(np.int8), [0])))
-            starts, stops = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo
-            long = stops - starts >= SPAN
-            runs[d] = starts, stops
-            spans += [(s, e, s + d, e + d) for s, e in zip(starts[long].tolist(), stops[long].tolist(), strict=True)]
-        at = int(np.searchsorted(runs[d][0], i, "right")) - 1
-        s, e = int(runs[d][0][at]), int(runs[d][1][at])
-        ends.append((s, e))
-        if e - s >= SPAN:
-            good.append(True)
-            continue
-        x, y = max(0, i - SPAN + 1), max(0, j - SPAN + 1)
-        held = known[x : i + SPAN + 1] if near else ()
-        if len(held) <= SPAN or (held[SPAN:] - held[:-SPAN]).max() < SHARED:  # no SPAN tokens of a around i of which b has as many
-            good.append(False)
+def signatures(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """(row, f, key, l, c, r) arrays: the compact windows of each text for each hash function f; key is the signature."""
+    found = [tokens(t)[0] for t in texts]
+    rows = np.array([i for i, t in enumerate(found) if len(t) >= SPAN], np.int64)
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    if len(rows):
+        every = np.concatenate([found[i] for i in rows])
+        ends = np.cumsum([len(found[i]) for i in rows])
+        for f in range(HASHES):
+            h = _mixed(every, f)
+            x = np.array(compact_windows(h, SPAN, ends), np.int64)
+            d = np.searchsorted(ends, x[:, 1], "right")
+            at = x - np.concatenate(([0], ends))[d][:, None]
+            for c, v in zip(columns, (rows[d], np.full(len(x), f), h[x[:, 1]] ^ np.uint64(f), *at.T), strict=True):
+                c.append(v)
+    out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
+    out[2] = out[2].astype(np.uint64).view(np.int64)
+    return tuple(out)
+
+
+def held_by(f: np.ndarray, key: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """(in how many functions' windows each passage of a document lies, by its first token; (key, i, j, o) of each two
+    windows of two functions that hold the passages from i to j, key of both signatures, o from i to the first's centre)."""
+    lo, hi = np.maximum(left, c - SPAN + 1), np.minimum(c, right - SPAN + 1)
+    count = np.zeros(int(hi.max()) + 2, np.int64)
+    by: list[list[tuple[int, int, int, int]]] = [[] for _ in range(HASHES)]
+    for g in range(HASHES):
+        at = np.flatnonzero(f == g)
+        at = at[np.argsort(lo[at], kind="stable")]
+        by[g] = list(zip(lo[at].tolist(), hi[at].tolist(), key[at].tolist(), c[at].tolist(), strict=True))
+        np.add.at(count, lo[at], 1)
+        np.add.at(count, hi[at] + 1, -1)
+    out = []
+    for a, b in combinations(by, 2):
+        i = j = 0
+        while i < len(a) and j < len(b):
+            x, y = a[i], b[j]
+            s, e = max(x[0], y[0]), min(x[1], y[1])
+            if s <= e:
+                out.append(((x[2] * 0x9E3779B97F4A7C15 ^ y[2]) & (1 << 64) - 1, s, e, x[3] - s))
+            if x[1] <= y[1]:
+                i += 1
+            else:
+                j += 1
+    return np.cumsum(count)[:-1], out
+
+
+def _lists(ends: list[int], **columns: np.ndarray) -> pa.ListArray:
+    """A list of structs for each row, from arrays of all rows' values and where each row's end."""
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], list(columns)))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (th, text, windows): `runs`, hashes of the passages that lie in a shared window of every function, as only
+    these can stand in another text as they are, and `items`, what held_by() gives."""
+    for batch in batches:
+        runs, run_ends, places, items, item_ends = [], [], [], [], []
+        for text, windows in zip(batch.column("text"), batch.column("windows"), strict=True):
+            w = windows.values.flatten()
+            count, pairs = held_by(*(w[i].to_numpy(zero_copy_only=False) for i in range(5)))
+            at = np.flatnonzero(count == HASHES)
+            if len(at):
+                runs.append(_chained(tokens(text.as_py())[0], SPAN)[at].view(np.int64))
+            places.append(at.astype(np.int32))
+            items += pairs
+            run_ends.append((run_ends[-1] if run_ends else 0) + len(at))
+            item_ends.append(len(items))
+        key, i, j, o = (np.array([x[k] for x in items], np.uint64 if k == 0 else np.int32) for k in range(4))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("th"),
+                _lists(run_ends, h=np.concatenate([*runs, np.zeros(0, np.int64)]), i=np.concatenate([*places, np.zeros(0, np.int32)])),
+                _lists(item_ends, key=key.view(np.int64), i=i, j=j, o=o),
+            ],
+            ["th", "runs", "items"],
+        )
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
+def _merged(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Spans from starts to ends, ends exclusive, in order, those that touch joined."""
+    out = []
+    for s, e in zip(starts, ends, strict=True):
+        order = np.argsort(s, kind="stable")
+        s, e = np.asarray(s)[order], np.maximum.accumulate(np.asarray(e)[order]) if len(order) else np.zeros(0, int)
+        new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1]))) if len(s) else np.zeros(0, int)
+        out.append([{"s": int(a), "e": int(b)} for a, b in zip(s[new], e[np.concatenate((new[1:] - 1, [len(s) - 1]))] if len(s) else (), strict=True)])
+    return pd.Series(out)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (th, text, items): a row (key, blocks, th, i, o, n, tokens) an item, with the upper halves of the n passages' tokens."""
+    for batch in batches:
+        for th, text, items in zip(batch.column("th").to_pylist(), batch.column("text"), batch.column("items"), strict=True):
+            t = (tokens(text.as_py())[0] >> np.uint64(32)).astype(np.uint32)
+            w = items.values
+            i, j = w.field("i").to_numpy(), w.field("j").to_numpy()
+            raw = [t[a : b + SPAN].tobytes() for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+            columns = [w.field("key"), w.field("blocks"), pa.array(np.full(len(i), th)), w.field("i"), w.field("o"), pa.array((j - i + 1).astype(np.int32)), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "blocks", "th", "i", "o", "n", "tokens"])
+
+
+def _same_set(a: np.ndarray, b: np.ndarray) -> bool:
+    p, q = set(a.tolist()), set(b.tolist())
+    return len(p & q) >= SIMILAR * len(p | q)
+
+
+class _Items:
+    """Passages of many groups, in order of group: `t` holds all tokens, item x those from at[x], its passages begin at
+    the first `n[x]` of them, and its centre is `o[x]` tokens on."""
+
+    def __init__(self, group: np.ndarray, th: np.ndarray, i: np.ndarray, o: np.ndarray, n: np.ndarray, raw: list[bytes]):
+        self.group, self.th, self.i, self.o, self.n = group, th, i, o, n
+        self.t = np.frombuffer(b"".join(raw), np.uint32)
+        self.at = np.concatenate(([0], np.cumsum(n + SPAN - 1)))
+
+    def live(self) -> np.ndarray:
+        """Items with a passage of which SHARED places hold a token that another item of the group has too, or one twice."""
+        item = np.repeat(np.arange(len(self.n)), self.n + SPAN - 1)
+        value = self.group[item].astype(np.uint64) << np.uint64(32) | self.t
+        order = np.argsort(value, kind="stable")
+        v, x = value[order], item[order]
+        same = v[1:] == v[:-1]
+        often = np.zeros(len(v), bool)
+        often[order[1:]] |= same
+        often[order[:-1]] |= same
+        total = np.concatenate(([0], np.cumsum(often)))
+        begin = np.repeat(self.at[:-1] - np.cumsum(self.n) + self.n, self.n) + np.arange(self.n.sum())
+        enough = total[begin + SPAN] - total[begin] >= SHARED
+        return np.bincount(np.repeat(np.arange(len(self.n)), self.n), enough, len(self.n)) > 0
+
+    def near(self, a: int, others: np.ndarray) -> list[tuple[int, int, int]]:
+        """(b, least, most) for each of others with passages similar to a's that begin from `most` to `least` tokens before the centre."""
+        ta = self.t[self.at[a] : self.at[a + 1]]
+        order = np.argsort(ta, kind="stable")
+        ranked = ta[order]
+        twice_a = bool((ranked[1:] == ranked[:-1]).any())
+        sizes = self.n[others] + SPAN - 1
+        ends = np.cumsum(sizes)
+        flat = self.t[np.repeat(self.at[others] - ends + sizes, sizes) + np.arange(ends[-1])]
+        place = np.minimum(np.searchsorted(ranked, flat), len(ranked) - 1)
+        place = np.where(ranked[place] == flat, order[place], -(1 << 20))
+        total = np.concatenate(([0], np.cumsum(place >= 0)))
+        lo = np.maximum(self.o[others] - self.n[others] + 1, self.o[a] - self.n[a] + 1)
+        hi = np.minimum(self.o[others], self.o[a])
+        out = []
+        for x in np.flatnonzero(lo <= hi).tolist():
+            first = int(ends[x] - sizes[x]) + int(self.o[others[x]])
+            steps = np.arange(lo[x], hi[x] + 1)
+            begin = first - steps
+            steps = steps[total[begin + SPAN] - total[begin] >= SHARED]
+            if not len(steps):
+                continue
+            b = flat[ends[x] - sizes[x] : ends[x]]
+            if twice_a or len(np.unique(b)) < len(b):
+                good = [k for k in steps.tolist() if _same_set(ta[self.o[a] - k :][:SPAN], b[self.o[others[x]] - k :][:SPAN])]
+            else:
+                window = place[(first - steps)[:, None] + np.arange(SPAN)] - (self.o[a] - steps)[:, None]
+                good = steps[((window >= 0) & (window < SPAN)).sum(1) >= SHARED].tolist()
+            if good:
+                out.append((int(others[x]), min(good), max(good)))
+        return out
+
+    def links(self) -> list[tuple[int, int, int, int]]:
+        """(a, b, least, most): links that join all items of a group with similar passages, and cover the passages of each."""
+        rest = np.flatnonzero(self.live())
+        out: list[tuple[int, int, int, int]] = []
+        bounds = np.flatnonzero(np.concatenate(([True], self.group[rest][1:] != self.group[rest][:-1], [True]))) if len(rest) else []
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            left = rest[s:e]
+            if self.th[left[0]] == self.th[left[-1]]:  # items of a group are in order of th
+                continue
+            while len(left) > 1:
+                queue, left = [int(left[0])], left[1:]
+                while queue and len(left):
+                    a = queue.pop()
+                    other = left[self.th[left] != self.th[a]]
+                    found = self.near(a, other) if len(other) else []
+                    out += [(a, *x) for x in found]
+                    queue += [x[0] for x in found]
+                    left = left[~np.isin(left, [x[0] for x in found])] if found else left
+        return out
+
+
+_FOUND = "a long, b long, a0 int, a1 int, b0 int, b1 int"
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of texts with the words from a0 to a1 and b0 to b1 that are similar, ends exclusive, from rows in order
+    of key, x, y and th. Whole groups are looked at; the last one of a batch may go on in the next."""
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = rows[["key", "x", "y"]].to_numpy()
+        group = np.cumsum(np.concatenate(([False], (keys[1:] != keys[:-1]).any(1)))) if len(rows) else np.zeros(0, int)
+        x = _Items(group, *(rows[c].to_numpy(np.int64) for c in ("th", "i", "o", "n")), rows["tokens"].tolist())
+        got = np.array(x.links() if len(rows) else [], np.int64).reshape(-1, 4)
+        a, b, least, most = got.T
+        begin, end = (lambda k: x.i[k] + x.o[k] - most), (lambda k: x.i[k] + x.o[k] - least + PASSAGE)
+        return pd.DataFrame({"a": x.th[a], "b": x.th[b], "a0": begin(a), "a1": end(a), "b0": begin(b), "b1": end(b)}).astype({c: np.int32 for c in ("a0", "a1", "b0", "b1")}).drop_duplicates()
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
             continue
-        got = verify(a[x : i + SPAN], i - x, b[y : j + SPAN], j - y)
-        good.append(got is not None)
-        if got:
-            spans.append((got[0] + x, got[1] + x, got[2] + y, got[3] + y))
-    return spans, good, ends
-
-
-_FOUND = "a long, b long, spans array<struct<a0:int,a1:int,b0:int,b1:int>>, missed array<struct<key:bigint,c:int,s:int,e:int>>, past array<struct<key:bigint,c:int>>"
-
-
-def _past(a: np.ndarray, b: int, d: int, s: int, e: int) -> list[tuple[int, int]]:
-    """(key, c) of the tokens of a just before and after a run that it shares with document b, at d from there in b.
-
-    Documents that share more with one another than with b leave b at one place with one token.
-    """
-    return [(xxhash.xxh64_intdigest(np.array([b, c + d, side, a[c : c + 1].view(np.int64)[0]], np.int64).tobytes()) - (1 << 63), c) for side, c in ((0, s - 1), (1, e)) if 0 <= c < len(a)]
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, past: bool, near: bool = True) -> DataFrame:
-    """compare() of pairs (key, a, ca, b, cb), document by document, their texts from texts (th, text): `missed` are the
-    keys of a that are in no passage, with the run there, `past` what _past() gives, if asked for."""
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            out = []
-            for a, b, anchors, x, y in zip(batch["a"], batch["b"], batch["anchors"], batch["text_a"], batch["text_b"], strict=True):
-                if last[0] != b:
-                    last = (b, tokens(y)[0])
-                ta = tokens(x)[0]
-                spans, good, ends = compare(ta, last[1], [(p["ca"], p["cb"]) for p in anchors], near)
-                if a == b:  # runs of a document that it has twice, which take over what is found of one for the other
-                    spans, good = [x for x in spans if np.array_equal(ta[x[0] : x[1]], ta[x[2] : x[3]])], [False] * len(good)
-                missed = [{"key": p["key"], "c": p["ca"], "s": s, "e": e} for p, ok, (s, e) in zip(anchors, good, ends, strict=True) if not ok]
-                runs = {(p["cb"] - p["ca"], *x) for p, x in zip(anchors, ends, strict=True)} if past else ()
-                beyond = [{"key": k, "c": c} for r in runs for k, c in _past(ta, b, *r)]
-                out.append((a, b, [dict(zip(("a0", "a1", "b0", "b1"), s, strict=True)) for s in spans], missed, beyond))
-            yield pd.DataFrame(out, columns=["a", "b", "spans", "missed", "past"])
-
-    grouped = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("key", "ca", "cb")).alias("anchors"))
-    grouped = grouped.join(texts.select(F.col("th").alias("a"), F.col("text").alias("text_a")), "a")
-    grouped = grouped.join(texts.select(F.col("th").alias("b"), F.col("text").alias("text_b")), "b")
-    return grouped.select("a", "b", "anchors", "text_a", "text_b").mapInPandas(judge, _FOUND)
-
-
-def _against(rows: DataFrame, seed: int, group: str = "key") -> DataFrame:
-    """pairs (key, a, ca, b, cb) of each of rows (key, th, c) with one of its group, where a group is of two documents or more."""
-    place = F.struct(F.xxhash64(F.lit(seed), "th").alias("o"), F.xxhash64(F.lit(seed), "th", "c").alias("p"), "th", "c")
-    leaders = rows.groupBy(group).agg(F.min(place).alias("lo"), F.max("th").alias("most"), F.min("th").alias("least")).where("least <> most")
-    led = rows.join(leaders.select(group, "lo"), group).where("th <> lo.th or c <> lo.c")
-    return led.select("key", F.col("th").alias("a"), F.col("c").alias("ca"), F.col("lo.th").alias("b"), F.col("lo.c").alias("cb"))
-
-
-def _around(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(sub, key, th, c, w): for each of rows (key, th, c, s, e) the hashes of key and each token less than SPAN from c;
-    w is how often the token stands there outside of the run from s to e, 0 where there is no run."""
-
-    def table(parts: list) -> pd.DataFrame:
-        sub, key, th, c, w = zip(*parts, strict=True)
-        size = [len(x) for x in sub]
-        wide = {k: np.repeat(np.array(v, np.int64), size) for k, v in (("key", key), ("th", th), ("c", c))}
-        return pd.DataFrame({"sub": np.concatenate(sub), **wide, "w": np.concatenate(w)}).astype({"c": np.int32})
-
-    def subs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for th, text, hits in zip(batch["th"], batch["text"], batch["hits"], strict=True):
-                t, _ = tokens(text)
-                for x in hits:
-                    at = np.arange(max(0, x["c"] - SPAN + 1), min(len(t), x["c"] + SPAN))
-                    token, place = np.unique(_mixed(t[at], x["key"]), return_inverse=True)
-                    out = np.zeros(len(at)) if x["s"] is None else (at < x["s"]) | (at >= x["e"])
-                    parts.append((token.view(np.int64), x["key"], th, x["c"], np.bincount(place, out).astype(np.int32)))
-                    if len(parts) == 2000:
-                        yield table(parts)
-                        parts = []
-            if parts:
-                yield table(parts)
-
-    grouped = rows.groupBy("th").agg(F.collect_list(F.struct("key", "c", "s", "e")).alias("hits")).join(texts, "th")
-    return grouped.select("th", "text", "hits").mapInPandas(subs, "sub long, key long, th long, c int, w int")
-
-
-def _left_over(rest: DataFrame, occurrences: DataFrame, source: DataFrame) -> list[DataFrame]:
-    """_compared() of rest, occurrences in no passage with the one of their key that they were held against, with all of
-    their key that can be similar.
-
-    Similar passages share SHARED tokens; those outside of the run with the one held against are a few at
-    least, or it would be similar as well. So partners are joined by these tokens, not by the key alone,
-    and counted; unrelated documents around a common phrase share none.
-    """
-    one = ["key", "th", "c"]
-    near = occurrences.join(rest.select("key").distinct(), "key", "left_semi").join(rest, one, "left")
-    every = Stored(_around(near, source))
-    shared = every.df.groupBy("sub").agg(F.min("th").alias("least"), F.max("th").alias("most"), F.max("w").alias("w")).where("least <> most and w > 0").select("sub")
-    subs = every.df.join(shared, "sub")
-    need = rest.select(*one, (F.lit(SHARED) - F.col("e") + F.col("s")).alias("need"))
-    live = cut(subs.where("w > 0").groupBy(*one).agg(F.sum("w").alias("w")).join(need, one).where("w >= need").select(*one, "need"))
-    subs = cut(subs.join(live.select("key").distinct(), "key", "left_semi"))
-    every.drop()
-    asking = subs.where("w > 0").join(live, one).select("key", F.col("th").alias("a"), F.col("c").alias("ca"), "sub", "w", "need")
-
-    first = _against(subs, ROUNDS, "sub").distinct().join(live.select("key", F.col("th").alias("a"), F.col("c").alias("ca")), ["key", "a", "ca"], "left_semi")
-    first = cut(first.where("a <> b"))
-    judged = cut(_compared(first, source, False))
-    tried = first.groupBy("key", "a", "ca").agg(F.count("*").alias("n"))
-    missed = judged.select("a", F.explode("missed").alias("m")).groupBy("m.key", "a", F.col("m.c").alias("ca")).agg(F.count("*").alias("missed"))
-    done = tried.join(missed, ["key", "a", "ca"], "left").where("coalesce(missed, 0) < n")
-    pairs = asking.join(done, ["key", "a", "ca"], "left_anti").join(subs.select("sub", F.col("th").alias("b"), F.col("c").alias("cb")), "sub").where("a <> b")
-    pairs = pairs.groupBy("key", "a", "ca", "b", "cb").agg(F.sum("w").alias("w"), F.first("need").alias("need")).where("w >= need")
-    return [judged, cut(_compared(pairs.join(first, ["key", "a", "ca", "b", "cb"], "left_anti"), source, False))]
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        last = batch[["key", "x", "y"]].iloc[-1]
+        same = ((batch["key"] == last["key"]) & (batch["x"] == last["x"]) & (batch["y"] == last["y"])).to_numpy()
+        cutoff = int(np.argmax(same))
+        if held and (cutoff or (held[0][["key", "x", "y"]].iloc[0] != last).any()):
+            yield found(pd.concat([*held, batch.iloc[:cutoff]], ignore_index=True))
+            held = [batch.iloc[cutoff:]]
+        elif cutoff:
+            yield found(batch.iloc[:cutoff].reset_index(drop=True))
+            held = [batch.iloc[cutoff:]]
+        else:
+            held.append(batch)
+    if held:
+        yield found(pd.concat(held, ignore_index=True))
+
+
+def _in_two(rows: DataFrame, *more) -> DataFrame:
+    """(key, lo, ...) of the keys of rows that two texts th have or more, lo the least of them, to be joined by hash."""
+    keys = rows.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("most"), *more).where("lo <> most").drop("most")
+    return keys.hint("shuffle_hash")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_passages, n_repeated_words, spans, component_id) for every row of docs.
 
     A passage of PASSAGE words or more that another document also holds, as it stands or with a
@@ -291,11 +343,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reachable from document to document over such passages.
 
     Equal texts are one node: a text of PASSAGE words or more that occurs in two rows is a repeated
-    passage as a whole. Occurrences of one key are held against one of them for ROUNDS rounds, which takes
-    a passage that thousands of documents share in one step. Those that leave that one at the same place
-    with the same token are a group again, until no group holds two documents, so all words of every
-    passage that another document holds as it stands are reported. Edited passages share a key; their
-    spans can end a few words early where another document than the one held against shares more.
+    passage as a whole. Passages that stand in several texts as they are are found by one hash each, all
+    words of them are reported, and one of the texts stands for the others from there on. What else
+    shares two signatures is compared with all of its key, in blocks where there are more than
+    `block`, until what is similar is linked; spans of edited passages cover those of one link at least.
 
     Null, empty and short texts have no passages. Rows with a null id take part and are told apart by
     their text; other columns are not read; an empty table gives an empty result.
@@ -303,57 +354,60 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, *x) for i, text in zip(batch["th"], batch["text"], strict=True) for x in _keys(text)]
-            keys = np.array([x[1] for x in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({"th": pd.Series([x[0] for x in found], dtype="int64"), "key": keys, "c": pd.Series([x[2] for x in found], dtype="int32")})
-
-    every = Stored(rows.select("th", "text").mapInPandas(windows, "th long, key long, c int"))
-    shared = every.df.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("key")
-    occurrences = cut(every.df.join(shared, "key").distinct())
+            row, f, key, *at = signatures(batch.column("text").to_pylist())
+            th = batch.column("th").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th, key, f.astype(np.int8), *(v.astype(np.int32) for v in at))], ["th", "key", "f", "l", "c", "r"])
+
+    every = Stored(rows.select("th", "text").mapInArrow(windows, "th long, key long, f byte, l int, c int, r int"))
+    shared = every.df.join(_in_two(every.df).select("key"), "key").groupBy("th").agg(F.collect_set(F.struct("f", "key", "l", "c", "r")).alias("windows"))
+    functions = F.size(F.array_distinct(F.transform("windows", lambda w: w["f"])))
+    shared = Stored(shared.where(functions > 1))
     every.drop()
 
     texts = cut(rows.select("doc_id", "th", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")))
     nodes = cut(texts.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_words").alias("n_words")))
-    wanted = occurrences.select("th").distinct().join(nodes.select("th", "rep"), "th")
-    wanted = small_side(cut(wanted))
-    # one row for each text; repeated rows of one id, which give the same result twice, are few or are made one by the spans' distinct()
-    source = rows.alias("r").join(wanted.alias("w"), (F.col("r.th") == F.col("w.th")) & F.col("r.doc_id").eqNullSafe(F.col("w.rep"))).select("r.th", "r.text")
-
-    listed = lambda judged, c: judged.select(F.explode(c).alias("m"), F.col("a").alias("th")).select("m.*", "th").distinct()
-    results, rest = [], occurrences
-    for i in range(ROUNDS):
-        results.append(cut(_compared(_against(rest, i), source, i == 0)))
-        rest = listed(results[-1], "missed")
-    past, i = listed(results[0], "past"), ROUNDS
-    while True:  # a group that left a document together has one in its place, so groups shrink until none is of two
-        judged = cut(_compared(_against(past, i), source, True, False))
-        if judged.isEmpty():
-            break
-        results.append(judged)
-        past, i = listed(judged, "past"), i + 1
-    rest = cut(rest)
-    if not rest.isEmpty():
-        results += _left_over(rest, occurrences, source)
-    found = cut(reduce(DataFrame.union, results).select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.explode("spans").alias("s")).select("ta", "tb", "s.*").distinct())
-    twice, found = found.where("ta = tb"), found.where("ta <> tb")
-
-    span = lambda t, lo, hi: found.select(F.col(t).alias("th"), F.struct(F.col(lo).alias("s"), (F.col(hi) + SHINGLE - 1).alias("e")).alias("x"))
-    spans = span("ta", "a0", "a1").union(span("tb", "b0", "b1"))
-    lo, hi = F.greatest("b0", "x.s"), F.least("b1", F.col("x.e") - (SHINGLE - 1))
-    again = twice.join(spans, F.col("ta") == F.col("th")).where(hi - lo >= SPAN)
-    spans = spans.union(again.select("th", F.struct((lo + F.col("a0") - F.col("b0")).alias("s"), (hi + F.col("a0") - F.col("b0") + SHINGLE - 1).alias("e")).alias("x")))
-    spans = spans.union(nodes.where(f"n > 1 and n_words >= {PASSAGE}").select("th", F.struct(F.lit(0).alias("s"), F.col("n_words").cast("int").alias("e")).alias("x")))
-    spans = spans.distinct().groupBy("th").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    begin = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-    step = lambda acc, x: F.when(x["s"] <= acc["e"], F.struct(acc["done"].alias("done"), acc["s"].alias("s"), F.greatest(acc["e"], x["e"]).alias("e"))).otherwise(
-        F.struct(F.when(acc["e"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))).alias("done"), x["s"].alias("s"), x["e"].alias("e"))
-    )
-    merged = F.aggregate("xs", begin, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e")))))
-    spans = spans.select("th", merged.alias("xs"))
 
-    roots = connected_components(found.select("ta", "tb").distinct(), "ta", "tb").select(F.col("node").alias("th"), "root")
+    def source(wanted: DataFrame) -> DataFrame:
+        """(th, text), a row for each text of wanted; rows that repeat one id may give it twice, to the same result."""
+        wanted = small_side(cut(wanted.select("th").join(nodes.select("th", "rep"), "th")))
+        return rows.alias("r").join(wanted.alias("w"), (F.col("r.th") == F.col("w.th")) & F.col("r.doc_id").eqNullSafe(F.col("w.rep"))).select("r.th", "r.text")
+
+    held = source(shared.df).join(shared.df, "th").select("th", "text", "windows")
+    held = Stored(held.mapInArrow(_candidates, "th long, runs array<struct<h:long,i:int>>, items array<struct<key:long,i:int,j:int,o:int>>"))
+    shared.drop()
+
+    runs = held.df.select("th", F.explode("runs").alias("x")).select("th", F.col("x.h").alias("key"), "x.i")
+    exact = runs.join(_in_two(runs), "key").groupBy("th").agg(F.collect_set("i").alias("i"), F.collect_set(F.when(F.col("lo") < F.col("th"), F.col("i"))).alias("gone"), F.collect_set("lo").alias("with"))
+    next_to = lambda c: _merged(c, F.transform(c, lambda i: i + 1))
+    exact = Stored(exact.select("th", "with", next_to(F.col("i")).alias("runs"), next_to(F.col("gone")).alias("gone")))
+
+    left = held.df.select("th", "items").join(exact.df.select("th", "gone"), "th", "left")
+    known = lambda x: F.exists("gone", lambda g: (g["s"] <= x["i"]) & (x["j"] < g["e"]))
+    left = left.select("th", F.explode(F.when(F.col("gone").isNull(), F.col("items")).otherwise(F.filter("items", lambda x: ~known(x)))).alias("x")).select("th", "x.*")
+    items = Stored(left)
+    held.drop()
+    blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
+    near = Stored(items.df.join(_in_two(items.df, blocks).drop("lo"), "key").groupBy("th").agg(F.collect_list(F.struct("key", "blocks", "i", "j", "o")).alias("items")))
+    items.drop()
+    near_texts = source(near.df).join(near.df, "th").select("th", "text", "items")
+    parts = near_texts.mapInArrow(_slices, "key long, blocks int, th long, i int, o int, n int, tokens binary")
+    own = F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")
+    parts = parts.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = parts.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "th", "i", "o", "n", "tokens")
+    parts = parts.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "th")
+    linked = cut(parts.mapInPandas(_compared, _FOUND).distinct())
+    near.drop()
+
+    span = lambda df, th, s, e: df.select(F.col(th).alias("th"), s.cast("int").alias("s"), e.cast("int").alias("e"))
+    spans = span(linked, "a", F.col("a0"), F.col("a1")).union(span(linked, "b", F.col("b0"), F.col("b1")))
+    spans = spans.union(span(exact.df.select("th", F.explode("runs").alias("x")), "th", F.col("x.s"), F.col("x.e") + (PASSAGE - 1)))
+    spans = spans.union(span(nodes.where(f"n > 1 and n_words >= {PASSAGE}"), "th", F.lit(0), F.col("n_words")))
+    spans = spans.distinct().groupBy("th").agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es")).select("th", _merged("ss", "es").alias("xs"))
+
+    edges = linked.select("a", "b").union(exact.df.select("th", F.explode("with").alias("b")).where("th <> b")).distinct()
+    roots = connected_components(edges, "a", "b").select(F.col("node").alias("th"), "root")
     roots = cut(roots.join(nodes.select("th", "rep"), "th"))
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     label = nodes.select("th", "rep", "n", F.col("n_words").alias("words")).join(roots.join(least, "root").select("th", "least"), "th", "left").join(spans, "th", "left")

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from plumbline.llm import passages
 
@@ -20,7 +21,7 @@ def test_compact_windows_against_brute_force():
                 hi += 1
             if hi - lo + 1 >= span:
                 want.append((lo, c, hi))
-        assert passages.compact_windows(h, span) == want
+        assert sorted(passages.compact_windows(h << np.uint64(40), span)) == sorted(want)
 
 
 def covered(docs):
@@ -81,22 +82,39 @@ def test_planted_passages_hot_groups_and_clean_documents(spark):
         assert got[i].n_passages == 0 and got[i].component_id == i
 
 
-def test_recall_of_edited_passages():
-    """Passages in foreign surroundings, with words changed: nearly all have a key in common and are verified."""
-    r = random.Random(1)
+def similar(p, q):
+    """Whether two runs of words hold similar passages, by all pairs of runs of SPAN tokens."""
+    a, b = ([tuple(w[i : i + passages.SHINGLE]) for i in range(len(w) - passages.SHINGLE + 1)] for w in (p, q))
+    runs = lambda t: [set(t[i : i + passages.SPAN]) for i in range(len(t) - passages.SPAN + 1)]
+    return any(len(x & y) >= passages.SIMILAR * len(x | y) for x in runs(a) for y in runs(b))
+
+
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_recall_of_edited_passages_against_brute_force(spark, hot):
+    """Pairs in foreign surroundings with words changed, taken out or put in, at random places and in the middle; also
+    where a thousand other documents hold the first 30 words of each (unlike one another around them)."""
+    r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
     around = lambda p: " ".join([word() for _ in range(r.randint(10, 70))] + p + [word() for _ in range(r.randint(10, 70))])
-    for n, edits, least in ((60, 0, 1.0), (60, 1, 0.9), (90, 2, 0.9), (120, 2, 0.95), (200, 4, 0.95)):
-        hits = 0
-        for _ in range(100):
-            p = [word() for _ in range(n)]
+    docs, want, head = [], {}, [word() for _ in range(30)]
+    for n, edits in ((50, 1), (52, 1), (55, 1), (60, 1), (60, 2), (90, 1), (90, 2), (120, 4)):
+        for k in range(60):
+            p = [*(head if hot else ()), *[word() for _ in range(n)]][:n]
             q = list(p)
-            for i in r.sample(range(n), edits):
-                q[i] = word()
-            a, b = around(p), around(q)
-            ka, kb = dict(passages._keys(a)), dict(passages._keys(b))
-            hits += bool(passages.compare(passages.tokens(a)[0], passages.tokens(b)[0], [(ka[k], kb[k]) for k in ka.keys() & kb.keys()])[0])
-        assert hits >= least * 100
+            for at in [n // 2] if edits == 1 and k % 2 else r.sample(range(n), edits):
+                q[at : at + r.choice((1, 1, 0))] = [word()] * r.choice((1, 1, 0))
+            if similar(p, q):
+                want.setdefault((n, edits), []).append(len(docs))
+            docs += [around(p), around(q)]
+    pairs = len(docs)
+    docs += [around(head) for _ in range(hot)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {x.doc_id: x for x in passages.repeated_passages(df, block=256).collect()}
+    for kind, firsts in want.items():
+        found = sum(got[i].component_id == got[i + 1].component_id and got[i].n_passages * got[i + 1].n_passages > 0 for i in firsts)
+        assert found >= 0.9 * len(firsts), (kind, found, len(firsts))
+    assert all(got[i].n_passages == 0 for i in range(pairs, len(docs)))
+    assert all(got[i].component_id in (i, i - i % 2) for i in range(pairs))
 
 
 def test_every_word_of_exact_passages_is_reported(spark):
@@ -143,21 +161,21 @@ def test_every_word_of_exact_passages_in_sample(spark):
     assert all(want[r.doc_id] <= words(r) for r in passages.op6_passages(spark, sf).collect())
 
 
-def test_shortest_passages_with_one_edit_share_a_key():
-    """50 to 60 words in foreign surroundings, one word changed, taken out or put in at any place, the middle above all."""
-    r = random.Random(2)
-    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
-    around = lambda p: " ".join([word() for _ in range(r.randint(10, 70))] + p + [word() for _ in range(r.randint(10, 70))])
-    for n in (50, 51, 55, 59, 60):
-        for at in [n // 2] * 40 + list(range(n)):
-            p = [word() for _ in range(n)]
-            for q in (p[:at] + [word()] + p[at + 1 :], p[:at] + p[at + 1 :], p[:at] + [word()] + p[at:]):
-                a, b = around(p), around(q)
-                ta, tb = passages.tokens(a)[0], passages.tokens(b)[0]
-                every = [(i, j) for i in range(len(ta)) for j in np.flatnonzero(tb == ta[i]).tolist()]
-                ka, kb = dict(passages._keys(a)), dict(passages._keys(b))
-                got = passages.compare(ta, tb, [(ka[k], kb[k]) for k in ka.keys() & kb.keys()])[0]
-                assert bool(got) == bool(passages.compare(ta, tb, every)[0]), (n, at, len(q))
+def test_signatures_and_candidates_agree_with_plain_windows():
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(n)) for n in (0, 3, 49, 50, 51, 80, 300, 7, 120)] + [None]
+    row, f, key, left, c, right = passages.signatures(texts)
+    for i, text in enumerate(texts):
+        t = passages.tokens(text)[0]
+        for g in range(passages.HASHES):
+            h, at = passages._mixed(t, g), (row == i) & (f == g)
+            assert sorted(zip(left[at].tolist(), c[at].tolist(), right[at].tolist())) == sorted(passages.compact_windows(h))
+            assert np.array_equal(key[at].view(np.uint64), h[c[at]] ^ np.uint64(g))
+        if len(t) >= passages.SPAN:
+            at = row == i
+            count, pairs = passages.held_by(f[at], key[at], left[at], c[at], right[at])
+            assert count.tolist() == [passages.HASHES] * (len(t) - passages.SPAN + 1)
+            assert sorted(k for _, s, e, _ in pairs for k in range(s, e + 1)) == sorted([*range(len(count))] * 6)
 
 
 def test_odd_rows(spark, odd, none):
