@@ -38,6 +38,8 @@ SIMILAR = 0.8
 SHARED = int(np.ceil(2 * SPAN * SIMILAR / (1 + SIMILAR)))
 #: Passages of one key that a task compares with one another; a larger group is compared block by block.
 BLOCK = 4096
+#: Passages that are compared, or written, in one step.
+STEP = 10_000
 _REMEMBERED = 500_000
 _words: dict[bytes, int] = {}
 _PLACES = np.uint64((1 << 30) - 1)
@@ -129,62 +131,63 @@ def signatures(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def held_by(f: np.ndarray, key: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """(in how many functions' windows each passage of a document lies, by its first token; (key, i, j, o) of each two
-    windows of two functions that hold the passages from i to j, key of both signatures, o from i to the first's centre)."""
-    lo, hi = np.maximum(left, c - SPAN + 1), np.minimum(c, right - SPAN + 1)
-    count = np.zeros(int(hi.max()) + 2, np.int64)
-    by: list[list[tuple[int, int, int, int]]] = [[] for _ in range(HASHES)]
-    for g in range(HASHES):
-        at = np.flatnonzero(f == g)
-        at = at[np.argsort(lo[at], kind="stable")]
-        by[g] = list(zip(lo[at].tolist(), hi[at].tolist(), key[at].tolist(), c[at].tolist(), strict=True))
-        np.add.at(count, lo[at], 1)
-        np.add.at(count, hi[at] + 1, -1)
-    out = []
-    for a, b in combinations(by, 2):
-        i = j = 0
-        while i < len(a) and j < len(b):
-            x, y = a[i], b[j]
-            s, e = max(x[0], y[0]), min(x[1], y[1])
-            if s <= e:
-                out.append(((x[2] * 0x9E3779B97F4A7C15 ^ y[2]) & (1 << 64) - 1, s, e, x[3] - s))
-            if x[1] <= y[1]:
-                i += 1
-            else:
-                j += 1
-    return np.cumsum(count)[:-1], out
+def held_by(f: np.ndarray, key: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray, base: np.ndarray | int, n: int) -> tuple[np.ndarray, ...]:
+    """(count, key, i, j, o): in how many functions' windows each of n passages lies, by its first token; and of each two
+    windows of two functions that hold the passages from i to j a key of both signatures, and how far on from i the
+    first's centre is. Windows may be of several documents whose passages are numbered from `base` of each window."""
+    lo, hi = base + np.maximum(left, c - SPAN + 1), base + np.minimum(c, right - SPAN + 1)
+    count = np.zeros(n + 1, np.int64)
+    np.add.at(count, lo, 1)
+    np.add.at(count, hi + 1, -1)
+    by = [at[np.argsort(lo[at], kind="stable")] for at in (np.flatnonzero(f == g) for g in range(HASHES))]
+    mixed, out = key.view(np.uint64), []
+    for a, b in combinations(by, 2):  # the windows of one function hold a passage once
+        first, end = np.searchsorted(hi[b], lo[a]), np.searchsorted(lo[b], hi[a], "right")
+        size = np.maximum(end - first, 0)
+        x = np.repeat(a, size)
+        y = b[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        i = np.maximum(lo[x], lo[y])
+        out.append(((mixed[x] * np.uint64(0x9E3779B97F4A7C15) ^ mixed[y]).view(np.int64), i, np.minimum(hi[x], hi[y]), lo[x] - np.maximum(left[x], c[x] - SPAN + 1) + c[x] - i))
+    return np.cumsum(count)[:-1], *(np.concatenate(v) for v in zip(*out, strict=True))
+
 
+def _lists(row: np.ndarray, rows: int, **columns: np.ndarray) -> pa.ListArray:
+    """A list of structs for each of so many rows, from arrays of values and the row of each, in any order."""
+    order = np.argsort(row, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v[order]) for v in columns.values()], list(columns)))
 
-def _lists(ends: list[int], **columns: np.ndarray) -> pa.ListArray:
-    """A list of structs for each row, from arrays of all rows' values and where each row's end."""
-    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], list(columns)))
+
+def _of_lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row of each struct of a column of lists, its fields)."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(sizes)), sizes), [x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten()]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (th, text, windows): `runs`, hashes of the passages that lie in a shared window of every function, as only
-    these can stand in another text as they are, and `items`, what held_by() gives."""
+    these can stand in another text as they are, and `items`, what held_by() gives but for those of which all passages
+    stand earlier in the same text, as in a word said a thousand times."""
     for batch in batches:
-        runs, run_ends, places, items, item_ends = [], [], [], [], []
-        for text, windows in zip(batch.column("text"), batch.column("windows"), strict=True):
-            w = windows.values.flatten()
-            count, pairs = held_by(*(w[i].to_numpy(zero_copy_only=False) for i in range(5)))
-            at = np.flatnonzero(count == HASHES)
-            if len(at):
-                runs.append(_chained(tokens(text.as_py())[0], SPAN)[at].view(np.int64))
-            places.append(at.astype(np.int32))
-            items += pairs
-            run_ends.append((run_ends[-1] if run_ends else 0) + len(at))
-            item_ends.append(len(items))
-        key, i, j, o = (np.array([x[k] for x in items], np.uint64 if k == 0 else np.int32) for k in range(4))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("th"),
-                _lists(run_ends, h=np.concatenate([*runs, np.zeros(0, np.int64)]), i=np.concatenate([*places, np.zeros(0, np.int32)])),
-                _lists(item_ends, key=key.view(np.int64), i=i, j=j, o=o),
-            ],
-            ["th", "runs", "items"],
-        )
+        if not len(batch):
+            continue
+        found = [tokens(t)[0] for t in batch.column("text").to_pylist()]
+        sizes = np.array([len(t) for t in found])
+        start, base = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(sizes - SPAN + 1)))
+        row, (f, key, left, c, right) = _of_lists(batch.column("windows"))
+        count, pair, i, j, o = held_by(f, key, *(x.astype(np.int64) for x in (left, c, right)), base[row], int(base[-1]))
+        at, doc = np.flatnonzero(count == HASHES), np.searchsorted(base, i, "right") - 1
+        every = np.repeat(np.arange(len(batch)), sizes - SPAN + 1)
+        run = _chained(np.concatenate(found), SPAN)[start[every] + np.arange(base[-1]) - base[every]]
+        new = np.zeros(len(run), np.int64)
+        new[np.unique(run ^ every.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]] = 1
+        new = np.concatenate(([0], np.cumsum(new)))
+        some = new[j + 1] > new[i]
+        doc, pair, i, j, o = (x[some] for x in (doc, pair, i, j, o))
+        of, run = every[at], run[at].view(np.int64)
+        short = lambda x, d: (x - base[d]).astype(np.int32)
+        lists = _lists(of, len(batch), h=run, i=short(at, of)), _lists(doc, len(batch), key=pair, i=short(i, doc), j=short(j, doc), o=o.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("th"), *lists], ["th", "runs", "items"])
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
@@ -202,95 +205,133 @@ def _merged(starts: pd.Series, ends: pd.Series) -> pd.Series:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (th, text, items): a row (key, blocks, th, i, o, n, tokens) an item, with the upper halves of the n passages' tokens."""
     for batch in batches:
-        for th, text, items in zip(batch.column("th").to_pylist(), batch.column("text"), batch.column("items"), strict=True):
-            t = (tokens(text.as_py())[0] >> np.uint64(32)).astype(np.uint32)
-            w = items.values
-            i, j = w.field("i").to_numpy(), w.field("j").to_numpy()
-            raw = [t[a : b + SPAN].tobytes() for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-            columns = [w.field("key"), w.field("blocks"), pa.array(np.full(len(i), th)), w.field("i"), w.field("o"), pa.array((j - i + 1).astype(np.int32)), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "blocks", "th", "i", "o", "n", "tokens"])
-
-
-def _same_set(a: np.ndarray, b: np.ndarray) -> bool:
-    p, q = set(a.tolist()), set(b.tolist())
-    return len(p & q) >= SIMILAR * len(p | q)
+        if not len(batch):
+            continue
+        found = [tokens(t)[0] for t in batch.column("text").to_pylist()]
+        start = np.concatenate(([0], np.cumsum([len(t) for t in found])))
+        t = (np.concatenate(found) >> np.uint64(32)).astype(np.uint32)
+        row, (key, blocks, i, j, o) = _of_lists(batch.column("items"))
+        th = batch.column("th").to_numpy()
+        for x in range(0, len(row), STEP):
+            x = slice(x, x + STEP)
+            size = (j[x] - i[x]).astype(np.int64) + SPAN
+            ends = np.cumsum(size)
+            flat = t[np.repeat(start[row[x]] + i[x] - ends + size, size) + np.arange(ends[-1])]
+            bounds = np.concatenate(([0], ends * 4)).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.tobytes())])
+            columns = [pa.array(v) for v in (key[x], blocks[x], th[row[x]], i[x], o[x], (size - SPAN + 1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, raw], ["key", "blocks", "th", "i", "o", "n", "tokens"])
 
 
 class _Items:
-    """Passages of many groups, in order of group: `t` holds all tokens, item x those from at[x], its passages begin at
-    the first `n[x]` of them, and its centre is `o[x]` tokens on."""
+    """Passages of many groups, in order of group and text: `t` holds all tokens, item x those from at[x], its passages
+    begin at the first `n[x]` of them, and its centre is `o[x]` tokens on."""
 
     def __init__(self, group: np.ndarray, th: np.ndarray, i: np.ndarray, o: np.ndarray, n: np.ndarray, raw: list[bytes]):
         self.group, self.th, self.i, self.o, self.n = group, th, i, o, n
         self.t = np.frombuffer(b"".join(raw), np.uint32)
-        self.at = np.concatenate(([0], np.cumsum(n + SPAN - 1)))
+        self.size = n + SPAN - 1
+        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        self.twice = np.zeros(len(n), bool)
+        bit = np.uint64(1) << (self.t & np.uint32(63)).astype(np.uint64)
+        self.bits = np.stack([np.bitwise_or.reduceat(np.where((self.t >> np.uint32(6)) & np.uint32(3) == k, bit, np.uint64(0)), self.at[:-1]) for k in range(4)], 1)
+        self.slack = self.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+
+    def can_be(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether items a and b can share SHARED tokens, by a set of 256 bits of each; those that differ in so many bits can't."""
+        both = np.bitwise_count(self.bits[a] & self.bits[b]).sum(1, dtype=np.int64)
+        return (both + self.slack[a] >= SHARED) | self.twice[a] | self.twice[b]
 
     def live(self) -> np.ndarray:
         """Items with a passage of which SHARED places hold a token that another item of the group has too, or one twice."""
-        item = np.repeat(np.arange(len(self.n)), self.n + SPAN - 1)
+        item = np.repeat(np.arange(len(self.n)), self.size)
         value = self.group[item].astype(np.uint64) << np.uint64(32) | self.t
         order = np.argsort(value, kind="stable")
         v, x = value[order], item[order]
         same = v[1:] == v[:-1]
+        self.twice[x[1:][same & (x[1:] == x[:-1])]] = True
         often = np.zeros(len(v), bool)
         often[order[1:]] |= same
         often[order[:-1]] |= same
         total = np.concatenate(([0], np.cumsum(often)))
         begin = np.repeat(self.at[:-1] - np.cumsum(self.n) + self.n, self.n) + np.arange(self.n.sum())
         enough = total[begin + SPAN] - total[begin] >= SHARED
-        return np.bincount(np.repeat(np.arange(len(self.n)), self.n), enough, len(self.n)) > 0
-
-    def near(self, a: int, others: np.ndarray) -> list[tuple[int, int, int]]:
-        """(b, least, most) for each of others with passages similar to a's that begin from `most` to `least` tokens before the centre."""
-        ta = self.t[self.at[a] : self.at[a + 1]]
-        order = np.argsort(ta, kind="stable")
-        ranked = ta[order]
-        twice_a = bool((ranked[1:] == ranked[:-1]).any())
-        sizes = self.n[others] + SPAN - 1
-        ends = np.cumsum(sizes)
-        flat = self.t[np.repeat(self.at[others] - ends + sizes, sizes) + np.arange(ends[-1])]
-        place = np.minimum(np.searchsorted(ranked, flat), len(ranked) - 1)
-        place = np.where(ranked[place] == flat, order[place], -(1 << 20))
+        return self.twice | (np.bincount(np.repeat(np.arange(len(self.n)), self.n), enough, len(self.n)) > 0)
+
+    def _flat(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the items' tokens, where each item's start among these)."""
+        size = self.size[items]
+        ends = np.cumsum(size)
+        return np.repeat(self.at[items] - ends + size, size) + np.arange(ends[-1]), ends - size
+
+    def near(self, leaders: np.ndarray, of: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, least, most) of those of others with passages similar to ones of leaders[of] that begin `most` to `least`
+        tokens before the centre in both; x are places in others."""
+        flat, _ = self._flat(leaders)
+        value = np.repeat(np.arange(len(leaders)), self.size[leaders]).astype(np.uint64) << np.uint64(32) | self.t[flat]
+        order = np.argsort(value, kind="stable")
+        ranked, place = value[order], (flat - np.repeat(self.at[leaders], self.size[leaders]))[order]
+        flat, first = self._flat(others)
+        value = np.repeat(of, self.size[others]).astype(np.uint64) << np.uint64(32) | self.t[flat]
+        at = np.minimum(np.searchsorted(ranked, value), len(ranked) - 1)
+        place = np.where(ranked[at] == value, place[at], -(1 << 20))
         total = np.concatenate(([0], np.cumsum(place >= 0)))
-        lo = np.maximum(self.o[others] - self.n[others] + 1, self.o[a] - self.n[a] + 1)
-        hi = np.minimum(self.o[others], self.o[a])
-        out = []
-        for x in np.flatnonzero(lo <= hi).tolist():
-            first = int(ends[x] - sizes[x]) + int(self.o[others[x]])
-            steps = np.arange(lo[x], hi[x] + 1)
-            begin = first - steps
-            steps = steps[total[begin + SPAN] - total[begin] >= SHARED]
-            if not len(steps):
-                continue
-            b = flat[ends[x] - sizes[x] : ends[x]]
-            if twice_a or len(np.unique(b)) < len(b):
-                good = [k for k in steps.tolist() if _same_set(ta[self.o[a] - k :][:SPAN], b[self.o[others[x]] - k :][:SPAN])]
-            else:
-                window = place[(first - steps)[:, None] + np.arange(SPAN)] - (self.o[a] - steps)[:, None]
-                good = steps[((window >= 0) & (window < SPAN)).sum(1) >= SHARED].tolist()
-            if good:
-                out.append((int(others[x]), min(good), max(good)))
-        return out
-
-    def links(self) -> list[tuple[int, int, int, int]]:
-        """(a, b, least, most): links that join all items of a group with similar passages, and cover the passages of each."""
-        rest = np.flatnonzero(self.live())
-        out: list[tuple[int, int, int, int]] = []
-        bounds = np.flatnonzero(np.concatenate(([True], self.group[rest][1:] != self.group[rest][:-1], [True]))) if len(rest) else []
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            left = rest[s:e]
-            if self.th[left[0]] == self.th[left[-1]]:  # items of a group are in order of th
+
+        a = leaders[of]
+        lo, hi = np.maximum(self.o[others] - self.n[others], self.o[a] - self.n[a]) + 1, np.minimum(self.o[others], self.o[a])
+        width = np.maximum(hi - lo + 1, 0)
+        x = np.repeat(np.arange(len(others)), width)
+        step = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+        begin = first[x] + self.o[others[x]] - step
+        twice = self.twice[a[x]] | self.twice[others[x]]
+        some = twice | (total[begin + SPAN] - total[begin] >= SHARED)
+        x, step, begin, twice = x[some], step[some], begin[some], twice[some]
+        in_a = self.o[a[x]] - step
+        window = np.arange(SPAN)
+        good = np.zeros(len(x), bool)
+        once = np.flatnonzero(~twice)
+        there = place[begin[once][:, None] + window] - in_a[once][:, None]
+        good[once] = ((there >= 0) & (there < SPAN)).sum(1) >= SHARED
+        rest = np.flatnonzero(twice)
+        if len(rest):  # sets of tokens, by row
+            row = (np.arange(len(rest), dtype=np.uint64) << np.uint64(32))[:, None]
+            p = np.unique(row | self.t[(self.at[a[x[rest]]] + in_a[rest])[:, None] + window])
+            q = np.unique(row | self.t[(self.at[others[x[rest]]] + self.o[others[x[rest]]] - step[rest])[:, None] + window])
+            count = lambda v: np.bincount((v >> np.uint64(32)).astype(np.int64), minlength=len(rest))
+            both = count(np.intersect1d(p, q, assume_unique=True))
+            good[rest] = both >= SIMILAR * (count(p) + count(q) - both)
+        x, step = x[good], step[good]
+        if not len(x):
+            return x, x, x
+        new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        return x[new], step[new], step[np.concatenate((new[1:] - 1, [len(x) - 1]))]
+
+    def links(self) -> np.ndarray:
+        """Rows (a, b, least, most): links that join all items of a group with similar passages, and cover passages of each.
+
+        A search in breadth, in all groups at once: each round one item of each group, one reached if there is
+        any, is compared with those of its group that are not reached.
+        """
+        left = np.flatnonzero(self.live())
+        reached, out = left[:0], [np.zeros((0, 4), np.int64)]
+        while len(left) > 1:
+            reached = reached[np.isin(self.group[reached], self.group[left])]
+            both = np.concatenate((reached, left))
+            order = np.argsort(self.group[both], kind="stable")
+            g = self.group[both][order]
+            leaders = both[order[np.concatenate(([True], g[1:] != g[:-1]))]]
+            reached, left = reached[~np.isin(reached, leaders)], left[~np.isin(left, leaders)]
+            of = np.searchsorted(self.group[leaders], self.group[left])
+            asked = np.flatnonzero((self.th[leaders[of]] != self.th[left]) & self.can_be(leaders[of], left))
+            if not len(asked):
                 continue
-            while len(left) > 1:
-                queue, left = [int(left[0])], left[1:]
-                while queue and len(left):
-                    a = queue.pop()
-                    other = left[self.th[left] != self.th[a]]
-                    found = self.near(a, other) if len(other) else []
-                    out += [(a, *x) for x in found]
-                    queue += [x[0] for x in found]
-                    left = left[~np.isin(left, [x[0] for x in found])] if found else left
-        return out
+            x, least, most = self.near(leaders, of[asked], left[asked])
+            x = asked[x]
+            out.append(np.stack((leaders[of[x]], left[x], least, most), 1))
+            found = np.zeros(len(left), bool)
+            found[x] = True
+            reached, left = np.concatenate((reached, left[found])), left[~found]
+        return np.concatenate(out)
 
 
 _FOUND = "a long, b long, a0 int, a1 int, b0 int, b1 int"
@@ -302,29 +343,24 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         keys = rows[["key", "x", "y"]].to_numpy()
-        group = np.cumsum(np.concatenate(([False], (keys[1:] != keys[:-1]).any(1)))) if len(rows) else np.zeros(0, int)
+        group = np.cumsum(np.concatenate(([False], (keys[1:] != keys[:-1]).any(1))))
         x = _Items(group, *(rows[c].to_numpy(np.int64) for c in ("th", "i", "o", "n")), rows["tokens"].tolist())
-        got = np.array(x.links() if len(rows) else [], np.int64).reshape(-1, 4)
-        a, b, least, most = got.T
+        a, b, least, most = x.links().T
         begin, end = (lambda k: x.i[k] + x.o[k] - most), (lambda k: x.i[k] + x.o[k] - least + PASSAGE)
         return pd.DataFrame({"a": x.th[a], "b": x.th[b], "a0": begin(a), "a1": end(a), "b0": begin(b), "b1": end(b)}).astype({c: np.int32 for c in ("a0", "a1", "b0", "b1")}).drop_duplicates()
 
     held: list[pd.DataFrame] = []
     for batch in batches:
-        if not len(batch):
+        held.append(batch)
+        if sum(map(len, held)) < STEP:
             continue
-        last = batch[["key", "x", "y"]].iloc[-1]
-        same = ((batch["key"] == last["key"]) & (batch["x"] == last["x"]) & (batch["y"] == last["y"])).to_numpy()
-        cutoff = int(np.argmax(same))
-        if held and (cutoff or (held[0][["key", "x", "y"]].iloc[0] != last).any()):
-            yield found(pd.concat([*held, batch.iloc[:cutoff]], ignore_index=True))
-            held = [batch.iloc[cutoff:]]
-        elif cutoff:
-            yield found(batch.iloc[:cutoff].reset_index(drop=True))
-            held = [batch.iloc[cutoff:]]
-        else:
-            held.append(batch)
-    if held:
+        rows = pd.concat(held, ignore_index=True)
+        last = (rows[["key", "x", "y"]] == rows[["key", "x", "y"]].iloc[-1]).all(axis=1).to_numpy()
+        whole = int(np.argmax(last))
+        if whole:
+            yield found(rows.iloc[:whole])
+        held = [rows.iloc[whole:]]
+    if sum(map(len, held)):
         yield found(pd.concat(held, ignore_index=True))
 
 
@@ -346,7 +382,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     passage as a whole. Passages that stand in several texts as they are are found by one hash each, all
     words of them are reported, and one of the texts stands for the others from there on. What else
     shares two signatures is compared with all of its key, in blocks where there are more than
-    `block`, until what is similar is linked; spans of edited passages cover those of one link at least.
+    `block`, until what is similar is linked; spans of edited passages cover those of one link at least, and
+    of an edited passage that a text holds twice, word for word, the first is compared.
 
     Null, empty and short texts have no passages. Rows with a null id take part and are told apart by
     their text; other columns are not read; an empty table gives an empty result.

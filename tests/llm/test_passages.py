@@ -173,9 +173,10 @@ def test_signatures_and_candidates_agree_with_plain_windows():
             assert np.array_equal(key[at].view(np.uint64), h[c[at]] ^ np.uint64(g))
         if len(t) >= passages.SPAN:
             at = row == i
-            count, pairs = passages.held_by(f[at], key[at], left[at], c[at], right[at])
+            count, _, first, last, centre = passages.held_by(f[at], key[at], left[at], c[at], right[at], 0, len(t) - passages.SPAN + 1)
             assert count.tolist() == [passages.HASHES] * (len(t) - passages.SPAN + 1)
-            assert sorted(k for _, s, e, _ in pairs for k in range(s, e + 1)) == sorted([*range(len(count))] * 6)
+            assert sorted(k for s, e in zip(first, last) for k in range(s, e + 1)) == sorted([*range(len(count))] * (passages.HASHES * (passages.HASHES - 1) // 2))
+            assert set((first + centre).tolist()) <= set(c[at].tolist()) and (centre < passages.SPAN).all()
 
 
 def test_odd_rows(spark, odd, none):
