@@ -23,9 +23,15 @@ def short_hash(content: Column, n: int = 12) -> Column:
 
 
 def thai_code(ch: Column) -> Column:
-    """The one-byte Thai code of a character from U+0E01 to U+0E5B; digits give their own code; else null."""
+    """The one-byte Thai code of a character: U+0E01 to U+0E3A and U+0E3F to U+0E5B, and ASCII as it is; else null."""
     point = F.ascii(ch)
-    return F.when(F.length(ch) != 1, None).when(point.between(0x0E01, 0x0E5B), point - 3424).when(point.between(48, 57), point).cast("int")
+    thai = point.between(0x0E01, 0x0E3A) | point.between(0x0E3F, 0x0E5B)
+    return F.when(F.length(ch) != 1, None).when(thai, point - 3424).when(point < 128, point).cast("int")
+
+
+def label_code(label: Column) -> Column:
+    """The code of a class label: that of the character after its first underscore, or the number where it is one; null for anything else."""
+    return F.when(label.rlike("^[0-9]+$"), label.try_cast("int")).otherwise(thai_code(F.regexp_extract(label, r"(?s)^[^_]*_(.*)$", 1)))
 
 
 def marked(ch: Column) -> Column:

@@ -143,3 +143,57 @@ def capture_contract(df: DataFrame) -> DataFrame:
     """Checks of captured rows: writer and capture ids of safe characters, each capture once."""
     bad = df.where(~F.col("writer_id").rlike("^[A-Za-z0-9_-]+$") | ~F.col("capture_id").rlike("^[A-Za-z0-9_-]+$"))
     return _check(1, "ids", bad, F.concat_ws("/", "writer_id", "capture_id")).union(_check(2, "captures", df.groupBy("writer_id", "capture_id", "path").count().where("count > 1"), F.col("path")))
+
+
+def predictions(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Checks, in order of precedence, of a run's predictions (path, true_label, predicted_label, confidence) against
+    a manifest (path, label): paths once on each side, the same paths, the same truth, confidences from 0 to 1."""
+    twice = truth.select("path").groupBy("path").count().union(found.select("path").groupBy("path").count()).where("count > 1")
+    lone = truth.select("path").join(found.select("path"), "path", "left_anti").union(found.select("path").join(truth.select("path"), "path", "left_anti"))
+    other = found.join(truth.select("path", "label"), "path").where("not (label <=> true_label)")
+    outside = found.where("not coalesce(confidence between 0 and 1 and not isnan(confidence), false)")
+    return reduce(DataFrame.union, [_check(i, name, rows, F.col("path")) for i, (name, rows) in enumerate((("duplicates", twice), ("coverage", lone), ("truth", other), ("confidence", outside)), 1)])
+
+
+def checked_predictions(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """found with `correct`, if no check of predictions() is violated."""
+    raise_first(predictions(truth, found))
+    return found.withColumn("correct", F.col("true_label") == F.col("predicted_label"))
+
+
+def resolved_config(external: dict | None, embedded: dict | None, known: set[str]) -> dict:
+    """A model's settings from a file and from its checkpoint, which must not differ (a tuple and a list are the same),
+    name only known settings, and be there in one of them."""
+    same = lambda v: list(v) if isinstance(v, (list, tuple)) else v
+    if external is not None and embedded is not None:
+        for key in sorted(external.keys() | embedded.keys()):
+            if same(external.get(key)) != same(embedded.get(key)):
+                raise ValueError(f"config and checkpoint differ in {key}: {external.get(key)!r}, {embedded.get(key)!r}")
+    config = external or embedded
+    if not isinstance(config, dict):
+        raise ValueError("there is no usable config")
+    if unknown := sorted(config.keys() - known):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return config
+
+
+def resolved_labels(external: dict | None, embedded: dict | None) -> dict[str, int]:
+    """A label index from a file and from a checkpoint, which must not differ and number its labels from 0 without gaps."""
+    if external is not None and embedded is not None and external != embedded:
+        raise ValueError("label index and checkpoint differ")
+    labels = external or embedded
+    if not isinstance(labels, dict) or not labels:
+        raise ValueError("there is no label index")
+    try:
+        out = {str(k): int(v) for k, v in labels.items()}
+    except (TypeError, ValueError):
+        raise ValueError("a label index holds whole numbers") from None
+    if sorted(out.values()) != list(range(len(out))):
+        raise ValueError("label indices must run from 0 without gaps")
+    return out
+
+
+def output_dimension(scored: DataFrame, labels: int) -> None:
+    """An error if items with logits have not one logit a label."""
+    if bad := scored.where(F.size("logits") != labels).select(F.size("logits")).first():
+        raise ValueError(f"{bad[0]} outputs for {labels} labels")

@@ -52,18 +52,36 @@ def denormalise(x: np.ndarray, mean: list[float], std: list[float]) -> np.ndarra
     return (x * np.array(std) + np.array(mean)) * 255
 
 
+def sampled(x: np.ndarray, u: np.ndarray, v: np.ndarray, fill: float = 255.0, cubic: bool = False) -> np.ndarray:
+    """Values of an image at columns u and rows v, bilinear or bicubic (a = -0.5) between pixel centres; pixels beyond
+    an edge repeat the edge, points beyond the image are `fill`."""
+    h, w = x.shape[:2]
+    inside = (u >= -0.5) & (u < w - 0.5) & (v >= -0.5) & (v < h - 0.5)
+    out = np.full((*u.shape, x.shape[2]), float(fill))
+    u, v = u[inside], v[inside]
+    c, r = np.floor(u).astype(int), np.floor(v).astype(int)
+
+    def weights(t: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        if not cubic:
+            return [(0, 1 - t), (1, t)]
+        near, far = (lambda d: 1.5 * d**3 - 2.5 * d**2 + 1), (lambda d: -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2)
+        return [(-1, far(1 + t)), (0, near(t)), (1, near(1 - t)), (2, far(2 - t))]
+
+    total = np.zeros((len(u), x.shape[2]))
+    for i, a in weights(v - r):
+        for j, b in weights(u - c):
+            total += (a * b)[:, None] * x[np.clip(r + i, 0, h - 1), np.clip(c + j, 0, w - 1)]
+    out[inside] = np.clip(total, 0, 255)
+    return out
+
+
 def affine(x: np.ndarray, angle: float, dx: float, dy: float, scale: float, fill: float = 255.0) -> np.ndarray:
-    """Rotation by degrees about the centre, scaling and a shift in pixels, nearest pixel."""
+    """Rotation by degrees about the centre, scaling and a shift in pixels, bilinear."""
     h, w = x.shape[:2]
     a = np.deg2rad(angle)
     yy, xx = np.mgrid[0:h, 0:w]
     u, v = xx - (w - 1) / 2 - dx, yy - (h - 1) / 2 - dy
-    sx = np.rint((np.cos(a) * u + np.sin(a) * v) / scale + (w - 1) / 2).astype(int)
-    sy = np.rint((-np.sin(a) * u + np.cos(a) * v) / scale + (h - 1) / 2).astype(int)
-    inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-    out = np.full(x.shape, fill, np.float64)
-    out[inside] = x[sy[inside], sx[inside]]
-    return out
+    return sampled(x, (np.cos(a) * u + np.sin(a) * v) / scale + (w - 1) / 2, (-np.sin(a) * u + np.cos(a) * v) / scale + (h - 1) / 2, fill)
 
 
 def random_affine(x: np.ndarray, key: str, seed: int = 42) -> np.ndarray:
@@ -72,23 +90,27 @@ def random_affine(x: np.ndarray, key: str, seed: int = 42) -> np.ndarray:
     return affine(x, r.uniform(-5, 5), r.uniform(-0.03, 0.03) * x.shape[1], r.uniform(-0.03, 0.03) * x.shape[0], r.uniform(0.95, 1.05))
 
 
-def tta(x: np.ndarray) -> list[np.ndarray]:
-    """Five fixed views: as it is, turned by 3 degrees each way, moved by a pixel right and down."""
-    return [x.astype(np.float64), affine(x, 3, 0, 0, 1), affine(x, -3, 0, 0, 1), affine(x, 0, 1, 0, 1), affine(x, 0, 0, 1, 1)]
+def tta(x: np.ndarray, fill: float = 255.0) -> list[np.ndarray]:
+    """Five fixed views: as it is, turned by 3 degrees each way, moved by a pixel to the right and to the left."""
+    edge = np.full((x.shape[0], 1, x.shape[2]), float(fill))
+    return [x.astype(np.float64), *(affine(x, a, 0, 0, 1, fill) for a in (-3, 3)), np.concatenate((edge, x[:, :-1]), 1), np.concatenate((x[:, 1:], edge), 1)]
 
 
 def ink_box(grey: np.ndarray, dark: int = 190) -> tuple[int, int, int, int]:
-    """(left, top, right, bottom) of ink: rows with max(2, width // 500) dark pixels, columns with 2; the whole image without any."""
+    """(left, top, right, bottom) of ink: rows with max(2, width // 500) dark pixels, then columns with 2 within these rows; an error without any."""
     d = grey < dark
-    ys, xs = np.flatnonzero(d.sum(1) >= max(2, grey.shape[1] // 500)), np.flatnonzero(d.sum(0) >= 2)
-    if not len(ys) or not len(xs):
-        return 0, 0, grey.shape[1], grey.shape[0]
+    ys = np.flatnonzero(d.sum(1) >= max(2, grey.shape[1] // 500))
+    xs = np.flatnonzero(d[ys[0] : ys[-1] + 1].sum(0) >= 2) if len(ys) else ys
+    if not len(xs):
+        raise ValueError("the image holds no ink")
     return int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1
 
 
-def trim(x: np.ndarray, pad: int = 4) -> np.ndarray:
+def trim(x: np.ndarray, padding: float = 0.15) -> np.ndarray:
+    """The image cut to its ink, with `padding` of the ink's extent around it on each axis, two pixels at least."""
     left, top, right, bottom = ink_box(x.mean(2))
-    return x[max(0, top - pad) : bottom + pad, max(0, left - pad) : right + pad]
+    px, py = (max(2, round(n * padding)) for n in (right - left, bottom - top))
+    return x[max(0, top - py) : bottom + py, max(0, left - px) : right + px]
 
 
 def homography(points: list[tuple[float, float]], width: float, height: float) -> np.ndarray:
@@ -103,27 +125,19 @@ def homography(points: list[tuple[float, float]], width: float, height: float) -
     return np.linalg.solve(m, np.array(values, np.float64))
 
 
-def warp(x: np.ndarray, coefficients: np.ndarray, width: int, height: int, fill: float = 255.0) -> np.ndarray:
-    v, u = np.mgrid[0:height, 0:width]
+def warp(x: np.ndarray, coefficients: np.ndarray, width: int, height: int, fill: float = 0.0) -> np.ndarray:
+    """A width x height rectangle filled from an image by homography()'s coefficients, bicubic."""
+    v, u = np.mgrid[0:height, 0:width] + 0.5
     a, b, c, d, e, f, g, h = coefficients
     w = g * u + h * v + 1
-    sx, sy = np.rint((a * u + b * v + c) / w).astype(int), np.rint((d * u + e * v + f) / w).astype(int)
-    inside = (sx >= 0) & (sx < x.shape[1]) & (sy >= 0) & (sy < x.shape[0])
-    out = np.full((height, width, x.shape[2]), fill)
-    out[inside] = x[sy[inside], sx[inside]]
-    return out
+    return sampled(x, (a * u + b * v + c) / w - 0.5, (d * u + e * v + f) / w - 0.5, fill, cubic=True)
 
 
 def grid_boxes(width: int, height: int, rows: int, columns: int = 8, label_band: float = 0.16, inner: float = 0.07) -> list[tuple[int, int, int, int]]:
-    """The inside of each cell of a form, below its label band and within its margin."""
-    out = []
-    for i in range(rows):
-        for j in range(columns):
-            x0, x1, y0, y1 = j * width / columns, (j + 1) * width / columns, i * height / rows, (i + 1) * height / rows
-            y0 += (y1 - y0) * label_band
-            mx, my = (x1 - x0) * inner, (y1 - y0) * inner
-            out.append((round(x0 + mx), round(y0 + my), round(x1 - mx), round(y1 - my)))
-    return out
+    """The inside of each cell of a form, below its label band and within margins that are a part of the whole cell."""
+    w, h = width / columns, height / rows
+    mx, my, band = round(w * inner), round(h * inner), round(h * label_band)
+    return [(round(j * w) + mx, round(i * h) + band + my, round((j + 1) * w) - mx, round((i + 1) * h) - my) for i in range(rows) for j in range(columns)]
 
 
 def grow(mask: np.ndarray) -> np.ndarray:
@@ -147,19 +161,25 @@ def components(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
+def parts_of(mask: np.ndarray, least: int = 6) -> pd.DataFrame:
+    """(size, x, left, top, right, bottom) of the 4-connected parts of a mask of `least` pixels or more, x the mean column."""
+    y, x = np.nonzero(mask)
+    points = pd.DataFrame({"part": components(mask)[y, x], "x": x, "y": y}).groupby("part")
+    parts = points.agg(size=("x", "size"), x=("x", "mean"), left=("x", "min"), top=("y", "min"), right=("x", "max"), bottom=("y", "max"))
+    parts[["right", "bottom"]] += 1
+    return parts[parts["size"] >= least]
+
+
 def central_box(grey: np.ndarray) -> tuple[int, int, int, int]:
-    """The padded box of the part nearest to the middle among those of a quarter of the largest part's size; parts under 6 pixels are no parts."""
-    label = components(grow((grey < 200).astype(np.uint8)).astype(bool))
-    ids, sizes = np.unique(label[label > 0], return_counts=True)
-    ids, sizes = ids[sizes >= 6], sizes[sizes >= 6]
+    """The padded box of the part nearest to the middle among those of a quarter of the largest part's size; the whole image without parts."""
     h, w = grey.shape
-    if not len(ids):
+    parts = parts_of(grow((grey < 200).astype(np.uint8)).astype(bool))
+    if parts.empty:
         return 0, 0, w, h
-    ids = ids[sizes >= sizes.max() * 0.25]
-    best = min(ids, key=lambda i: abs(np.nonzero(label == i)[1].mean() - w / 2))
-    ys, xs = np.nonzero(label == best)
-    pad = max(2, round((ys.max() + 1 - ys.min()) * 0.12))
-    return max(0, int(xs.min()) - pad), max(0, int(ys.min()) - pad), min(w, int(xs.max()) + 1 + pad), min(h, int(ys.max()) + 1 + pad)
+    large = parts[parts["size"] * 4 >= parts["size"].max()]
+    box = large.loc[(large["x"] - w / 2).abs().idxmin()]
+    pad = max(2, round((box["bottom"] - box["top"]) * 0.12))
+    return max(0, int(box["left"]) - pad), max(0, int(box["top"]) - pad), min(w, int(box["right"]) + pad), min(h, int(box["bottom"]) + pad)
 
 
 def low_runs(profile: np.ndarray, most: int = 1) -> list[tuple[int, int]]:
@@ -168,28 +188,40 @@ def low_runs(profile: np.ndarray, most: int = 1) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def gap_guided_box(grey: np.ndarray) -> tuple[int, int, int, int]:
-    """The box of the glyph in the middle of the phrase after the widest suitable space of a written line.
+# Fixed values of the phrase: where its space lies in the line, between which bounds it is looked for, what a pixel of
+# its width is worth; units of the phrase, where the glyph lies in it, how near and far its neighbours' gaps are, half
+# its width where they are missing; padding of the glyph.
+SPACE_AT, SPACE_FROM, SPACE_TO, SPACE_WORTH = 0.41, 0.25, 0.58, 2
+UNITS, GLYPH_AT, NEAREST, FARTHEST, HALF_GLYPH = 23, 0.5, 0.15, 1.4, 0.75
+PAD_X, PAD_Y = 0.2, 0.08
+
+
+def glyph_between_gaps(grey: np.ndarray) -> tuple[int, int, int, int]:
+    """The box of the glyph at the middle of the phrase after a written line's space, cut to its central part.
 
-    The phrase starts after the gap that is nearest to 41 % of the line, each pixel of width counting for
-    two of distance; of its 23 units, the glyph stands at the half, bounded by gaps within 0.15 to 1.4
-    units to either side, else by 0.75 unit.
+    A line is a table of the gaps in its ink. Ranking it by distance to where the space is expected, less the
+    gap's worth, gives the phrase's start; the glyph reaches from the last gap before its middle to the
+    first one after it, among those at a distance that neighbours can have.
     """
+    height, width = grey.shape
     left, top, right, bottom = ink_box(grey)
-    gaps = [(left + a, left + b) for a, b in low_runs((grey[top:bottom, left:right] < 190).sum(0))]
-    wide = right - left
-    expected = left + wide * 0.41
-    middle = lambda g: (g[0] + g[1]) / 2
-    spaces = [g for g in gaps if left + wide * 0.25 < middle(g) < left + wide * 0.58]
-    start = min(spaces, key=lambda g: abs(middle(g) - expected) - 2 * (g[1] - g[0]))[1] if spaces else round(expected)
-    centre, unit = start + (right - start) * 0.5, (right - start) / 23
-    before = [g[1] for g in gaps if centre - 1.4 * unit <= middle(g) < centre - 0.15 * unit]
-    after = [g[0] for g in gaps if centre + 0.15 * unit < middle(g) <= centre + 1.4 * unit]
-    a, b = max(before, default=round(centre - 0.75 * unit)), min(after, default=round(centre + 0.75 * unit))
-    if b <= a:
-        a, b = round(centre - 0.75 * unit), round(centre + 0.75 * unit)
-    px, py = max(2, round(unit * 0.2)), max(2, round((bottom - top) * 0.08))
-    return max(0, a - px), max(0, top - py), min(grey.shape[1], b + px), min(grey.shape[0], bottom + py)
+    gaps = pd.DataFrame(low_runs((grey[top:bottom, left:right] < 190).sum(0)), columns=["begin", "end"], dtype=float) + left
+    gaps["at"] = (gaps["begin"] + gaps["end"]) / 2
+    line = right - left
+    place = (gaps["at"] - left) / line
+    cost = (gaps["at"] - left - line * SPACE_AT).abs() - SPACE_WORTH * (gaps["end"] - gaps["begin"])
+    cost = cost[place.between(SPACE_FROM, SPACE_TO, inclusive="neither")]
+    phrase = gaps["end"][cost.idxmin()] if len(cost) else round(left + line * SPACE_AT)
+    unit, centre = (right - phrase) / UNITS, phrase + (right - phrase) * GLYPH_AT
+    away = (gaps["at"] - centre) / unit
+    default = [round(centre - HALF_GLYPH * unit), round(centre + HALF_GLYPH * unit)]
+    bounds = [gaps["end"][(away >= -FARTHEST) & (away < -NEAREST)].max(), gaps["begin"][(away > NEAREST) & (away <= FARTHEST)].min()]
+    bounds = [d if pd.isna(b) else int(b) for b, d in zip(bounds, default, strict=True)]
+    a, b = bounds if bounds[0] < bounds[1] else default
+    px, py = max(2, round(unit * PAD_X)), max(2, round((bottom - top) * PAD_Y))
+    x0, y0 = max(0, a - px), max(0, top - py)
+    box = central_box(grey[y0 : min(height, bottom + py), x0 : min(width, b + px)])
+    return x0 + box[0], y0 + box[1], x0 + box[2], y0 + box[3]
 
 
 def hsv(x: np.ndarray) -> np.ndarray:

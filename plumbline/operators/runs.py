@@ -87,12 +87,18 @@ def plateau(history: DataFrame, start: float, factor: float = 0.2, wait: int = 2
 def median_pruned(steps: DataFrame, startup: int = 3, warmup: int = 2) -> DataFrame:
     """(run_id, epoch, best, median, pruned): a run's best so far against the median of the others' at the same step.
 
-    No run is pruned before `startup` others have the step, nor in its first `warmup` epochs.
+    No run is pruned before `startup` others have the step, nor in its first `warmup` epochs. A step with one run
+    has no row. The others' median is looked up by rank: where a run stands at or before the middle of all
+    at its step, the others' middle is one further on.
     """
     line = Window.partitionBy("run_id").orderBy("epoch")
+    step = Window.partitionBy("epoch")
     s = steps.select("run_id", "epoch", F.max("val_macro_f1").over(line).alias("best"))
-    other = s.select(F.col("run_id").alias("other"), "epoch", F.col("best").alias("b"))
-    j = s.join(other, "epoch").where("run_id <> other").groupBy("run_id", "epoch").agg(F.first("best").alias("best"), F.percentile("b", F.lit(0.5)).alias("median"), F.count("*").alias("others"))
+    s = s.withColumns({"rank": F.row_number().over(step.orderBy("best", "run_id")) - 1, "others": F.count("*").over(step) - 1}).where("others > 0")
+    at = lambda i: F.when(F.col("rank") <= i, i + 1).otherwise(i)
+    s = s.withColumns({"lo": at(F.expr("(others - 1) div 2")), "hi": at(F.expr("others div 2"))})
+    ranks = lambda c: s.select("epoch", F.col("rank").alias(c), F.col("best").alias(f"{c}_best"))
+    j = s.join(ranks("lo"), ["epoch", "lo"]).join(ranks("hi"), ["epoch", "hi"]).withColumn("median", (F.col("lo_best") + F.col("hi_best")) / 2)
     return j.select("run_id", "epoch", "best", "median", ((F.col("others") >= startup) & (F.col("epoch") > warmup) & (F.col("best") < F.col("median"))).alias("pruned"))
 
 

@@ -11,10 +11,20 @@ from pyspark.sql.window import Window
 from plumbline.functions import values
 
 
+#: Numbers that the centroids of all labels may have together, as they are held in one row that each task gets.
+MOST_NUMBERS = 5_000_000
+
+
 class Scorer(Protocol):
-    """Anything that gives (path, label, logit) rows for items: the place where a trained network plugs in."""
+    """Anything that gives items with `logits` array<struct<predicted_label,logit>>: the place where a trained network plugs in."""
+
+    def logits(self, items: DataFrame) -> DataFrame: ...
 
-    def scores(self, items: DataFrame) -> DataFrame: ...
+
+def scores(scorer: Scorer, items: DataFrame) -> DataFrame:
+    """(items' columns but v, predicted_label, logit), a row for each label."""
+    out = scorer.logits(items).withColumn("z", F.explode("logits"))
+    return out.select(*[c for c in items.columns if c != "v"], "z.predicted_label", "z.logit")
 
 
 class CentroidScorer:
@@ -25,10 +35,14 @@ class CentroidScorer:
         e = train.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
         self.centroids = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
-    def scores(self, items: DataFrame) -> DataFrame:
-        """(items' columns, label, logit): items x labels; there is a centroid for each label only."""
-        c = self.centroids.withColumnRenamed("label", "predicted_label")
-        return items.crossJoin(c).withColumn("logit", self.distance(F.col("v"), F.col("centroid"))).drop("centroid", "v")
+    def logits(self, items: DataFrame) -> DataFrame:
+        """items with logits. The centroids are one row, of a size that is checked; each item is scored where it is."""
+        size = self.centroids.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
+        if size > MOST_NUMBERS:
+            raise ValueError(f"the centroids hold {size} numbers, more than {MOST_NUMBERS}")
+        every = self.centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("__centroids"))
+        one = F.transform("__centroids", lambda c: F.struct(c["label"].alias("predicted_label"), self.distance(F.col("v"), c["centroid"]).alias("logit")))
+        return items.join(F.broadcast(every)).withColumn("logits", one).drop("__centroids")
 
 
 class LogisticScorer:
@@ -43,14 +57,32 @@ class LogisticScorer:
         rows = self.index.transform(train.withColumn("features", array_to_vector("v")))
         self.model = LogisticRegression(labelCol="idx", featuresCol="features", family="multinomial", **settings).fit(rows)
 
-    def scores(self, items: DataFrame) -> DataFrame:
-        """(items' columns, predicted_label, logit), a row for each label."""
+    def logits(self, items: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
         raw = self.model.transform(items.withColumn("features", array_to_vector("v"))).withColumn("raw", vector_to_array("rawPrediction"))
         names = F.array(*map(F.lit, self.index.labels))
-        out = raw.select(*[c for c in items.columns if c != "v"], F.explode(F.arrays_zip(names.alias("predicted_label"), F.col("raw").alias("logit"))).alias("z"))
-        return out.select(*[c for c in items.columns if c != "v"], "z.predicted_label", "z.logit")
+        return raw.select(*items.columns, F.zip_with(names, "raw", lambda n, x: F.struct(n.alias("predicted_label"), x.alias("logit"))).alias("logits"))
+
+
+def ranked(logits: Column) -> Column:
+    """array<struct<n,label>> of an array of logits: the softmax, negative, from the likeliest label, ties by label."""
+    prob = values.softmax(F.transform(logits, lambda x: x["logit"]))
+    return F.array_sort(F.zip_with(prob, logits, lambda p, x: F.struct((-p).alias("n"), x["predicted_label"].alias("label"))))
+
+
+def top_of(scored: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """top_k() of items with logits, row by row."""
+    if k < 1:
+        raise ValueError("k must be 1 at least")
+    return _topped(scored.select(key, ranked(F.col("logits")).alias("s")), key, k)
+
+
+def _topped(lists: DataFrame, key: str, k: int) -> DataFrame:
+    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    top = F.transform(F.slice("s", 1, k), lambda x: F.struct(x["label"].alias("label"), (-x["n"]).alias("confidence")))
+    margin = (second["n"] - first["n"]) if k > 1 else F.lit(None).cast("double")
+    return lists.select(key, top.alias("top_k"), margin.alias("margin"))
 
 
 def probabilities(scores: DataFrame, key: str) -> DataFrame:
@@ -61,16 +93,21 @@ def probabilities(scores: DataFrame, key: str) -> DataFrame:
 
 
 def top_k(probs: DataFrame, key: str, k: int = 3) -> DataFrame:
-    """(key, top_k array<struct<label,confidence>>, margin): the k likeliest labels, ties by label; at most as many
-    as there are. margin is null with one label."""
+    """(key, top_k array<struct<label,confidence>>, margin): the k likeliest labels of rows (key, predicted_label, prob),
+    ties by label; at most as many as there are. margin is null with one label. Never more than the k best of a key
+    and of a part of the rows are held."""
     if k < 1:
         raise ValueError("k must be 1 at least")
-    s = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("prob")).alias("n"), F.col("predicted_label").alias("label")))), 1, max(k, 2))
-    g = probs.groupBy(key).agg(s.alias("s"))
-    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    top = F.transform(F.slice("s", 1, k), lambda x: F.struct(x["label"].alias("label"), (-x["n"]).alias("confidence")))
-    margin = (second["n"] - first["n"]) if k > 1 else F.lit(None).cast("double")
-    return g.select(key, top.alias("top_k"), margin.alias("margin"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("prob").desc(), "predicted_label"))
+    best = probs.withColumn("rank", rank).where(F.col("rank") <= max(k, 2))  # a limit that each task applies before the shuffle
+    lists = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("prob")).alias("n"), F.col("predicted_label").alias("label")))).alias("s"))
+    return _topped(lists, key, k)
+
+
+def prediction_of(scored: DataFrame) -> DataFrame:
+    """Items with logits, less v and these, with predicted_label and confidence: the likeliest label, ties by label."""
+    out = scored.withColumn("s", F.array_min(ranked(F.col("logits"))))
+    return out.select(*[c for c in scored.columns if c not in ("v", "logits")], F.col("s.label").alias("predicted_label"), (-F.col("s.n")).alias("confidence"))
 
 
 def predict(probs: DataFrame, key: str) -> DataFrame:

@@ -72,11 +72,12 @@ def zipped(df: DataFrame, boxes: str, scores: str) -> DataFrame:
 
 
 def ink_bounds(pixels: DataFrame, key: str = "image", dark: int = 190) -> DataFrame:
-    """(key, left, top, right, bottom) of ink in pixels (key, x, y, v, w): rows with max(2, w div 500) dark pixels, columns with 2; right and bottom exclusive."""
+    """(key, left, top, right, bottom) of ink in pixels (key, x, y, v, w): rows with max(2, w div 500) dark pixels, then
+    columns with 2 from the first to the last of these rows; right and bottom exclusive. An image without ink has no row."""
     d = pixels.where(F.col("v") < dark)
     rows = d.groupBy(key, "y").agg(F.count("*").alias("n"), F.max("w").alias("w")).where("n >= greatest(2, w div 500)").groupBy(key).agg(F.min("y").alias("top"), (F.max("y") + 1).alias("bottom"))
-    columns = d.groupBy(key, "x").agg(F.count("*").alias("n")).where("n >= 2").groupBy(key).agg(F.min("x").alias("left"), (F.max("x") + 1).alias("right"))
-    return rows.join(columns, key).select(key, "left", "top", "right", "bottom")
+    columns = d.join(rows, key).where("y >= top and y < bottom").groupBy(key, "x").agg(F.count("*").alias("n"), F.first("top").alias("top"), F.first("bottom").alias("bottom")).where("n >= 2")
+    return columns.groupBy(key).agg(F.min("x").alias("left"), F.first("top").alias("top"), (F.max("x") + 1).alias("right"), F.first("bottom").alias("bottom"))
 
 
 def pool(pixels: DataFrame, key: str = "image", size: int = 2) -> DataFrame:

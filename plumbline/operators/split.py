@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit
 from plumbline.operators.graph import connected_components
-from plumbline.runtime import cut
+from plumbline.runtime import cut, exists
 
 ALGORITHM = "source-family-hash-order-greedy"
 
@@ -28,30 +31,42 @@ def assign(grouped: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFra
     brings the count strictly closer to that and is not the last. With fewer than two such groups the
     label stays in train. Derived rows of a chosen group are held out.
 
-    The fold needs an array of (group, size) for each label: numbers only, no rows.
+    The fold goes through a label's groups in their order and holds one count: rows of (group, size), sorted by the
+    shuffle, which spills, and never an array of a label's groups.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
     groups = grouped.groupBy("label", "grp").agg(F.sum(F.when(F.col("derived"), 0).otherwise(1)).cast("long").alias("size")).where("size > 0")
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("grp")).cast("binary"))
-    lists = groups.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "grp", "size"))).alias("gs"), F.sum("size").alias("total"))
-    lists = lists.where(F.size("gs") > 1).withColumn("target", F.col("total") * F.lit(float(fraction)))
-    off = lambda x: F.abs(x - F.col("target"))
-    # the first least, so in the order of the hash
-    lists = lists.withColumn("first", F.array_min(F.transform("gs", lambda g, i: F.struct(off(g["size"]).alias("d"), i.alias("i")))).getField("i"))
-    lists = lists.withColumn("rest", F.filter("gs", lambda g, i: i != F.col("first")))
-    lists = lists.withColumn("head", F.get("gs", F.col("first")))
-    step = lambda acc, g: F.when(
-        (acc["i"] < F.size("rest") - 1) & (off(acc["n"] + g["size"]) < off(acc["n"])),
-        F.struct((acc["i"] + 1).alias("i"), (acc["n"] + g["size"]).alias("n"), F.concat(acc["picked"], F.array(g["grp"])).alias("picked")),
-    ).otherwise(F.struct((acc["i"] + 1).alias("i"), acc["n"].alias("n"), acc["picked"].alias("picked")))
-    start = F.struct(F.lit(0).alias("i"), F.col("head.size").alias("n"), F.array(F.col("head.grp")).alias("picked"))
-    chosen = lists.select("label", F.explode(F.aggregate("rest", start, step, lambda acc: acc["picked"])).alias("grp")).withColumn("chosen", F.lit(True))
+    groups = cut(groups.withColumn("o", F.md5(F.concat(F.lit(f"{seed}|"), F.col("grp")).cast("binary"))))
+    totals = groups.groupBy("label").agg((F.sum("size") * F.lit(float(fraction))).alias("target"), F.count("*").alias("n")).where("n > 1")
+    groups = groups.join(totals, "label")
+    first = F.min(F.struct(F.abs(F.col("size") - F.col("target")).alias("off"), F.col("o").alias("o"), F.col("grp").alias("grp"), F.col("size").alias("size")))  # ties go by the hash
+    first = cut(groups.groupBy("label").agg(first.alias("head")))
+    rest = groups.join(first, "label").where("grp <> head.grp").select("label", "grp", "size", "o", "target", F.col("head.size").alias("start"), "n")
+    kind = dict(grouped.dtypes)
+    chosen = rest.repartition("label").sortWithinPartitions("label", "o", "grp").mapInPandas(_greedy, f"label {kind['label']}, grp {kind['grp']}")
+    chosen = chosen.union(first.select("label", "head.grp")).withColumn("chosen", F.lit(True))
     out = grouped.join(chosen, ["label", "grp"], "left")
     split = F.when(F.col("chosen").isNull(), "train").when(F.col("derived"), "held_out_derived").otherwise("validation")
     return out.withColumn("split", split).drop("chosen")
 
 
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(label, grp) of the groups that bring their label's count closer to its target, from rows in order; start is the
+    count before the first, and the last of a label's n - 1 rows never goes."""
+    label, held, seen = None, 0, 0
+    for batch in batches:
+        picked = []
+        for name, grp, size, target, start, n in zip(*(batch[c] for c in ("label", "grp", "size", "target", "start", "n")), strict=True):
+            if name != label:
+                label, held, seen = name, start, 0
+            seen += 1
+            if seen < n - 1 and abs(held + size - target) < abs(held - target):
+                held += size
+                picked.append((name, grp))
+        yield pd.DataFrame(picked, columns=["label", "grp"])
+
+
 def split(manifest: DataFrame, fraction: float = 0.2, seed: int = 42, policy: str = "exclude", expected: int | None = None) -> DataFrame:
     """Quarantine of conflicts, families, assignment."""
     kept = audit.quarantine(manifest, policy)
@@ -105,6 +120,18 @@ def reuse(frozen: dict | None, assigned: DataFrame, identity: dict) -> dict:
     return frozen
 
 
+#: What a frozen split's folder holds.
+FROZEN = ("split_meta.json", "train.csv", "val.csv", "label_to_index.json")
+
+
+def frozen_at(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds a frozen split; one that holds some of its parts is an error, never a new start."""
+    there = [exists(spark, f"{folder}/{x}") for x in FROZEN]
+    if any(there) and not all(there):
+        raise ValueError(f"{folder} lacks {', '.join(x for x, ok in zip(FROZEN, there, strict=True) if not ok)}")
+    return all(there)
+
+
 def verified(assigned: DataFrame) -> DataFrame:
     """assigned, its lineage cut, if the split does not leak; see contracts.leakage."""
     from plumbline.operators.contracts import leakage

@@ -140,9 +140,16 @@ def job_allocation(spark: SparkSession, d: str) -> DataFrame:
     return sequence.jobs(spark, 7, 7)
 
 
-@query("SELECT CAST(41 AS BIGINT) AS n, CAST(41 AS BIGINT) AS distinct_jobs, 1 AS lo, 41 AS hi, true AS ok")
+@query(
+    """WITH j AS (SELECT 0 AS gaps, CAST(i AS INTEGER) AS job FROM range(1, 42) t(i) UNION ALL SELECT 1, CASE WHEN i = 7 THEN 8 ELSE CAST(i AS INTEGER) END FROM range(1, 42) t(i) WHERE i <> 41)
+SELECT gaps, count(*) AS n, count(DISTINCT job) AS distinct_jobs, min(job) AS lo, max(job) AS hi, count(*) = 41 AND count(DISTINCT job) = 41 AND min(job) = 1 AND max(job) = 41 AS ok FROM j GROUP BY gaps"""
+)
 def job_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.job_coverage(sequence.jobs(spark, 6, 7))
+    """A whole allocation, and one in which a job is given twice and one to nobody."""
+    whole = sequence.jobs(spark, 6, 7)
+    holes = whole.where("job <> 41").withColumn("job", F.when(F.col("job") == 7, 8).otherwise(F.col("job")))
+    out = [sequence.job_coverage(x).select(F.lit(i).alias("gaps"), "*") for i, x in enumerate((whole, holes))]
+    return out[0].union(out[1])
 
 
 _RULES = [("SKIP", ["Brand#11", "Brand#12"], "own study"), ("LATER", ["Brand#21", "Brand#12"], "cost")]

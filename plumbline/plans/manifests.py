@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,9 +204,20 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
     return split.split(manifest(spark, d)).groupBy("label", "split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, 'path_overlap', CAST(0 AS BIGINT)), (2, 'sha256_overlap', CAST(0 AS BIGINT)), (3, 'source_id_overlap', CAST(0 AS BIGINT)), (4, 'derived_in_validation', CAST(0 AS BIGINT))) t(ord, \"check\", violations)")
+@query(
+    f"""{M}, a AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM manifest UNION ALL SELECT *, 'train' FROM manifest WHERE doc_id % 50 = 0)
+SELECT 0 AS naive, ord, c AS "check", CAST(0 AS BIGINT) AS violations FROM (VALUES (1, 'path_overlap'), (2, 'sha256_overlap'), (3, 'source_id_overlap'), (4, 'derived_in_validation')) t(ord, c)
+UNION ALL SELECT 1, 1, 'path_overlap', count(*) FROM (SELECT path FROM a WHERE split = 'train' INTERSECT SELECT path FROM a WHERE split = 'validation')
+UNION ALL SELECT 1, 2, 'sha256_overlap', count(*) FROM (SELECT sha FROM a WHERE split = 'train' INTERSECT SELECT sha FROM a WHERE split = 'validation')
+UNION ALL SELECT 1, 3, 'source_id_overlap', count(*) FROM (SELECT source_id FROM a WHERE split = 'train' INTERSECT SELECT source_id FROM a WHERE split = 'validation')
+UNION ALL SELECT 1, 4, 'derived_in_validation', count(*) FROM a WHERE split = 'validation' AND derived"""
+)
 def split_leakage(spark: SparkSession, d: str) -> DataFrame:
-    return contracts.leakage(_assigned(spark, d)).select("ord", "check", "violations")
+    """The engine's split, which does not leak, and a naive one that does in each of the ways looked at."""
+    m = manifest(spark, d)
+    naive = m.withColumn("split", F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train")).union(m.where("doc_id % 50 = 0").withColumn("split", F.lit("train")))
+    out = [contracts.leakage(x).select(F.lit(i).alias("naive"), "ord", "check", "violations") for i, x in enumerate((_assigned(spark, d), naive))]
+    return out[0].union(out[1])
 
 
 @query(
@@ -217,9 +230,16 @@ def split_meta(spark: SparkSession, d: str) -> DataFrame:
     return split.metadata(manifest(spark, d), _assigned(spark, d)).withColumn("actual_val_fraction", F.round("actual_val_fraction", 6))
 
 
-@query("SELECT * FROM (VALUES ('included', true), ('parts', true), ('kinds', true), ('fraction', true)) t(rule, ok)")
+@query(
+    """SELECT broken, rule, rule <> broken AND NOT (rule = 'parts' AND broken = 'included') AS ok
+FROM (VALUES ('included'), ('parts'), ('kinds'), ('fraction')) t(rule), (VALUES ('none'), ('included'), ('parts'), ('kinds'), ('fraction')) u(broken)"""
+)
 def split_accounting(spark: SparkSession, d: str) -> DataFrame:
-    return contracts.accounting(split.metadata(manifest(spark, d), _assigned(spark, d)))
+    """The accounts of the engine's split, and the same with one of them off, in turn."""
+    meta = cut(split.metadata(manifest(spark, d), _assigned(spark, d)))
+    off = {"none": {}, "included": {"included_images": 1}, "parts": {"train_images": 1}, "kinds": {"derived_images": 1}, "fraction": {"actual_val_fraction": 1}}
+    out = [contracts.accounting(meta.withColumns({c: F.col(c) + n for c, n in x.items()})).select(F.lit(k).alias("broken"), "rule", "ok") for k, x in off.items()]
+    return reduce(DataFrame.union, out)
 
 
 @query(f"{MS} SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT label FROM manifest)")
@@ -314,13 +334,13 @@ def truth_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{M}, x AS (SELECT path, label, sha FROM manifest WHERE doc_id % 4 = 1), t AS (SELECT sha FROM manifest WHERE doc_id % 4 = 2), c AS (SELECT label, count(*) AS n FROM x GROUP BY 1)
+    f"""{M}, x AS (SELECT path, label, sha FROM manifest WHERE doc_id % 4 = 1), t AS (SELECT sha FROM manifest WHERE doc_id % 4 <> 1), c AS (SELECT label, count(*) AS n FROM x GROUP BY 1)
 SELECT 1 AS ord, 'class_count' AS "check", (SELECT count(*) FROM (SELECT count(*) AS n FROM c) WHERE n <> 4) AS violations UNION ALL SELECT 2, 'rows_per_class', (SELECT count(*) FROM c WHERE n <> 50)
 UNION ALL SELECT 3, 'duplicates', (SELECT count(*) FROM (SELECT sha FROM x GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 4, 'in_training', (SELECT count(*) FROM x WHERE sha IN (SELECT sha FROM t))"""
 )
 def external_set(spark: SparkSession, d: str) -> DataFrame:
     m = manifest(spark, d)
-    return contracts.exact_set(m.where("doc_id % 4 = 1"), 50, 4, m.where("doc_id % 4 = 2")).select("ord", "check", "violations")
+    return contracts.exact_set(m.where("doc_id % 4 = 1"), 50, 4, m.where("doc_id % 4 <> 1")).select("ord", "check", "violations")
 
 
 @query(f"{M} SELECT path, sha AS sha256, sha256(sha) AS actual FROM manifest WHERE doc_id % 23 = 1")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import paths
+from plumbline.runtime import exists
 
 MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "label", "sha256", "source_id")])
 PREDICTIONS = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "true_label", "predicted_label")] + [T.StructField("confidence", T.DoubleType())])
@@ -30,37 +31,51 @@ def _plain(path, root: str):
     return paths.relative_to(F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""), re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", base))
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = paths.AUDIT_EXTENSIONS, content: bool = True) -> DataFrame:
-    """(path, length, sha256) of the files below root with one of the extensions, in any case; paths with a part that starts with a dot are left out.
+def origin(image: str = "image"):
+    """The path of a row of Spark's image source, which gives it URL-encoded."""
+    return F.url_decode(F.replace(F.col(f"{image}.origin"), F.lit("+"), F.lit("%2B")))
+
+
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = paths.AUDIT_EXTENSIONS, content: bool = True, start: bool = False) -> DataFrame:
+    """(path, length, sha256), and with `start` the first twelve bytes in hex, of the files below root with one of the extensions, in any case; paths with a part that starts with a dot are left out.
 
     Order by T11's split(path, '/') for path order. Without `content` no file is opened.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = files.withColumn("path", _plain(F.col("path"), root)).where(paths.extension(F.col("path")).isin(*extensions) & ~paths.hidden(F.col("path")))
-    return files.select("path", "length", *([F.sha2("content", 256).alias("sha256")] if content else []))
+    begin = [F.hex(F.substring("content", 1, 12)).alias("start")] if start else []
+    return files.select("path", "length", *([F.sha2("content", 256).alias("sha256")] if content else []), *begin)
 
 
 def discover(spark: SparkSession, path: str, extensions: tuple[str, ...] = paths.SCORING_EXTENSIONS) -> DataFrame:
-    """(path, length) of one file or of a tree, by lowered path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return files.where(paths.extension(F.col("path")).isin(*extensions)).orderBy(F.lower("path"), "path")
+    """(path, length) of a tree's files with one of the extensions, by lowered path, or of the one file that path names; an error if nothing is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        raise ValueError(f"{path} does not exist")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_plain(F.col("path"), "/").alias("path"), "length")
+    files = files.withColumn("path", F.concat(F.lit("/"), "path"))
+    return files if system.getFileStatus(where).isFile() else files.where(paths.extension(F.col("path")).isin(*extensions)).orderBy(F.lower("path"), "path")
 
 
 def images(spark: SparkSession, root: str, level: int = 1) -> DataFrame:
     """(path, label, width, height, channels, sha256, error) of every image file below root.
 
-    A file without a label folder is a label error and is not decoded further; a corrupt one has width -1.
+    A file without a label folder is a label error and is not decoded further; one that Spark's decoder can't read
+    is `unsupported` if it starts like a WebP file, else `corrupt`.
     """
     decoded = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
-    decoded = decoded.select(_plain(F.col("image.origin"), root).alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"))
-    found = scan(spark, root).withColumn("label", paths.label_at(F.col("path"), level))
+    decoded = decoded.select(_plain(origin(), root).alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"))
+    found = scan(spark, root, start=True).withColumn("label", paths.label_at(F.col("path"), level))
     j = found.join(decoded, "path", "left")
-    error = F.when(F.col("label").isNull(), "no label folder").when(F.coalesce("width", F.lit(-1)) < 0, "corrupt")
+    webp = F.col("start").rlike("^52494646.{8}57454250")
+    unread = F.coalesce("width", F.lit(-1)) < 0
+    error = F.when(F.col("label").isNull(), "no label folder").when(unread & webp, "unsupported").when(unread, "corrupt")
     return j.select("path", "label", "width", "height", "channels", "sha256", error.alias("error"))
 
 
 def unpack(archive: str, target: str) -> str:
-    """The folder of a ZIP's content, unpacked once; a single wrapping folder is entered. Members that leave the target are an error."""
+    """target with the content of a ZIP, unpacked once. Members that leave the target are an error."""
     if not zipfile.is_zipfile(archive):
         raise ValueError(f"{archive} is no ZIP archive")
     done = os.path.join(target, ".unpacked")
@@ -73,41 +88,67 @@ def unpack(archive: str, target: str) -> str:
                     raise ValueError(f"{name} leaves the target folder")
             z.extractall(target)
         Path(done).touch()
-    inner = [p for p in Path(target).iterdir() if not p.name.startswith(".")]
-    return str(inner[0]) if len(inner) == 1 and inner[0].is_dir() else target
+    return target
+
+
+def _has_images(folder: Path, extensions: tuple[str, ...]) -> bool:
+    for where, folders, names in os.walk(folder):
+        folders[:] = [x for x in folders if not x.startswith(".")]
+        if any(Path(x).suffix.lower() in extensions and not x.startswith(".") for x in names):
+            return True
+    return False
 
 
-def image_root(path: str, work: str) -> str:
-    """A folder of images: the path itself, the content of the ZIP it names, or of the only ZIP in it; several are an error."""
-    if os.path.isfile(path):
-        return unpack(path, os.path.join(work, Path(path).stem))
-    zips = sorted(Path(path).glob("*.zip"))
-    if not zips:
-        return path
-    if len(zips) > 1:
-        raise ValueError(f"{path} holds {len(zips)} archives")
-    return unpack(str(zips[0]), os.path.join(work, zips[0].stem))
+def image_root(path: str, work: str, extensions: tuple[str, ...] = paths.AUDIT_EXTENSIONS) -> str:
+    """The folder that holds the label folders of images.
+
+    path may be a folder with images, which is taken as it is, even if a ZIP lies there too; a ZIP; a folder with one
+    ZIP and no image (several are an error); or a missing folder beside which a ZIP of its name lies. What is in a ZIP
+    is unpacked below work. A single folder that wraps all images is entered.
+    """
+    folder = Path(path)
+    if folder.is_file():
+        folder = Path(unpack(path, os.path.join(work, folder.stem)))
+    elif not folder.is_dir():
+        beside = [x for x in folder.parent.glob("*") if x.stem == folder.name and x.suffix.lower() == ".zip"] if folder.parent.is_dir() else []
+        if len(beside) != 1:
+            raise ValueError(f"{path} does not exist")
+        folder = Path(unpack(str(beside[0]), os.path.join(work, folder.name)))
+    elif not _has_images(folder, extensions):
+        zips = [x for x in folder.iterdir() if x.is_file() and x.suffix.lower() == ".zip"]
+        if len(zips) > 1:
+            raise ValueError(f"{path} holds {len(zips)} archives")
+        if zips:
+            folder = Path(unpack(str(zips[0]), os.path.join(work, zips[0].stem)))
+    loose = any(x.is_file() and x.suffix.lower() in extensions for x in folder.iterdir())
+    inner = [x for x in folder.iterdir() if x.is_dir() and not x.name.startswith(".") and _has_images(x, extensions)]
+    return str(inner[0] if len(inner) == 1 and not loose else folder)
 
 
 def archive_members(spark: SparkSession, root: str) -> DataFrame:
-    """(archive, member, size, code) of the files in every ZIP and TAR below root, read on the executors; code is the three-digit code in a name."""
+    """(archive, member, size, code) of the files in every ZIP and TAR below root; code is the three-digit code in a name.
+
+    Archives are opened where they are by the executors, which read a ZIP's directory, or pass through a TAR, without
+    holding the archive.
+    """
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
+        from pyarrow import fs
 
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                raw = io.BytesIO(content)
-                if zipfile.is_zipfile(raw):
-                    rows = [(path, i.filename, i.file_size) for i in zipfile.ZipFile(raw).infolist() if not i.is_dir()]
-                else:
-                    raw.seek(0)
-                    with tarfile.open(fileobj=raw) as t:
-                        rows = [(path, m.name, m.size) for m in t if m.isfile()]
+            for path in batch["path"]:
+                system, where = fs.FileSystem.from_uri(path)
+                with system.open_input_file(where) as raw:
+                    if zipfile.is_zipfile(raw):
+                        rows = [(path, i.filename, i.file_size) for i in zipfile.ZipFile(raw).infolist() if not i.is_dir()]
+                    else:
+                        raw.seek(0)
+                        with tarfile.open(fileobj=raw) as t:
+                            rows = [(path, m.name, m.size) for m in t if m.isfile()]
                 yield pd.DataFrame(rows, columns=["archive", "member", "size"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.lower("path").rlike(r"\.(zip|tar|tgz|tar\.gz)$"))
-    return files.select("path", "content").mapInPandas(listing, "archive string, member string, size long").withColumn("code", paths.member_code(F.col("member")))
+    return files.select("path").mapInPandas(listing, "archive string, member string, size long").withColumn("code", paths.member_code(F.col("member")))
 
 
 def csv_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
@@ -149,9 +190,11 @@ def receipts(spark: SparkSession, pattern: str, schema: T.StructType | str) -> D
     return spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("file", F.input_file_name()).orderBy("file")
 
 
-def page_crops(pages: DataFrame) -> DataFrame:
-    """A row for each crop of page records (source_page, writer_id, capture_id, crops array<struct<path,label,row,column>>)."""
-    return pages.select("source_page", "writer_id", "capture_id", F.explode("crops").alias("c")).select("c.*", "source_page", "writer_id", "capture_id")
+def page_crops(pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """A row for each crop of page records (source_page, writer_id, capture_id, crops array<struct<path,label,row,column>>),
+    with the hash of its file where files (path, sha256) has it."""
+    crops = pages.select("source_page", "writer_id", "capture_id", F.explode("crops").alias("c")).select("c.*", "source_page", "writer_id", "capture_id")
+    return crops if files is None else crops.join(files.select("path", "sha256"), "path", "left")
 
 
 def row_range(rows: DataFrame, first: int, last: int, without: list[int] | None = None, text: str | None = None, key: str = "row_id") -> DataFrame:
@@ -164,7 +207,7 @@ def row_range(rows: DataFrame, first: int, last: int, without: list[int] | None
 
 def seen_hashes(spark: SparkSession, path: str | None) -> DataFrame:
     """The distinct hashes of a training manifest, none where there is no manifest."""
-    if path is None or not os.path.exists(path):
+    if path is None or not exists(spark, path):
         return spark.createDataFrame([], "sha256 string")
     return csv_manifest(spark, path).select("sha256").where("sha256 <> ''").distinct()
 

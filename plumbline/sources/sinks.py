@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.runtime import exists
+
+#: Places of a contact sheet.
+SHEET = 10_000
+
 
 def write_csv(df: DataFrame, path: str, *columns: str, single: bool = False) -> None:
     """The columns, in that order, as CSV with a header; columns beyond them are left out. `single` is for small tables."""
@@ -30,9 +35,9 @@ def write_json(value: object, path: str) -> None:
 
 
 def write_audit(tables: dict[str, DataFrame], report: dict, folder: str) -> None:
-    """The tables of an audit as CSV folders, and its report as JSON."""
+    """The tables of an audit as CSV folders, of as many files as they have parts, and its report as JSON."""
     for name, df in tables.items():
-        write_csv(df, f"{folder}/{name}.csv", single=True)
+        write_csv(df, f"{folder}/{name}.csv")
     write_json(report, f"{folder}/audit_report.json")
 
 
@@ -56,7 +61,8 @@ def freeze_copy(source: str, target: str) -> str:
 
 
 def contact_sheet(rows: DataFrame, *order: str, across: int = 10) -> DataFrame:
-    """rows with sheet_row and sheet_col, `across` to a row. A sheet is looked at by a person, so its rows are few."""
+    """The first SHEET of rows with sheet_row and sheet_col, `across` to a row: a sheet is looked at by a person."""
+    rows = rows.orderBy(*order).limit(SHEET)
     n = F.row_number().over(Window.orderBy(*order)) - 1
     return rows.withColumn("n", n).withColumn("sheet_row", F.floor(F.col("n") / across).cast("int")).withColumn("sheet_col", (F.col("n") % across).cast("int")).drop("n")
 
@@ -68,7 +74,7 @@ def append_status(df: DataFrame, path: str) -> None:
 
 def experiment_notes(runs: DataFrame, path: str, *columns: str, notes: tuple[str, ...] = ("observation", "decision")) -> bool:
     """The columns of runs with empty ones for notes, written once; False if they are there, so that notes are never lost."""
-    if os.path.exists(path):
+    if exists(runs.sparkSession, path):
         return False
     write_csv(runs.select(*columns, *[F.lit("").alias(c) for c in notes]), path, *columns, *notes, single=True)
     return True

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths, values
-from plumbline.operators import contracts, joins, kernels, metrics, runs, scoring, sequence
+from plumbline.operators import contracts, joins, kernels, metrics, runs, scoring, sequence, split
 from plumbline.sources import files, sinks
 
 
@@ -31,7 +31,8 @@ def test_paths(spark):
 
 
 def test_characters_and_numbers(spark):
-    assert [one(spark, values.thai_code(F.lit(c))) for c in ("ก", "ๅ", "๙", "7", "ab", "x")] == [161, 229, 249, 55, None, None]
+    assert [one(spark, values.thai_code(F.lit(c))) for c in ("ก", "ๅ", "๙", "7", "ab", "é", "\u0e3c")] == [161, 229, 249, 55, None, None, None]
+    assert [one(spark, values.label_code(F.lit(c))) for c in ("0_ก", "55_ๅ", "161", "7", "3_ab", "ก", "1_2")] == [161, 229, 161, 7, None, None, 50]
     assert one(spark, values.marked(F.lit("ิ"))) == "◌ิ" and one(spark, values.marked(F.lit("ก"))) == "ก"
     p = one(spark, values.softmax(F.array(F.lit(1000.0), F.lit(1001.0))))
     assert math.isclose(sum(p), 1) and p[1] > p[0]
@@ -115,14 +116,14 @@ def test_reading_order(spark):
 
 
 def test_kernels():
-    assert np.allclose(kernels.homography([(0, 0), (800, 0), (800, 900), (0, 900)], 800, 900), [1, 0, 0, 0, 1, 0, 0, 0])
+    assert np.allclose(kernels.homography([(0, 0), (640, 0), (640, 480), (0, 480)], 320, 240), [2, 0, 0, 0, 2, 0, 0, 0])
     with pytest.raises(ValueError):
         kernels.homography([(0, 0), (1, 1), (2, 2), (3, 3)], 10, 10)
     x = np.full((40, 60, 3), 255.0)
     x[10:20, 25:40] = 0
     assert kernels.ink_box(x.mean(2)) == (25, 10, 40, 20)
     assert kernels.resize_pad(x, 30).shape == (30, 30, 3) and np.allclose(kernels.denormalise(kernels.normalise(x, [0.5] * 3, [0.2] * 3), [0.5] * 3, [0.2] * 3), x)
-    assert np.array_equal(kernels.random_affine(x, "a"), kernels.random_affine(x, "a")) and len(kernels.tta(x)) == 5
+    assert np.array_equal(kernels.random_affine(x, "a"), kernels.random_affine(x, "a"))
     mask = np.zeros((6, 6), bool)
     mask[0, :3] = mask[4:, 4:] = True
     assert len(np.unique(kernels.components(mask))) == 3
@@ -131,7 +132,48 @@ def test_kernels():
     assert left > 5 and right >= 40 and top < 10 and bottom > 20
     assert kernels.low_runs(np.array([0, 5, 1, 1, 9])) == [(0, 1), (2, 4)]
     assert np.allclose(kernels.hsv(np.array([[255, 0, 0], [0, 255, 0], [10, 10, 10]])), [[0, 1, 1], [120, 1, 1], [0, 0, 10 / 255]])
-    assert len(kernels.grid_boxes(800, 900, 9)) == 72
+
+
+def test_ink_leaves_stray_pixels_out():
+    grey = np.full((60, 60), 255.0)
+    grey[10:20, 10:20] = 0
+    grey[40, 35] = grey[50, 35] = 0
+    assert kernels.ink_box(grey) == (10, 10, 20, 20)
+    assert kernels.trim(np.repeat(grey[:, :, None], 3, 2)).shape == (14, 14, 3)
+    wide = np.full((100, 300, 3), 255.0)
+    wide[40:60, 100:200] = 0
+    assert kernels.trim(wide).shape == (26, 130, 3)
+    with pytest.raises(ValueError):
+        kernels.ink_box(np.full((9, 9), 255.0))
+
+
+def test_views_and_cells():
+    x = np.random.default_rng(1).uniform(0, 255, (12, 10, 3))
+    views = kernels.tta(x)
+    assert len(views) == 5 and np.array_equal(views[3][:, 1:], x[:, :-1]) and np.array_equal(views[4][:, :-1], x[:, 1:]) and (views[3][:, 0] == 255).all() and (views[4][:, -1] == 255).all()
+    assert np.allclose(kernels.affine(x, 0, 0, 0, 1), x) and np.allclose(kernels.affine(x, 90, 0, 0, 1)[1:-1, 2:-2].shape, (10, 6, 3))
+    half = kernels.affine(x, 0, 0.5, 0, 1)
+    assert np.allclose(half[:, 1:], (x[:, 1:] + x[:, :-1]) / 2)
+    boxes = kernels.grid_boxes(2400, 2700, 9)
+    assert len(boxes) == 72 and boxes[0] == (21, 69, 279, 279) and boxes[9] == (321, 369, 579, 579)
+    same = kernels.warp(x, kernels.homography([(0, 0), (10, 0), (10, 12), (0, 12)], 10, 12), 10, 12)
+    assert np.allclose(same, x)
+    ramp = np.repeat(np.arange(20.0)[None, :, None], 8, 0)
+    double = kernels.warp(ramp, kernels.homography([(0, 0), (20, 0), (20, 8), (0, 8)], 40, 16), 40, 16)
+    assert np.allclose(double[8, 8:32, 0], np.arange(8, 32) / 2 - 0.25)
+
+
+def test_glyph_between_gaps():
+    """A line of eight strokes, a wide space, then 23 units of which the middle one is the glyph."""
+    grey = np.full((60, 640), 255.0)
+    for k in range(8):
+        grey[20:40, 20 + 25 * k : 40 + 25 * k] = 0
+    start = 260
+    for k in range(23):
+        grey[20:40, start + 16 * k + 2 : start + 16 * k + 14] = 0
+    left, top, right, bottom = kernels.glyph_between_gaps(grey)
+    middle = (left + right) / 2
+    assert abs(middle - (start + 16 * 11.5)) < 4 and 12 <= right - left <= 22 and top <= 20 and bottom >= 40
 
 
 def test_images_and_errors(spark, tmp_path):
@@ -143,6 +185,9 @@ def test_images_and_errors(spark, tmp_path):
     (root / ".hidden" / "x.png").write_bytes(files.png(4, 4, (1, 2, 3)))
     got = {r.path: r for r in files.images(spark, str(root)).collect()}
     assert len(got) == 8 and got["0/broken.png"].error == "corrupt" and got["loose.png"].error == "no label folder" and got["1/2.png"].width == 8 and got["1/2.png"].channels == 3
+    (root / "0" / "new.webp").write_bytes(b"RIFF\x10\0\0\0WEBPVP8 1234567")
+    assert {r.path: r.error for r in files.images(spark, str(root)).collect()}["0/new.webp"] == "unsupported"
+    (root / "0" / "new.webp").unlink()
     img = spark.read.format("image").option("recursiveFileLookup", "true").load(str(root / "0"))
     t = kernels.tensors(img, 16, [0.5] * 3, [0.5] * 3).select(F.size("tensor").alias("n"), "error").collect()
     assert sorted((r.n or -1, r.error is None) for r in t)[-1] == (768, True) and sum(r.error is not None for r in t) == 1
@@ -160,6 +205,21 @@ def test_archives_manifests_and_settings(spark, tmp_path, monkeypatch):
         f.writestr("../x", b"1")
     with pytest.raises(ValueError):
         files.unpack(str(tmp_path / "bad.zip"), str(tmp_path / "bad"))
+    (tmp_path / "full" / "a").mkdir(parents=True)
+    (tmp_path / "full" / "b").mkdir()
+    for x in "ab":
+        (tmp_path / "full" / x / "1.PNG").write_bytes(files.png(2, 2, (1, 2, 3)))
+    (tmp_path / "full" / "more.ZIP").write_bytes(z.read_bytes())
+    assert files.image_root(str(tmp_path / "full"), str(tmp_path / "w2")) == str(tmp_path / "full")
+    with zipfile.ZipFile(tmp_path / "gone.ZIP", "w") as f:
+        f.writestr("gone/x/1.png", b"1")
+        f.writestr("gone/y/1.png", b"1")
+    assert files.image_root(str(tmp_path / "gone"), str(tmp_path / "w3")).endswith("w3/gone/gone")
+    with pytest.raises(ValueError):
+        files.image_root(str(tmp_path / "nothing"), str(tmp_path / "w4"))
+    with pytest.raises(ValueError):
+        files.discover(spark, str(tmp_path / "nothing"))
+    assert [r.path for r in files.discover(spark, str(tmp_path / "bad.zip")).collect()] == [str(tmp_path / "bad.zip")]
     (tmp_path / "m.csv").write_text("path,label,sha256,source_id,more\na/1.png,001,,a/1,x\n")
     r = files.csv_manifest(spark, str(tmp_path / "m.csv")).first()
     assert r.label == "001" and r.sha256 == ""
@@ -207,3 +267,42 @@ def test_stream_keeps_first_of_content(spark, tmp_path):
     s = manifests.first_of_content(manifests.manifest_stream(spark, str(tmp_path / "in"), df.schema))
     manifests.write_stream(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.sha256 for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["h1", "h2"]
+
+
+def test_prediction_contract(spark):
+    truth = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, label string")
+    rows = lambda *x: spark.createDataFrame(list(x), "path string, true_label string, predicted_label string, confidence double")
+    good = contracts.checked_predictions(truth, rows(("a", "1", "1", 0.5), ("b", "2", "1", 1.0))).orderBy("path").collect()
+    assert [r.correct for r in good] == [True, False]
+    for word, bad in (
+        ("duplicates", rows(("a", "1", "1", 0.5), ("a", "1", "1", 0.5), ("b", "2", "1", 1.0))),
+        ("coverage", rows(("a", "1", "1", 0.5))),
+        ("truth", rows(("a", "2", "1", 0.5), ("b", "2", "1", 1.0))),
+        ("confidence", rows(("a", "1", "1", 0.5), ("b", "2", "1", 1.5))),
+        ("confidence", rows(("a", "1", "1", None), ("b", "2", "1", float("nan")))),
+    ):
+        with pytest.raises(ValueError, match=word):
+            contracts.checked_predictions(truth, bad)
+
+
+def test_config_and_frozen_folder(spark, tmp_path):
+    known = {"size", "mean"}
+    assert contracts.resolved_config({"mean": [1, 2]}, {"mean": (1, 2)}, known) == {"mean": [1, 2]}
+    for word, a, b in (("size", {"size": 1}, {"size": 2}), ("usable", None, None), ("unknown", {"other": 1}, None)):
+        with pytest.raises(ValueError, match=word):
+            contracts.resolved_config(a, b, known)
+    assert contracts.resolved_labels(None, {"a": "0", "b": 1}) == {"a": 0, "b": 1}
+    for a, b in (({"a": 0}, {"a": 1}), ({"a": 1}, None), ({}, None), ({"a": "x"}, None)):
+        with pytest.raises(ValueError):
+            contracts.resolved_labels(a, b)
+    scored = spark.createDataFrame([([1.0, 2.0],)], "logits array<double>")
+    contracts.output_dimension(scored, 2)
+    with pytest.raises(ValueError, match="3 labels"):
+        contracts.output_dimension(scored, 3)
+    assert not split.frozen_at(spark, str(tmp_path))
+    for name in split.FROZEN:
+        (tmp_path / name).write_text("{}")
+    assert split.frozen_at(spark, str(tmp_path))
+    (tmp_path / "val.csv").unlink()
+    with pytest.raises(ValueError, match="val.csv"):
+        split.frozen_at(spark, str(tmp_path))
