@@ -39,7 +39,7 @@ SHARED = int(np.ceil(2 * SPAN * SIMILAR / (1 + SIMILAR)))
 #: Passages of one key that a task compares with one another; a larger group is compared block by block.
 BLOCK = 4096
 #: Passages that are compared, or written, in one step.
-STEP = 10_000
+STEP = 20_000
 _REMEMBERED = 500_000
 _words: dict[bytes, int] = {}
 _PLACES = np.uint64((1 << 30) - 1)
@@ -274,7 +274,7 @@ class _Items:
         flat, first = self._flat(others)
         value = np.repeat(of, self.size[others]).astype(np.uint64) << np.uint64(32) | self.t[flat]
         at = np.minimum(np.searchsorted(ranked, value), len(ranked) - 1)
-        place = np.where(ranked[at] == value, place[at], -(1 << 20))
+        place = np.where(ranked[at] == value, place[at], -(1 << 20)).astype(np.int32)
         total = np.concatenate(([0], np.cumsum(place >= 0)))
 
         a = leaders[of]
@@ -290,8 +290,10 @@ class _Items:
         window = np.arange(SPAN)
         good = np.zeros(len(x), bool)
         once = np.flatnonzero(~twice)
-        there = place[begin[once][:, None] + window] - in_a[once][:, None]
-        good[once] = ((there >= 0) & (there < SPAN)).sum(1) >= SHARED
+        for k in range(0, len(once), STEP):
+            k = once[k : k + STEP]
+            there = (place[begin[k][:, None] + window] - in_a[k][:, None].astype(np.int32)).view(np.uint32)  # negative ones are large
+            good[k] = (there < SPAN).sum(1) >= SHARED
         rest = np.flatnonzero(twice)
         if len(rest):  # sets of tokens, by row
             row = (np.arange(len(rest), dtype=np.uint64) << np.uint64(32))[:, None]
@@ -312,25 +314,28 @@ class _Items:
         A search in breadth, in all groups at once: each round one item of each group, one reached if there is
         any, is compared with those of its group that are not reached.
         """
-        left = np.flatnonzero(self.live())
-        reached, out = left[:0], [np.zeros((0, 4), np.int64)]
-        while len(left) > 1:
-            reached = reached[np.isin(self.group[reached], self.group[left])]
-            both = np.concatenate((reached, left))
-            order = np.argsort(self.group[both], kind="stable")
-            g = self.group[both][order]
-            leaders = both[order[np.concatenate(([True], g[1:] != g[:-1]))]]
-            reached, left = reached[~np.isin(reached, leaders)], left[~np.isin(left, leaders)]
-            of = np.searchsorted(self.group[leaders], self.group[left])
-            asked = np.flatnonzero((self.th[leaders[of]] != self.th[left]) & self.can_be(leaders[of], left))
-            if not len(asked):
-                continue
-            x, least, most = self.near(leaders, of[asked], left[asked])
-            x = asked[x]
-            out.append(np.stack((leaders[of[x]], left[x], least, most), 1))
-            found = np.zeros(len(left), bool)
-            found[x] = True
-            reached, left = np.concatenate((reached, left[found])), left[~found]
+        items = np.flatnonzero(self.live())
+        reached, out = np.zeros(len(items), bool), [np.zeros((0, 4), np.int64)]
+        while len(items):
+            group = self.group[items]
+            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(items)])))
+            place = np.arange(len(items))
+            lead = np.minimum.reduceat(np.where(reached, place, place + len(items)), starts) % len(items)
+            whose = np.repeat(lead, sizes)
+            leads = place == whose
+            asked = np.flatnonzero(~reached & ~leads)
+            a, b = items[whose[asked]], items[asked]
+            asked = asked[(self.th[a] != self.th[b]) & self.can_be(a, b)]
+            if len(asked):
+                w = whose[asked]
+                new = np.concatenate(([True], w[1:] != w[:-1]))
+                x, least, most = self.near(items[w[new]], np.cumsum(new) - 1, items[asked])
+                x = asked[x]
+                out.append(np.stack((items[whose[x]], items[x], least, most), 1))
+                reached[x] = True
+            left = ~leads & np.repeat(np.add.reduceat(~reached & ~leads, starts) > 0, sizes)
+            items, reached = items[left], reached[left]
         return np.concatenate(out)
 
 
@@ -365,9 +370,12 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _in_two(rows: DataFrame, *more) -> DataFrame:
-    """(key, lo, ...) of the keys of rows that two texts th have or more, lo the least of them, to be joined by hash."""
+    """(key, lo, ...) of the keys of rows that two texts th have or more, lo the least of them, to be joined by hash.
+
+    They are written, so that the join shuffles rows and keys and nothing else, and can split a hot key's rows.
+    """
     keys = rows.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("most"), *more).where("lo <> most").drop("most")
-    return keys.hint("shuffle_hash")
+    return Stored(keys).df.hint("shuffle_hash")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

