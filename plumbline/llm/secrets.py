@@ -16,23 +16,25 @@ KINDS = (*BASE, "weak_access", "weak_secret", "endpoint")
 #: Parts of a credential lie within so many code points of one another.
 SCOPE = 256
 
-#: Kind: (pattern, what a hit must match to be kept, a cheap test that a text has a hit, part of a credential).
+#: Kind: (pattern, what a hit must match to be kept, part of a credential). No pattern repeats a group, which Java's
+#: matcher does by recursion: a repeated class of characters needs no stack, however long the text.
 #: Hex and access runs of the least length are the maximal runs of at least that length, so the length is in the pattern.
 _KEYS = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 _RULES = {
-    "assign": (_KEYS + r"[A-Za-z0-9+/_.=-]+", _KEYS + r"[A-Za-z0-9+/_.=-]{12,}$", r"[:=]", "secret"),
-    "access": (r"AKIA[A-Z0-9]{14,}+", None, None, "id"),
-    "hex": (r"[0-9a-f]{16,}+", None, None, None),
-    "weak_access": (r"(?<![A-Z0-9])(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{12,28})(?![A-Z0-9])", None, None, "id"),
-    "weak_secret": (r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=_-]|\.\S)", None, None, "secret"),
-    "endpoint": (r"https?://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?", None, None, "endpoint"),
+    "assign": (_KEYS + r"[A-Za-z0-9+/_.=-]+", _KEYS + r"[A-Za-z0-9+/_.=-]{12,}$", "secret"),
+    "access": (r"AKIA[A-Z0-9]{14,}+", None, "id"),
+    "hex": (r"[0-9a-f]{16,}+", None, None),
+    "weak_access": (r"(?<![A-Z0-9])(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{12,28})(?![A-Z0-9])", None, "id"),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=_-]|\.\S)", None, "secret"),
+    # a name with a dot inside, up to the last letter, digit or hyphen of the run, and its port
+    "endpoint": (r"https?://[A-Za-z0-9-][A-Za-z0-9.-]*(?<!\.)(?::[0-9]+)?", r"https?://[A-Za-z0-9-]+\.", "endpoint"),
 }
 _HIT = "array<struct<kind:string,i:int,gap:int,len:int,ok:boolean>>"
 
 
 def _hits(text: Column, kind: str) -> Column:
     """The matches of a kind in order, as the gap before each and its length; positions are sums of these."""
-    pattern, keep, need, _ = _RULES[kind]
+    pattern, keep, _ = _RULES[kind]
     every = let(
         F.split(text, pattern, -1),
         lambda parts: F.transform(
@@ -75,7 +77,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("inside", F.coalesce(F.max(F.when(base, F.col("end"))).over(so_far) > F.col("start"), F.lit(False)))
     rows = rows.where((F.col("kind") == "") | base | ~F.col("inside"))
 
-    starts = lambda part: F.when(F.col("kind").isin(*[k for k, r in _RULES.items() if r[3] == part]), F.col("start"))
+    starts = lambda part: F.when(F.col("kind").isin(*[k for k, r in _RULES.items() if r[2] == part]), F.col("start"))
     rows = rows.withColumn("bin", F.floor(F.col("start") / scope))
     rows = rows.groupBy(*key, "bin").agg(
         F.max(F.when(F.col("kind") == "", F.col("copies"))).alias("copies"),

@@ -63,3 +63,21 @@ def test_odd_rows(spark, odd, none):
     rows = [(None, "token=abcdefghijklmno"), (None, "token=abcdefghijklmno"), (1, "passwd: " + "k" * 5000), (1, "other"), (1, "other")]
     got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, spans(r)) for r in got), key=repr) == sorted([(i, brute(t)) for i, t in rows], key=repr)
+
+
+def test_long_runs_need_no_stack(spark):
+    """A hundred thousand dotted labels, and megabytes of one class of characters."""
+    labels, many = "https://a" + ".a" * 100_000, 2_000_000
+    rows = [(1, f"AKIA{'Z' * 16} token={'x' * 20} {labels}"), (2, "f" * many), (3, "AKIA" + "Z" * many), (4, "password=" + "a." * many), (5, "https://" + "z" * many), (6, "secret" + " " * many + "="), (7, "https://" + "." * many)]
+    got = {x.doc_id: spans(x) for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    for i, text in rows:
+        assert [x for x in got[i] if x[0] in secrets.BASE] == brute(text)
+    assert ("endpoint", 48, 48 + len(labels)) in got[1] and got[5] == got[7] == []
+
+
+def test_endpoints(spark):
+    other = f"AKIA{'Z' * 16} token={'x' * 20} "
+    rows = [(1, "https://api.example.com."), (2, "https://localhost/x"), (3, "http://a.b:8080/c"), (4, "https://-a.b-"), (5, "https://a..b "), (6, "https://.a.b")]
+    docs = spark.createDataFrame([(i, other + t) for i, t in rows], "doc_id long, text string")
+    got = {x.doc_id: [(other + rows[x.doc_id - 1][1])[s:e] for _, s, e in spans(x, ("endpoint",))] for x in secrets.find_secrets(docs).collect()}
+    assert got == {1: ["https://api.example.com"], 2: [], 3: ["http://a.b:8080"], 4: ["https://-a.b-"], 5: ["https://a..b"], 6: []}
