@@ -138,7 +138,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
     """The classifiers of labelled rows and a pool of others, each bounded by a parameter, by a hash of the id.
 
-    Rows whose id or label is null are not labelled; an id with several labels takes the largest.
+    Rows whose id or label is null are not labelled; an id with several labels takes the largest; of
+    several rows of one id the one with the least hash of text, source, language and size is learnt from.
     Features are made on the executors; the driver gets labelled + pool rows of fixed width at most.
     """
     small_batches(docs.sparkSession)
@@ -147,14 +148,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
     some = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled)
     rest = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).withColumn("quality", F.lit(-1))
-    picked = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(some.union(rest)), "doc_id")  # labelled + pool rows at most
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "source", "lang", "n_chars").alias("which"))
+    chosen = F.broadcast(some.union(rest))  # labelled + pool rows at most
+    one = own.select("doc_id", "which").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("which").alias("which"), F.first("quality").alias("quality"))
+    picked = own.join(F.broadcast(one), ["doc_id", "which"]).dropDuplicates(["doc_id"])
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "t": [text_features(t).tobytes() for t in b["text"]], "m": [meta_features(*x).tobytes() for x in zip(b["source"], b["lang"], b["n_chars"], strict=True)]})
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = picked.mapInPandas(features, f"doc_id {kind}, quality int, t binary, m binary").toPandas().drop_duplicates("doc_id")
+    got = picked.mapInPandas(features, f"doc_id {kind}, quality int, t binary, m binary").toPandas()
     got = got.sort_values("doc_id", key=lambda s: s.map(lambda i: zlib.crc32(str(i).encode()))).reset_index(drop=True)
     matrix = lambda part, c, n: np.frombuffer(b"".join(part[c]), np.float32).reshape(len(part), n)
     a, b = got[got["quality"] >= 0], got[got["quality"] < 0]

@@ -31,3 +31,17 @@ def test_views_teach_each_other():
             out.append([((p > 0.5) == (y > 0.5)).mean() for p in m.scores(text, meta)])
     without, with_ = (np.mean(x, 0) for x in found.values())
     assert (with_ > without).all()
+
+
+def test_a_hot_id_is_learnt_from_once(spark, monkeypatch):
+    """However many rows have one id, the driver gets one of each id, always the same."""
+    rows = [(1, f"text {i}", "en", "s", i) for i in range(500)] + [(i, "good words here" if i % 2 else "BAD!!! BAD!!!", "en", "s", 10) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id long, quality int")
+    seen = []
+    plain = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda *a: seen.append(a) or plain(*a))
+    quality.fit(docs, labels)
+    quality.fit(docs.repartition(7), labels)
+    assert [len(x[2]) for x in seen] == [19, 19] and [len(x[3]) for x in seen] == [10, 10]
+    assert all(np.array_equal(a, b) for a, b in zip(*seen))
