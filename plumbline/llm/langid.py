@@ -109,7 +109,10 @@ def _em(p: np.ndarray, c: np.ndarray, n: float, rounds: int) -> tuple[np.ndarray
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE, smoothing: float = 0.05) -> Model:
-    """The model of the labelled rows of docs: `rows` of each language at most, chosen by a hash of the id; texts whole.
+    """The model of the labelled rows of docs: `rows` of each language, chosen by a hash of id and text; texts whole.
+
+    Where a language has more rows, each is drawn with the chance that gives `rows` on the mean; rows equal in
+    both are drawn together, and a language of which none is drawn is no language of the model.
 
     Rows with a null text or label are passed over. Without any labelled row the model has no language
     and finds every text undetermined. Counts are summed by bucket and language on the executors; what
@@ -125,7 +128,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
     small = [lang for lang in languages if sizes[lang] <= rows]
-    chance = F.pmod(F.xxhash64(F.lit("language"), F.coalesce("id", F.lit(""))), F.lit(1 << 20))
+    chance = F.pmod(F.xxhash64(F.lit("language"), "id", "text"), F.lit(1 << 20))  # rows of one id are drawn one by one
     picked = F.col("lang").isin(small) if small else F.lit(False)
     for lang in languages:
         if lang not in small:
@@ -142,6 +145,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pd.DataFrame({"lang": lang, "bucket": found, "n": total[found]})
 
     sums = docs.where(picked).select("text", "lang").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(set(sums["lang"]))
     table = np.zeros((BUCKETS, len(languages)))
     table[sums["bucket"], pd.Categorical(sums["lang"], languages).codes] = sums["n"]
     table += smoothing
@@ -178,10 +182,15 @@ def language_mixture(docs: DataFrame, fitted_on: DataFrame | None = None, text_c
 
 
 def keep_identified(docs: DataFrame, least: float = 1 / 3) -> DataFrame:
-    """docs without the rows whose language can't be told: `und`, or a main language of under `least` of the text."""
-    found = language_mixture(docs)
-    share = F.get("language.mix", F.lit(0))["share"]
-    return found.where((F.col("language.lang") != UNDETERMINED) & (share >= least)).select(*docs.columns)
+    """docs without the rows whose language can't be told: `und`, or a main language of under `least` of the text.
+
+    The model is fitted on docs' own labelled rows that are not held out. Null and letterless texts go;
+    repeated rows stay or go together; an empty table stays empty. docs needs doc_id, text and lang;
+    whatever other columns it has, one called `language` among them, come out as they were.
+    """
+    found = identify(docs, fit(docs.where(~held_out())))
+    share = F.get(found["mix"], F.lit(0))["share"]
+    return docs.where((found["lang"] != UNDETERMINED) & (share >= least))
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:
