@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.batches import small_batches
 
-#: Pre-tokens remembered by a worker; the memory is emptied when full.
-REMEMBERED = 200_000
+#: Pre-tokens remembered by a worker, and characters of one at most; the memory is emptied when full.
+REMEMBERED, SHORT = 200_000, 40
 
 
 def byte_alphabet() -> list[str]:
@@ -74,13 +74,15 @@ def serialise(tokens: list[bytes]) -> bytes:
 
 
 class _Codec:
-    """Per worker: the loaded model, and the ids of pre-tokens met so far."""
+    """Per worker: the loaded model, the bytes of its pieces, and the ids of pre-tokens met so far."""
 
-    def __init__(self, tokens: list[bytes], model: bytes, pattern: str):
-        self.tokens, self.split = tokens, regex.compile(pattern)
+    def __init__(self, model: bytes, pattern: str):
+        self.split = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.whole = {t: i for i, t in enumerate(tokens)}
         self.map = dict(enumerate(byte_alphabet()))
+        back = {c: b for b, c in self.map.items()}
+        self.pieces = [bytes(map(back.__getitem__, self.model.id_to_piece(i))) for i in range(self.model.get_piece_size() - 1)]
+        self.whole = {t: i for i, t in enumerate(self.pieces)}
         self.known: dict[str, list[int]] = {}
 
     def ids(self, text: str) -> list[int]:
@@ -90,9 +92,10 @@ class _Codec:
                 raw = word.encode("utf-8", "surrogatepass")
                 one = self.whole.get(raw)  # a pre-token that is a token as it stands is not taken apart
                 got = self.model.encode(raw.decode("latin-1").translate(self.map)) if one is None else [one]
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = got
+                if len(word) <= SHORT:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = got
             out += got
         return out
 
@@ -100,10 +103,10 @@ class _Codec:
 _codecs: dict[tuple[bytes, str], _Codec] = {}
 
 
-def _codec(tokens: list[bytes], model: bytes, pattern: str) -> _Codec:
+def _codec(model: bytes, pattern: str) -> _Codec:
     """The worker's codec, loaded once and used by all its tasks."""
     if (model, pattern) not in _codecs:
-        _codecs[model, pattern] = _Codec(tokens, model, pattern)
+        _codecs[model, pattern] = _Codec(model, pattern)
     return _codecs[model, pattern]
 
 
@@ -112,8 +115,7 @@ class Tokenizer:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str = public_tokenizers.PATTERN):
         small_batches(spark)
-        tokens = read_ranks(path)
-        self._shared = spark.sparkContext.broadcast((tokens, serialise(tokens), pattern))
+        self._shared = spark.sparkContext.broadcast((serialise(read_ranks(path)), pattern))
 
     def encode(self, text: Column) -> Column:
         """array<int> of ids, null as the empty text; matches of the pattern are encoded one by one, whole texts."""
@@ -130,12 +132,12 @@ class Tokenizer:
         return of(text)
 
     def decode(self, ids: Column) -> Column:
-        """binary of array<int>: the tokens' bytes in a row; null as no ids, an id outside the vocabulary fails."""
+        """binary of array<int>: the characters of the model's pieces mapped back to bytes; null as no ids, an id outside the vocabulary fails."""
         shared = self._shared
 
         @F.arrow_udf("binary")
         def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tokens = shared.value[0]
+            tokens = _codec(*shared.value).pieces
             for lists in batches:
                 flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
                 if len(flat) and not 0 <= flat.min() <= flat.max() < len(tokens):

@@ -29,13 +29,15 @@ def test_matches_tiktoken(spark, reference):
 
 def test_random_texts(reference):
     tokens = bpe.read_ranks(PATH)
-    codec = bpe._Codec(tokens, bpe.serialise(tokens), public_tokenizers.PATTERN)
+    codec = bpe._Codec(bpe.serialise(tokens), public_tokenizers.PATTERN)
+    assert codec.pieces == tokens
     r = random.Random(1)
     for _ in range(2000):
         text = "".join(r.choice("abcé ß日本語\n\t　🙂👍🏽αβ一0123́\x00▁'s") for _ in range(r.randint(0, 50)))
         assert codec.ids(text) == reference.encode_ordinary(text)
     for text in ("a" * 5000, " " * 3000, "<unk>", "<|endoftext|>"):
         assert codec.ids(text) == reference.encode_ordinary(text)
+    assert all(len(w) <= bpe.SHORT for w in codec.known)
 
 
 def test_odd_rows(spark, odd, none):
