@@ -65,59 +65,71 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     inside an occurrence of a window; items lists, sorted, the ids (as strings) of items with one.
 
     Documents and items are winnowed: two texts that share WINDOW words share a fingerprint. Documents
-    are read once; a filter of the fingerprints drops most of them, an exact join on fingerprints
-    more, and only the rest is extended to whole windows, compared word by word. Items shorter than a
-    window have no fingerprint but their own hash, which is looked for at every position.
+    are read once; a filter of the fingerprints drops most of them. What is left is joined with the items'
+    fingerprints by position, and each hit is extended to the windows around it, compared word by word.
+    Items shorter than a window have no fingerprint but their own hash, which is looked for at every position.
 
     Null and wordless texts have no words and no hits. Repeated rows each get their result. Items with
     a null id count as hits but are not listed; repeated items are listed once; an empty benchmark gives
     no hits. Rows are told apart by id and text hash, so null and repeated ids do no harm; other
-    columns are not read.
+    columns are not read. Of a very long text nothing is held but its words, their hashes and the hits.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
     items = cut(items.withColumn("hs", F.transform("w", lambda x: F.xxhash64(x))))
     short = sorted(r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())
-    joined = lambda n: lambda w, i: F.array_join(F.slice(w, i, F.lit(n)), " ")
+    own = [grams(F.col("hs"), n) for n in short]
+    item_prints = F.explode(reduce(lambda a, i: F.when(F.size("w") == short[i], own[i]).otherwise(a), range(len(short)), let(F.col("hs"), lambda h: winnowed(h))))
+    item_prints = cut(items.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n"), item_prints.alias("h")).distinct())
+    passes = _filter(item_prints)
 
     def prints(hashes: Column) -> Column:
         """What is looked up of a document: fingerprints, and grams of each short item's length."""
         return let(hashes, lambda h: F.concat(winnowed(h), *[grams(h, n) for n in short]))
 
-    own = [grams(F.col("hs"), n) for n in short]
-    item_prints = items.select(F.explode(reduce(lambda a, i: F.when(F.size("w") == short[i], own[i]).otherwise(a), range(len(short)), let(F.col("hs"), lambda h: winnowed(h)))).alias("h")).distinct()
-    item_prints = cut(item_prints)
-    passes = _filter(item_prints)
+    def placed(hashes: Column) -> Column:
+        """Grams that pass the filter as (n, h, at): n words of a window, at the gram's first word."""
+        at = lambda h, n, gram: F.filter(F.transform(grams(h, gram), lambda x, i: F.struct(F.lit(n).alias("n"), x.alias("h"), (i + 1).alias("at"))), lambda s: passes(s["h"]))
+        return let(hashes, lambda h: F.concat(at(h, WINDOW, GRAM), *[at(h, n, n) for n in short]))
 
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("w"))
-    rows = rows.select("doc_id", "text", "text_hash", F.size("w").cast("long").alias("n_words"), F.filter(prints(F.transform("w", lambda x: F.xxhash64(x))), passes).alias("prints"))
-    rows = rows.select("doc_id", "text_hash", "n_words", F.when(F.size("prints") > 0, F.col("prints")).alias("prints"), F.when(F.size("prints") > 0, F.col("text")).alias("text"))
-    rows = cut(rows)
+    likely = F.size(F.filter(prints(hashed("w")), passes)) > 0
+    rows = cut(rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(likely, F.col("text")).alias("text")))
 
     key = ["doc_id", "text_hash"]
-    likely = rows.where("prints is not null")
-    met = likely.select(*key, F.explode("prints").alias("h")).join(small_side(item_prints), "h", "left_semi").groupBy(*key).agg(F.lit(1).alias("met"))
-    likely = likely.dropDuplicates(key).alias("l").join(met.alias("m"), F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.text_hash") == F.col("m.text_hash")), "left_semi")
-
-    windows = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - 1))), lambda i: joined(WINDOW)(F.col("w"), i))).alias("window"))
-    windows = cut(windows.groupBy("window").agg(F.collect_set("item").alias("items")))
-    found = likely.select(*key, words_of(F.col("text")).alias("w"))
-    hashed = windows.select(_window_hash(F.col("window")).alias("h")).distinct()
-    passes = _filter(hashed)
-    spans = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), joined(n)(F.col("w"), i).alias("window")))
-    every = F.concat(*[F.when(F.size("w") >= n, F.filter(spans(n), lambda s: passes(_window_hash(s["window"])))).otherwise(F.array().cast("array<struct<at:int,n:int,window:string>>")) for n in [*short, WINDOW]])
-    hits = found.select(*key, F.explode(every).alias("s")).select(*key, "s.*").join(small_side(windows), "window")
-    covered = F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("at", "n")), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    hits = hits.groupBy(*key).agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = rows.select(*key, "n_words").alias("r").join(hits.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("r.text_hash") == F.col("h.text_hash")), "left")
+    found = rows.where("text is not null").dropDuplicates(key).select(*key, words_of(F.col("text")).alias("w"))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    met = found.select(*key, F.explode(placed(hashed("w"))).alias("x")).select(*key, "x.*").join(small_side(item_prints), ["n", "h"], "left_semi")
+    met = met.groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("met"))
+
+    def around(x: Column) -> Column:
+        """The windows that hold the gram of a hit, as start x 16 + length: those from up to WINDOW - GRAM words before; a short item's own."""
+        first, last = F.greatest(F.lit(1), x["at"] - (WINDOW - GRAM)), F.least(x["at"], F.size("w") - (WINDOW - 1))
+        starts = F.when(x["n"] < WINDOW, F.array(x["at"])).when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: at.cast("long") * 16 + x["n"])
+
+    found = found.alias("f").join(met.alias("m"), same("f", "m")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash"), "w", "met")
+    extended = F.array_distinct(F.flatten(F.transform("met", around)))  # of numbers, as structs are not told apart by hash
+    at, n = (lambda x: F.shiftright(x, 4).cast("int")), (lambda x: x.bitwiseAND(F.lit(15)).cast("int"))
+    window = F.transform(extended, lambda x: F.struct(at(x).alias("at"), n(x).alias("n"), F.array_join(F.slice("w", at(x), n(x)), " ").alias("window")))
+    found = found.select(*key, F.explode(window).alias("x")).select(*key, "x.*")
+
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - 1)))
+    windows = cut(items.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(WINDOW)), " "))).alias("window")).distinct())
+    hits = found.join(small_side(windows), "window").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    more = lambda acc, x: F.struct(F.greatest(acc["end"], x["at"] + x["n"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(acc["end"], x["at"]))).alias("n"))
+    hits = hits.select(*key, F.aggregate("hits", none, more, lambda acc: acc["n"]).alias("n_hit"), "items")
+    out = rows.select(*key, "n_words").alias("r").join(hits.alias("h"), same("r", "h"), "left")
     return out.select("r.doc_id", "r.text_hash", "r.n_words", F.coalesce("h.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("h.items", F.array().cast("array<string>")).alias("items"))
 
 
-def _window_hash(window: Column) -> Column:
-    return F.xxhash64(F.lit("window"), window)
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a word inside an occurrence of a benchmark window."""
+    """docs without the rows that hold a word inside an occurrence of a benchmark window (see contamination()).
+
+    Rows with null or empty texts stay, repeated rows stay or go together, whatever columns docs has come
+    out as they were; an empty table, or an empty benchmark, changes nothing.
+    """
     hit = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__pl_id"), F.col("text_hash").alias("__pl_hash")).distinct()
     hit = small_side(cut(hit))
     return docs.join(hit, docs[id_col].eqNullSafe(hit["__pl_id"]) & (F.xxhash64(docs[text_col]) == hit["__pl_hash"]), "left_anti")
@@ -146,7 +158,7 @@ WITH d AS (
 ), n AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + m)) AS p FROM (SELECT DISTINCT doc_id, pos, m FROM hit)) GROUP BY doc_id
 ), it AS (
-  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+  SELECT doc_id, count(item) AS n_items, sha256(coalesce(string_agg(item, ',' ORDER BY item), '')) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

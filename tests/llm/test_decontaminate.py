@@ -70,3 +70,18 @@ def test_odd_rows(spark, odd, none):
     assert all(x[2] == 0 for x in got(decontaminate.contamination(odd, b.limit(0))))
     kept = decontaminate.drop_contaminated(odd, b)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 5
+
+
+def test_items_without_id_in_query_and_sql(spark, duck, tmp_path):
+    """They count as hits and are in no list, in both."""
+    import duckdb
+
+    docs = [(1, "one two three four"), (2, "five six seven"), (3, None), (4, "one two three, five six seven")]
+    items = [(None, "two three"), (7, "six seven"), (None, "six")]
+    con = duckdb.connect()
+    for name, kind, data in (("documents", "doc_id long, text string", docs), ("benchmark", "item_id long, text string", items)):
+        spark.createDataFrame(data, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = decontaminate.op7_decontaminate(spark, str(tmp_path))
+    assert rows(found.toPandas()) == rows(con.sql(decontaminate.OP7_SQL).df())
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in found.collect()} == {1: (2, 0), 2: (2, 1), 3: (0, 0), 4: (4, 1)}
