@@ -15,6 +15,8 @@ from plumbline.runtime import cut
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 16 << 20, 64, 4096
 #: Key samples for each range.
 OVERSAMPLE = 16
+#: Times that overfull ranges are looked at and subdivided at most.
+ROUNDS = 4
 #: A group of copies of over this part of a shard is divided at shard bounds; a smaller one stays in one shard.
 LARGE_GROUP = 0.01
 
@@ -24,28 +26,28 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit("[" + ",".join(values) + "]"), f"array<{kind}>")
 
 
-def _range_of(splitters: list[tuple[int, int]]) -> Column:
+def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
     """How many splitters are at most the row's key, by binary search over a literal array."""
     if not splitters:
         return F.lit(0)
     steps = math.ceil(math.log2(len(splitters) + 1))
-    bounds = _literal([f'{{"h":{h},"g":{g}}}' for h, g in splitters], "struct<h:bigint,g:bigint>")
+    bounds = _literal([f'{{"h":{h},"g":{g},"s":{s}}}' for h, g, s in splitters], "struct<h:bigint,g:bigint,s:bigint>")
     powers = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
-    reach = lambda at, step: (at + step <= len(splitters)) & (F.get(bounds, at + step - 1) <= F.struct("h", "g"))
+    reach = lambda at, step: (at + step <= len(splitters)) & (F.get(bounds, at + step - 1) <= F.struct("h", "g", "s"))
     return F.aggregate(powers, F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at))
 
 
-def _splitters(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
+def _splitters(sample: list[tuple[int, int, int, float]], parts: int) -> list[tuple[int, int, int]]:
     """parts - 1 quantile boundaries of a weighted sample of keys. A boundary within a group of copies that
     the sample holds but once or twice moves to the group's start, so that small groups are not cut."""
     sample.sort()
     often: dict[int, int] = {}
-    for h, _, _ in sample:
+    for h, *_ in sample:
         often[h] = often.get(h, 0) + 1
-    total, seen, out = sum(w for _, _, w in sample), 0.0, []
-    for h, g, w in sample:
+    total, seen, out = sum(x[3] for x in sample), 0.0, []
+    for h, g, s, w in sample:
         if len(out) + 1 < parts and seen + w > total * (len(out) + 1) / parts:
-            out.append((h, g if often[h] > 2 else -(1 << 63)))
+            out.append((h, g, s) if often[h] > 2 else (h, -(1 << 63), -(1 << 63)))
             while len(out) + 1 < parts and seen + w > total * (len(out) + 1) / parts:
                 out.append(out[-1])
         seen += w
@@ -56,10 +58,10 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """(doc_id, size, text_crc32, shard, slot): every row of docs in one of `shards` shards of near equal bytes.
 
     A row's size is its text's UTF-8 bytes plus 8 (null: 8, with the CRC of no bytes). Keys order rows by text, then id, each by
-    hash. Keys drawn with a chance in proportion to size give quantile boundaries of many more ranges
-    than shards; rows are dealt to ranges, ranges of over twice the mean get more boundaries from a
-    second sample, and exact range totals then place each row on the line of all bytes, which is cut
-    in `shards` equal pieces. Groups of equal texts stay in one shard unless they hold over 1 % of a
+    hash, then by a hash of the row's number, so that rows equal in both can be parted too. Keys drawn with a chance in
+    proportion to size give quantile boundaries of many more ranges than shards; rows are dealt to ranges, ranges of over
+    twice the mean get more boundaries from further samples of their own, and exact range totals then place each row on
+    the line of all bytes, which is cut in `shards` equal pieces. Groups of equal texts stay in one shard unless they hold over 1 % of a
     shard's bytes. Slots run from 0 without gaps in key order.
 
     Texts are read once and are in no shuffle. Each range is sorted in one task, and its rows are a
@@ -72,6 +74,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.xxhash64(F.lit("text"), F.col(text_col)).alias("h"),
         F.xxhash64(F.lit("row"), F.col(id_col)).alias("g"),
+        F.xxhash64(F.lit("number"), F.monotonically_increasing_id()).alias("s"),
     )
     rows = cut(rows)
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
@@ -79,27 +82,29 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     ranges = min(MOST_RANGES, max(LEAST_RANGES, total // RANGE_BYTES))
 
-    def sample(of: DataFrame, wanted: float, salt: str) -> list[tuple[int, int, float]]:
-        """Keys drawn with the chance size x rate, at most 1; a row of more weighs more."""
-        rate = wanted / total
-        draw = (F.xxhash64(F.lit(salt), "h", "g").bitwiseAND(F.lit((1 << 40) - 1))).cast("double") / float(1 << 40)
-        got = of.where(draw < F.col("size") * rate).select("h", "g", F.greatest(F.lit(1.0), F.col("size") * rate).alias("w"))
-        return [(r.h, r.g, r.w) for r in got.limit(int(4 * wanted) + 1000).collect()]
+    def sample(of: DataFrame, held: int, wanted: float, salt: str) -> list[tuple[int, int, int, float]]:
+        """Keys of rows of `held` bytes, drawn one by one with the chance size x rate, at most 1; a row of more weighs more."""
+        rate = wanted / held
+        draw = (F.xxhash64(F.lit(salt), "h", "g", "s").bitwiseAND(F.lit((1 << 40) - 1))).cast("double") / float(1 << 40)
+        return [tuple(r) for r in of.where(draw < F.col("size") * rate).select("h", "g", "s", F.greatest(F.lit(1.0), F.col("size") * rate)).collect()]
 
-    def totals(bounds: list[tuple[int, int]]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    def totals(bounds: list[tuple[int, int, int]]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
         placed = rows.withColumn("r", _range_of(bounds))
         return placed, {r[0]: (r[1], r[2]) for r in placed.groupBy("r").agg(F.sum("size"), F.count("*")).collect()}
 
-    bounds = _splitters(sample(rows, ranges * OVERSAMPLE, "first"), ranges)
+    bounds = _splitters(sample(rows, total, ranges * OVERSAMPLE, "first"), ranges)
     placed, sums = totals(bounds)
-    over = {r: b for r, (b, _) in sums.items() if b > 2 * total / ranges}
-    if over:
-        hot = placed.where(F.col("r").isin(list(over)))
-        again = sample(hot.select("h", "g", "size"), ranges * OVERSAMPLE, "second")
+    for again in range(ROUNDS):
+        over = {r: b for r, (b, n) in sums.items() if b > 2 * total / ranges and n > 1}
+        if not over:
+            break
+        hot = sum(over.values())
         inside: dict[int, list] = {r: [] for r in over}
-        for h, g, w in again:
-            inside[bisect_right(bounds, (h, g))].append((h, g, w))
+        for x in sample(placed.where(F.col("r").isin(list(over))), hot, OVERSAMPLE * math.ceil(hot * ranges / total), f"again {again}"):
+            inside[bisect_right(bounds, x[:3])].append(x)
         more = [x for r, b in over.items() for x in _splitters(inside[r], math.ceil(b * ranges / total))]
+        if set(more) <= set(bounds):  # a row of its own that is larger than a range
+            break
         bounds = sorted({*bounds, *more})
         placed, sums = totals(bounds)
 
@@ -108,7 +113,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         b, n = sums.get(r, (0, 0))
         before.append((before[-1][0] + b, before[-1][1] + n))
     starts = _literal([f'{{"b":{b},"n":{n}}}' for b, n in before], "struct<b:bigint,n:bigint>")
-    line = Window.partitionBy("r").orderBy("h", "g", "doc_id")
+    line = Window.partitionBy("r").orderBy("h", "g", "s")
     group = Window.partitionBy("r", "h")
     placed = placed.withColumns({"end": F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(line)})
     placed = placed.withColumns({"group_bytes": F.sum("size").over(group), "group_end": F.max("end").over(group)})

@@ -57,3 +57,15 @@ def test_odd_rows(spark, odd, none):
     check(got, odd.collect(), 3)
     assert sum(r.size == 8 for r in got) >= 3
     assert sharding.shard(none).count() == 0
+
+
+def test_repeated_rows_are_parted(spark, monkeypatch):
+    """Rows equal in id and text, and null ids of one text, are in many ranges and in shards of near equal bytes."""
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 1 << 10)
+    docs = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(None).cast("long")).otherwise(F.lit(7)).alias("doc_id"), F.lit("x" * 300).alias("text"))
+    asked = []
+    plain = sharding._range_of
+    monkeypatch.setattr(sharding, "_range_of", lambda bounds: asked.append(bounds) or plain(bounds))
+    sizes = check(sharding.shard(docs, 6).collect(), docs.collect(), 6)
+    assert len(sizes) == 6 and max(sizes.values()) <= 1.02 * min(sizes.values())
+    assert len(asked[-1]) > 100
