@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import small_batches
 from plumbline.operators.graph import connected_components
 from plumbline.runtime import cut
 
 #: Hash tables, hashes joined to one bucket, buckets that a vector is put in for each table.
 TABLES, HASHES, PROBES = 12, 2, 3
 #: Vectors of a bucket that a task compares with one another; a larger bucket is compared in blocks of so many.
-BLOCK = 1000
+BLOCK = 2000
+#: Pairs whose buckets are compared in one step.
+PAIRS = 100_000
 #: Rows of vectors hashed at a time.
 ROWS = 2000
 
@@ -57,42 +60,79 @@ def buckets(x: np.ndarray, table: int, hashes: int = HASHES, probes: int = PROBE
     return np.concatenate((base[:, None], np.take_along_axis(moved, order, 1)), axis=1)[:, :probes]
 
 
-def _entries(nodes: DataFrame, tables: int) -> DataFrame:
-    """(dim, t, bucket, label, node) of each node and bucket."""
+def _codes(nodes: DataFrame, tables: int) -> DataFrame:
+    """(node, codes) of each node: PROBES buckets of each table in a row."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, part in batch.groupby(batch["v"].map(len)):
+            for _, part in batch.groupby(batch["v"].map(len)):
                 for at in range(0, len(part), ROWS):
                     some = part.iloc[at : at + ROWS]
                     x = np.stack(some["v"]).astype(np.float64)
                     x /= np.abs(x).max(1, keepdims=True)
-                    for t in range(tables):
-                        for b in buckets(x, t).T:
-                            yield pd.DataFrame({"dim": dim, "t": t, "bucket": b, "label": some["label"], "node": some["node"]})
-
-    return nodes.select("node", "label", "v").mapInPandas(put, f"dim int, t int, bucket long, label {dict(nodes.dtypes)['label']}, node string")
-
-
-def _verified(groups: DataFrame, least: float) -> DataFrame:
-    """(a, b) with a < b from lists of vectors that share a bucket."""
-
-    @F.pandas_udf("array<struct<a:string,b:string>>")
-    def near(nodes: pd.Series, lists: pd.Series) -> pd.Series:
+                    yield pd.DataFrame({"node": some["node"].to_numpy(), "codes": list(np.concatenate([buckets(x, t) for t in range(tables)], axis=1))})
+
+    return nodes.select("node", "v").mapInPandas(put, "node string, codes array<bigint>")
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray, t: int, bucket: int) -> np.ndarray:
+    """Whether `bucket` of table t is the first that rows of a and b share, given codes as tables x PROBES."""
+    seen = np.zeros(len(a), bool)
+    for k in range(t):
+        seen |= (a[:, k, :, None] == b[:, k, None, :]).any((1, 2))
+    both = np.where((a[:, t, :, None] == b[:, t, None, :]).any(2), a[:, t], np.iinfo(np.int64).max).min(1)
+    return ~seen & (both == bucket)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n points that each reaches over links a to b."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _counted(groups: DataFrame, least: float) -> DataFrame:
+    """(node, links, root) from rows (t, bucket, i, j, members) of vectors that share a bucket, of one block or two: to how many
+    vectors a node links that it shares no earlier bucket with, and a node that it reaches over these links."""
+
+    @F.pandas_udf("array<struct<node:string,links:bigint,root:string>>")
+    def of(t: pd.Series, bucket: pd.Series, two: pd.Series, node: pd.Series, weight: pd.Series, block: pd.Series, v: pd.Series, codes: pd.Series) -> pd.Series:
         out = []
-        for ids, vs in zip(nodes, lists, strict=True):
+        for table, code, across, ids, n, side, vs, cs in zip(t, bucket, two, node, weight, block, v, codes, strict=True):
             x = np.stack(vs).astype(np.float64)
             x /= np.abs(x).max(1, keepdims=True)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
-            links = set()
-            for at in range(0, len(ids), 500):
-                for i, j in zip(*np.nonzero(x[at : at + 500] @ x.T >= least), strict=True):
-                    if ids[at + i] < ids[j]:
-                        links.add((ids[at + i], ids[j]))
-            out.append([{"a": a, "b": b} for a, b in links])
+            c = np.stack(cs).reshape(len(x), -1, PROBES)
+            n, side = np.asarray(n), np.asarray(side)
+            links = np.zeros(len(x), np.int64)
+            left, right = [], []
+            for at in range(0, len(x), 500):
+                i, j = np.nonzero(x[at : at + 500] @ x.T >= least)
+                i += at
+                some = (i < j) & ((side[i] != side[j]) | (not across))
+                for k in range(0, int(some.sum()), PAIRS):
+                    a, b = i[some][k : k + PAIRS], j[some][k : k + PAIRS]
+                    first = _first_shared(c[a], c[b], table, code)
+                    left.append(a[first])
+                    right.append(b[first])
+            a, b = (np.concatenate([*y, np.zeros(0, np.int64)]).astype(np.int64) for y in (left, right))
+            np.add.at(links, a, n[b])
+            np.add.at(links, b, n[a])
+            root = _roots(len(x), a, b)
+            out.append([{"node": ids[k], "links": int(links[k]), "root": ids[root[k]]} for k in np.flatnonzero(links).tolist()])
         return pd.Series(out)
 
-    return groups.select(F.explode(near("nodes", "vs")).alias("l")).select("l.a", "l.b")
+    m = "members."
+    return groups.select(F.explode(of("t", "bucket", F.col("i") < F.col("j"), m + "node", m + "n", m + "own", m + "v", m + "codes")).alias("l")).select("l.*")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -101,14 +141,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES,
     Vectors of equal, non-null labels link at a cosine of `least` or more, computed in double precision.
     Equal vectors are one node with a count. A node goes to PROBES buckets of each table; buckets of
     one are dropped by a count, larger ones than `block` are compared block against block, so that no
-    task holds more than two blocks. Every pair found is verified; recall is measured in the tests.
+    task holds more than two blocks. A pair is counted in the first bucket that both are in, and what leaves
+    a block is a count and a root for each node, never its pairs. Recall is measured in the tests.
 
     Vectors that are null, zero or hold null or non-finite components, and those with a null label or
     id, link with nothing: n_links 0, component_id the id itself. Vectors of different lengths don't
-    link. Rows that repeat an id count as vectors of their own. Other columns are not read.
+    link. Rows that repeat an id count as vectors of their own. Other columns are not read; an empty table
+    gives an empty result.
     """
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     key = [F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.lit(i), "label", "v")).alias(f"k{i}") for i in (1, 2)]
@@ -116,18 +157,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES,
     rows = rows.withColumn("node", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2"))).drop("k1", "k2")  # null where either is
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
 
-    entries = cut(_entries(nodes.repartition("node"), tables))
+    coded = cut(_codes(nodes.repartition("node"), tables).join(nodes.select("node", "n", "label", "v"), "node"))
     bucket = ["dim", "t", "bucket", "label"]
+    entries = coded.select("node", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("p", "bucket"))
+    entries = entries.select("node", "label", "dim", F.floor(F.col("p") / PROBES).cast("int").alias("t"), "bucket")
     full = entries.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    held = entries.join(full, bucket).withColumn("own", own).join(nodes.select("node", "v"), "node")
-    held = held.select(*bucket, "node", "v", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    held = held.groupBy(*bucket, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(F.collect_list("node").alias("nodes"), F.collect_list("v").alias("vs"))
-    links = cut(_verified(held, least).distinct())
-
-    count = nodes.select("node", "n")
-    both = links.union(links.select("b", "a"))
-    near = both.join(count.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
+    held = entries.join(full, bucket).withColumn("own", own).join(coded.select("node", "n", "v", "codes"), "node")
+    held = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.groupBy(*bucket, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(F.collect_list(F.struct("node", "n", "own", "v", "codes")).alias("members"))
+    linked = cut(_counted(held, least).groupBy("node", "root").agg(F.sum("links").alias("links")))
+    links = linked.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    near = linked.groupBy("node").agg(F.sum("links").alias("near"))
+
     roots = cut(connected_components(links).join(nodes.select("node", "rep"), "node"))
     first = roots.join(roots.groupBy("root").agg(F.min("rep").alias("first")), "root").select("node", "first")
     label = nodes.select("node", "rep", "n").join(near, "node", "left").join(first, "node", "left")
