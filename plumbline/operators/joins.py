@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths
 
+#: Characters of the texts looked for in one pass over the documents; more of them take more passes.
+PASS_CHARS = 20_000_000
+
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The join on a key that must be unique and have the same values on both sides."""
@@ -110,3 +118,37 @@ def decisions(members: DataFrame, selected: DataFrame, rules: list[tuple[str, li
 def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, order): each value once, with the first place it is met at, in that order."""
     return df.groupBy(value).agg(F.min(order).alias(order)).orderBy(order)
+
+
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_col, id_col) of the items whose whole text stands in a document, each pair once for each row of both.
+
+    Items are a set of queries: they are taken in blocks of PASS_CHARS characters, by hash, each an automaton
+    that every task runs over the documents it reads. Empty and null texts are contained in nothing.
+    """
+    items = items.select(F.col(item_col), F.col(text_col).alias("t")).where("t <> ''")
+    kinds = {**dict(docs.dtypes), **dict(items.dtypes)}
+    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(total / PASS_CHARS))
+    schema = f"{item_col} {kinds[item_col]}, {id_col} {kinds[id_col]}"
+
+    def one_pass(block: int) -> DataFrame:
+        some = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()  # PASS_CHARS characters on the mean
+        shared = docs.sparkSession.sparkContext.broadcast([(r["t"], r[item_col]) for r in some])
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton, of = ahocorasick.Automaton(), {}
+            for text, item in shared.value:
+                of.setdefault(text, []).append(item)
+            for text in of:
+                automaton.add_word(text, text)
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [(item, i) for i, text in zip(batch[id_col], batch[text_col], strict=True) if text and of for found in {x for _, x in automaton.iter(text)} for item in of[found]]
+                yield pd.DataFrame(hits, columns=[item_col, id_col])
+
+        return docs.select(id_col, text_col).mapInPandas(search, schema)
+
+    return reduce(DataFrame.union, map(one_pass, range(blocks)))

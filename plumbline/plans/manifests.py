@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import paths, values
@@ -111,27 +111,10 @@ def overlap_semi(spark: SparkSession, d: str) -> DataFrame:
     return joins.overlaps(rows, docs.where("doc_id % 3 = 0").select(values.sha256(F.col("text")).alias("sha256")), "source_sha", "output_sha", key="doc_id")
 
 
-def _word_runs(n: int) -> Column:
-    """Each n consecutive elements of the array w, joined by spaces, once."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
-
-
 @query("SELECT b.item_id, count(*) AS n_documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def overlap_contains(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item's whole text, by a shared run of words before the texts are compared.
-
-    All words of an item but the first and last stand between spaces wherever the item occurs, so a run
-    of these is an equi-join key; items of fewer than three words have none and are compared as they are.
-    """
-    words = F.split("text", " ")
-    items = cut(table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.greatest(F.lit(0), F.least(F.size(words) - 2, F.lit(7))).alias("n"), words.alias("w")))
-    docs = table(spark, d, "documents").select("doc_id", "text", words.alias("w"))
-    hits = docs.select("doc_id", "text").join(items.where("n < 1"), F.contains("text", "item")).select("item_id", "doc_id")
-    for n in sorted(r[0] for r in items.where("n > 0").select("n").distinct().collect()):
-        keys = items.where(F.col("n") == n).select("item_id", "item", F.array_join(F.slice("w", 2, n), " ").alias("k"))
-        likely = docs.where(F.size("w") >= n).select("doc_id", F.explode(_word_runs(n)).alias("k")).join(keys, "k").select("doc_id", "item_id", "item")
-        hits = hits.union(docs.select("doc_id", "text").join(likely, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id"))
-    return hits.distinct().groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    """Documents that hold an item's whole text."""
+    return joins.contained(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
 @query(f"{M} SELECT path FROM manifest WHERE doc_id % 11 = 4")
