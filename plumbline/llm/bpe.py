@@ -150,7 +150,8 @@ class Tokenizer:
 def tokenise(docs: DataFrame, path: str, text_col: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with `ids` array<int> and `decoded` binary of the whole text; null and empty texts give no ids.
 
-    Row by row, so copies, ties and other columns need no care; docs may not have columns of these names.
+    Row by row, so copies, ties and an empty table need no care; columns of docs of these names are replaced,
+    others come out as they were.
     """
     t = Tokenizer(docs.sparkSession, path, pattern)
     return docs.withColumn("ids", t.encode(F.col(text_col))).withColumn("decoded", t.decode(F.col("ids")))

@@ -174,8 +174,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def language_mixture(docs: DataFrame, fitted_on: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """docs with `language` struct<lang, score, mix>, by a model of fitted_on (docs' rows that are not held out).
 
-    Every row of docs stays, in any order and however often it is repeated; docs may not have a column
-    `language`. lang, source and id are no inputs of a prediction.
+    Every row of docs stays, in any order and however often it is repeated; a column of docs called
+    `language` is replaced. lang, source and id are no inputs of a prediction.
     """
     model = fit(docs.where(~held_out()) if fitted_on is None else fitted_on, text_col=text_col)
     return docs.withColumn("language", identify(docs, model, text_col))

@@ -178,13 +178,20 @@ def masked(text: str | None) -> str | None:
 
 
 def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `pii_spans`; row by row, whole texts, null and empty texts have none."""
+    """docs with `pii_spans`; row by row, whole texts.
+
+    Null and empty texts have none; of spans that overlap within a kind the leftmost stands; repeated rows each get
+    the same; an empty table stays empty; a column of docs called `pii_spans` is replaced, others come out as they were.
+    """
     small_batches(docs.sparkSession)
     return docs.withColumn("pii_spans", spans(F.col(text_col)))
 
 
 def mask_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the personal data in text_col masked; all rows and columns stay."""
+    """docs with the personal data in text_col masked; all rows and other columns stay as they are, whatever their names.
+
+    Null and empty texts stay so; repeated rows are masked alike; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     return docs.withColumn(text_col, mask(F.col(text_col)))
 

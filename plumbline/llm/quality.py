@@ -187,7 +187,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from labels (doc_id, quality) of rows that are not held out (see langid.held_out) and from
     a pool of rows without label. Null and empty texts are scored by their metadata and the intercept;
     a null in a metadata column is a value of its own; without labels of both classes every score is
-    the labels' mean (0.5 without any). Repeated rows each get the same score.
+    the labels' mean (0.5 without any). Repeated rows each get the same score; an empty table stays empty;
+    a column of docs called `quality_score` is replaced, others come out as they were.
     """
     return docs.withColumn("quality_score", score(docs, fit(docs.where(~held_out()), labels.where(~held_out()))))
 

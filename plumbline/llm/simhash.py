@@ -99,7 +99,8 @@ def near_links(prints: DataFrame, radius: int = 4, column: str = "fp", bucket: i
 
     Each fingerprint goes to one bucket of every covering mask. Buckets of one are dropped by a count;
     a bucket of over `bucket` fingerprints is dealt out by radius+1 pieces of the bits its mask hides,
-    of which one piece must be equal, so nothing is lost and no task gathers a large bucket.
+    of which one piece must be equal, and a piece of over `bucket` is compared block by block, so nothing is
+    lost and no task gathers more than two blocks. No prints give no links.
     """
     masks = covering_masks(radius)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
@@ -115,7 +116,11 @@ def near_links(prints: DataFrame, radius: int = 4, column: str = "fp", bucket: i
         table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in signed])
         dealt = held.where(F.col("n") > bucket).select("t", "k", "fp", F.posexplode(F.get(table, F.col("t"))).alias("p", "m"))
         dealt = dealt.select("t", "k", "p", F.col("fp").bitwiseAND(F.col("m")).alias("q"), "fp")
-        dealt = dealt.groupBy("t", "k", "p", "q").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+        piece = ["t", "k", "p", "q"]
+        sizes = dealt.groupBy(*piece).agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+        dealt = dealt.join(sizes, piece).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.groupBy(*piece, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         out = out.union(_links(dealt.select("fps"), radius))
     return out.distinct()
 
