@@ -96,3 +96,8 @@ def member_code(member: Column) -> Column:
 def numeric_prefix(label: Column) -> Column:
     """The number before the first underscore of a label, for sorting."""
     return F.try_to_number(F.split(label, "_", 2)[0], F.lit("9999999999")).cast("int")
+
+
+def parts(path: Column) -> Column:
+    """The parts of a path as an array: ordered by it, a folder's files come before those of a folder whose name goes on with a sign below the slash."""
+    return F.split(path, "/", -1)

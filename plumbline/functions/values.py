@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,10 +74,16 @@ def percent(x: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f%%", x * 100)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it several times or within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits, stable for large ones."""
-    e = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
+    """Probabilities of an array of logits, stable for large ones; each step is computed once a row."""
+    grown = lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return let(let(logits, grown), shares)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -79,14 +79,19 @@ def check_classes(before: DataFrame, after: DataFrame, expected: int | None = No
     return n
 
 
+def states() -> tuple[Column, Column, Column]:
+    """Whether a row of a scan (label, width) has no label, is corrupt, or is valid."""
+    lost = F.col("label").isNull()
+    corrupt = ~lost & (F.coalesce(F.col("width"), F.lit(-1)) < 0)
+    return lost, corrupt, ~lost & ~corrupt
+
+
 def summary(scan: DataFrame) -> DataFrame:
     """One row of totals of a scan (path, label, width, sha256): discovered = valid + corrupt + without label.
 
     A row without a label is counted as that and no further; a label with a null or negative width is corrupt.
     """
-    lost = F.col("label").isNull()
-    corrupt = ~lost & (F.coalesce(F.col("width"), F.lit(-1)) < 0)
-    valid = ~lost & ~corrupt
+    lost, corrupt, valid = states()
     counts = scan.where(valid).groupBy("label").agg(F.count("*").alias("n")).agg(F.count("*").alias("classes"), F.min("n").alias("minimum"), F.max("n").alias("maximum"))
     totals = scan.agg(F.count("*").alias("discovered"), F.count_if(valid).alias("valid"), F.count_if(corrupt).alias("corrupt"), F.count_if(lost).alias("label_errors"))
     groups = duplicate_groups(scan.where(valid)).select("duplicate_groups", "duplicate_members")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import paths
-
-#: Characters of the texts looked for in one pass over the documents; more of them take more passes.
-PASS_CHARS = 20_000_000
+from plumbline.functions import paths, values
+from plumbline.runtime import cut
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -120,35 +115,72 @@ def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(order).alias(order)).orderBy(order)
 
 
+def _pieces(text: Column) -> Column:
+    """What stands between two blanks of a text: of a text that stands in another, all of these stand there one after another."""
+    words = F.split(text, " ", -1)
+    return F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+
+
+def _grams(words: Column, k: int) -> Column:
+    """The hash of every k words that follow one another."""
+    places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return values.let(words, lambda w: F.transform(places, lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(w, i, k), " "))))
+
+
+def _winnowed(hashes: Column, window: int) -> Column:
+    """The least hash of every `window` that follow one another, each once: whatever so many are common, one of these is."""
+    if window == 1:
+        return F.array_distinct(hashes)
+    places = F.when(F.size(hashes) >= window, F.sequence(F.lit(1), F.size(hashes) - window + 1)).otherwise(F.array().cast("array<int>"))
+    return values.let(hashes, lambda h: F.array_distinct(F.transform(places, lambda i: F.array_min(F.slice(h, i, window)))))
+
+
+def _characters(text: Column, k: int) -> Column:
+    """The hash of every k characters that follow one another, each once a stretch. A text is taken in stretches, as finding a
+    place in one takes time by its length."""
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{STRETCH + k - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+    places = lambda s: F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(stretches, lambda s: F.array_distinct(F.transform(places(s), lambda i: F.xxhash64(F.lit(-k), F.substring(s, i, F.lit(k))))))))
+
+
+#: How texts are looked for, by how many words they surely share with a text that holds them: (least number, words hashed
+#: together, window of hashes of which the least counts). Texts with none are looked for by characters, by the largest number they have.
+BY_WORDS = ((15, 8, 8), (4, 4, 1), (1, 1, 1))
+BY_CHARACTERS = (32, 8, 2, 1)
+STRETCH = 256
+
+
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_col, id_col) of the items whose whole text stands in a document, each pair once for each row of both.
 
-    Items are a set of queries: they are taken in blocks of PASS_CHARS characters, by hash, each an automaton
-    that every task runs over the documents it reads. Empty and null texts are contained in nothing.
+    Both sides are joined on hashes of a few words, of which an item gives the one that the fewest items have and a document
+    those that winnowing keeps, and what meets is looked at as a whole. Equal texts are one on each side until
+    then, and no text is on the driver. Empty and null texts are contained in nothing.
     """
-    items = items.select(F.col(item_col), F.col(text_col).alias("t")).where("t <> ''")
-    kinds = {**dict(docs.dtypes), **dict(items.dtypes)}
-    total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / PASS_CHARS))
-    schema = f"{item_col} {kinds[item_col]}, {id_col} {kinds[id_col]}"
-
-    def one_pass(block: int) -> DataFrame:
-        some = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()  # PASS_CHARS characters on the mean
-        shared = docs.sparkSession.sparkContext.broadcast([(r["t"], r[item_col]) for r in some])
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton, of = ahocorasick.Automaton(), {}
-            for text, item in shared.value:
-                of.setdefault(text, []).append(item)
-            for text in of:
-                automaton.add_word(text, text)
-            automaton.make_automaton()
-            for batch in batches:
-                hits = [(item, i) for i, text in zip(batch[id_col], batch[text_col], strict=True) if text and of for found in {x for _, x in automaton.iter(text)} for item in of[found]]
-                yield pd.DataFrame(hits, columns=[item_col, id_col])
-
-        return docs.select(id_col, text_col).mapInPandas(search, schema)
-
-    return reduce(DataFrame.union, map(one_pass, range(blocks)))
+    text = lambda df, c: df.select(F.col(c).alias("__id"), F.col(text_col).alias("t")).where("t <> ''").withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")})
+    wanted, held = cut(text(items, item_col)), text(docs, id_col)
+    level = reduce(lambda rest, i: F.when(F.size("pieces") >= BY_WORDS[i][0], i).otherwise(rest), reversed(range(len(BY_WORDS))), reduce(lambda rest, i: F.when(F.length("t") >= BY_CHARACTERS[i], len(BY_WORDS) + i).otherwise(rest), reversed(range(len(BY_CHARACTERS))), F.lit(None).cast("int")))
+    distinct = wanted.dropDuplicates(["h1", "h2"]).withColumn("pieces", _pieces(F.col("t"))).withColumn("level", level)
+    distinct = cut(distinct.select("h1", "h2", "t", "pieces", "level"))
+    pairs = None
+    for i in [r[0] for r in distinct.select("level").distinct().collect()]:  # seven at most
+        some = distinct.where(F.col("level") == i)
+        if i < len(BY_WORDS):
+            _, k, window = BY_WORDS[i]
+            mine = _winnowed(_grams(F.col("pieces"), k), window)
+            theirs = _winnowed(_grams(F.split("t", " ", -1), k), window)
+        else:
+            k = BY_CHARACTERS[i - len(BY_WORDS)]
+            mine = _characters(F.col("t"), k)
+            theirs = _characters(F.col("t"), k)
+        keys = cut(some.select("h1", "h2", F.explode(mine).alias("key")))
+        common = keys.groupBy("key").agg(F.count("*").alias("n"))
+        keys = keys.join(common, "key").groupBy("h1", "h2").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+        found = held.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.explode(theirs).alias("key")).join(keys, "key").select("h1", "h2", "d1", "d2")
+        pairs = found if pairs is None else pairs.union(found)
+    if pairs is None:
+        return items.select(item_col).limit(0).crossJoin(docs.select(id_col).limit(0))
+    pairs = cut(pairs.distinct())
+    meet = held.select(F.col("__id").alias(id_col), F.col("t").alias("__text"), F.col("h1").alias("d1"), F.col("h2").alias("d2")).join(pairs, ["d1", "d2"])
+    meet = meet.join(distinct.select("h1", "h2", "t"), ["h1", "h2"]).where(F.contains("__text", "t")).select("h1", "h2", id_col)
+    return meet.join(wanted.select("h1", "h2", F.col("__id").alias(item_col)), ["h1", "h2"]).select(item_col, id_col)

@@ -13,8 +13,10 @@ def confusion(pred: DataFrame, labels: DataFrame) -> DataFrame:
     return grid.join(counts, ["true_label", "predicted_label"], "left").select("true_label", "predicted_label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def confusion_wide(pred: DataFrame, labels: list[str]) -> DataFrame:
-    return pred.groupBy("true_label").pivot("predicted_label", labels).agg(F.count(F.lit(1))).na.fill(0)
+def confusion_wide(pred: DataFrame, labels: DataFrame) -> DataFrame:
+    """(true_label, counts array<bigint>): for each true label how often each label was predicted, by its index; labels are few."""
+    counts = confusion(pred, labels).join(F.broadcast(labels.withColumnRenamed("label", "predicted_label")), "predicted_label")
+    return counts.groupBy("true_label").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "n"))), lambda x: x["n"]).alias("counts"))
 
 
 def accuracy(pred: DataFrame) -> DataFrame:

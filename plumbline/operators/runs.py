@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import inspect
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.runtime import exists, storage
+
 
 def rank(runs: DataFrame) -> DataFrame:
     """runs by macro F1, then accuracy, best first; ties in the order of run_seq."""
@@ -156,18 +160,38 @@ def key_values(df: DataFrame, key: str) -> DataFrame:
 
 
 class Cache:
-    """Results by the fingerprint of what made them, as parquet in a folder all executors see."""
+    """Results by the fingerprint of what made them, as parquet in a folder all executors see.
+
+    The key of an entry holds the settings, the source of the function that makes it and the content of its input tables (an
+    order-independent sum of row hashes, see split.content_hash), so that a change in any of them is another
+    entry. computed counts the entries made, and rows says how many rows each had, observed while it was written.
+    """
 
     def __init__(self, root: str):
         self.root = root.rstrip("/")
+        self.computed, self.rows = 0, {}
 
-    def get(self, spark, key: object, make) -> DataFrame:
-        """The stored table of the key, made and stored if it is not there; a write that broke off is made anew."""
+    def path(self, key: object, make=None, *inputs: DataFrame) -> str:
         from plumbline.functions.values import fingerprint
-
-        path = f"{self.root}/{fingerprint(key)[:16]}"
-        jvm = spark.sparkContext._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            make().write.mode("overwrite").parquet(path)
+        from plumbline.operators.split import content_hash
+
+        code = inspect.getsource(make) if make is not None and inputs else None
+        return f"{self.root}/{fingerprint([key, code, [content_hash(df, *sorted(df.columns)) for df in inputs]])[:16]}"
+
+    def get(self, spark, key: object, make, *inputs: DataFrame) -> DataFrame:
+        """The stored table of the key and inputs, make(*inputs), made and stored if it is not there; a write that broke off is made anew."""
+        path = self.path(key, make, *inputs)
+        if not exists(spark, f"{path}/_SUCCESS"):
+            seen = Observation()
+            make(*inputs).observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path)
+            self.computed += 1
+            self.rows[path] = seen.get["n"]
         return spark.read.parquet(path)
+
+    def drop_but(self, spark, *paths: str) -> int:
+        """Entries of the folder that are not among the paths, which go; their number."""
+        system, where = storage(spark, self.root)
+        old = [s.getPath() for s in system.listStatus(where) if s.getPath().getName() not in {p.rsplit("/", 1)[-1] for p in paths}]
+        for p in old:
+            system.delete(p, True)
+        return len(old)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import values
+from plumbline.runtime import cut
 
-
-#: Numbers that the centroids of all labels may have together, as they are held in one row that each task gets.
-MOST_NUMBERS = 5_000_000
+#: Numbers of centroids that are held in one row; parts that the items of a block of centroids are dealt in.
+MOST_NUMBERS, SALTS = 5_000_000, 64
 
 
 class Scorer(Protocol):
@@ -36,13 +36,24 @@ class CentroidScorer:
         self.centroids = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
     def logits(self, items: DataFrame) -> DataFrame:
-        """items with logits. The centroids are one row, of a size that is checked; each item is scored where it is."""
+        """items with logits, in the order of the labels. Centroids of up to MOST_NUMBERS numbers are one row that every task
+        gets; more are cut into blocks of so many, which meet the items in a shuffle by block and salt."""
         size = self.centroids.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
-        if size > MOST_NUMBERS:
-            raise ValueError(f"the centroids hold {size} numbers, more than {MOST_NUMBERS}")
-        every = self.centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("__centroids"))
-        one = F.transform("__centroids", lambda c: F.struct(c["label"].alias("predicted_label"), self.distance(F.col("v"), c["centroid"]).alias("logit")))
-        return items.join(F.broadcast(every)).withColumn("logits", one).drop("__centroids")
+        if size <= MOST_NUMBERS:
+            every = self.centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("__centroids"))
+            return items.join(F.broadcast(every)).withColumn("logits", self._scored()).drop("__centroids")
+        blocks = -(-size // MOST_NUMBERS)
+        block = F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("__block")
+        every = self.centroids.groupBy(block).agg(F.collect_list(F.struct("label", "centroid")).alias("__centroids"))
+        every = every.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = cut(items.withColumn("__row", F.monotonically_increasing_id()))  # written, so that the numbers stay
+        wide = rows.withColumns({"__block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "__salt": F.pmod("__row", F.lit(SALTS))})
+        parts = wide.join(every.hint("shuffle_hash"), ["__block", "__salt"]).select("__row", F.explode(self._scored()).alias("z"))
+        logits = parts.groupBy("__row").agg(F.array_sort(F.collect_list("z")).alias("logits"))
+        return rows.join(logits, "__row", "left").drop("__row")
+
+    def _scored(self) -> Column:
+        return F.transform("__centroids", lambda c: F.struct(c["label"].alias("predicted_label"), self.distance(F.col("v"), c["centroid"]).alias("logit")))
 
 
 class LogisticScorer:
@@ -67,15 +78,24 @@ class LogisticScorer:
 
 def ranked(logits: Column) -> Column:
     """array<struct<n,label>> of an array of logits: the softmax, negative, from the likeliest label, ties by label."""
-    prob = values.softmax(F.transform(logits, lambda x: x["logit"]))
-    return F.array_sort(F.zip_with(prob, logits, lambda p, x: F.struct((-p).alias("n"), x["predicted_label"].alias("label"))))
+    return F.array_sort(_negatives(logits))
+
+
+def _negatives(logits: Column) -> Column:
+    """ranked() without an order. The logits are used in one place, so that they are computed once a row."""
+
+    def of(z: Column) -> Column:
+        probs = values.softmax(F.transform(z, lambda x: x["logit"]))
+        return F.zip_with(probs, z, lambda p, x: F.struct((-p).alias("n"), x["predicted_label"].alias("label")))
+
+    return values.let(logits, of)
 
 
 def top_of(scored: DataFrame, key: str, k: int = 3) -> DataFrame:
     """top_k() of items with logits, row by row."""
     if k < 1:
         raise ValueError("k must be 1 at least")
-    return _topped(scored.select(key, ranked(F.col("logits")).alias("s")), key, k)
+    return _topped(scored.select(key, F.explode(F.array(ranked(F.col("logits")))).alias("s")), key, k)
 
 
 def _topped(lists: DataFrame, key: str, k: int) -> DataFrame:
@@ -105,9 +125,13 @@ def top_k(probs: DataFrame, key: str, k: int = 3) -> DataFrame:
 
 
 def prediction_of(scored: DataFrame) -> DataFrame:
-    """Items with logits, less v and these, with predicted_label and confidence: the likeliest label, ties by label."""
-    out = scored.withColumn("s", F.array_min(ranked(F.col("logits"))))
-    return out.select(*[c for c in scored.columns if c not in ("v", "logits")], F.col("s.label").alias("predicted_label"), (-F.col("s.n")).alias("confidence"))
+    """Items with logits, less v and these, with predicted_label and confidence: the likeliest label, ties by label.
+
+    The best label comes out of a generator, below which a filter on it isn't pushed: that would compute the logits twice.
+    """
+    own = [c for c in scored.columns if c not in ("v", "logits")]
+    out = scored.select(*own, F.explode(F.array(F.array_min(_negatives(F.col("logits"))))).alias("s"))
+    return out.select(*own, F.col("s.label").alias("predicted_label"), (-F.col("s.n")).alias("confidence"))
 
 
 def predict(probs: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.runtime import cut
+
 
 def islands(series: DataFrame, key: str, x: str, low: str, most: float = 1) -> DataFrame:
     """(key, begin, end, length) of runs of consecutive x where `low` is at most `most`; end exclusive."""
@@ -15,6 +17,20 @@ def islands(series: DataFrame, key: str, x: str, low: str, most: float = 1) -> D
     return s.groupBy(key, "g").agg(F.min(x).alias("begin"), (F.max(x) + 1).alias("end"), F.count("*").alias("length")).drop("g")
 
 
+def numbered(rows: DataFrame, *order, name: str = "n") -> DataFrame:
+    """rows with their number from 0 in an order that must tell all rows apart.
+
+    Rows are dealt out in ranges of the order; a row's number is its place in its range and the rows of the ranges
+    before, of which there is one count each, so that no task holds or sorts all rows.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))  # a row for each range
+    return dealt.withColumn(name, place).join(F.broadcast(starts), "__part").withColumn(name, (F.col(name) + F.col("__start")).cast("long")).drop("__part", "__start")
+
+
 def jobs(spark: SparkSession, team: int, rounds: int, total: int = 41) -> DataFrame:
     """(round, member, job) of a round-robin allocation, jobs from 1 to total."""
     if team not in (6, 7) or rounds < 1:

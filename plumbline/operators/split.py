@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit
@@ -80,12 +80,30 @@ def train_only(assigned: DataFrame) -> DataFrame:
     return assigned.select("label").distinct().join(g, "label", "left").where("coalesce(n, 0) < 2").select("label")
 
 
-def content_hash(df: DataFrame, *columns: str) -> str:
-    """A fingerprint of a table that does not depend on the order of its rows: a hash of each row, summed in four
-    parts so that no task sees more than partial sums, and hashed once more."""
+def content_hash_of(*columns: str) -> Column:
+    """An aggregate that identifies the rows of a table, whatever their order: a hash of each row, summed in four parts so
+    that no task sees more than partial sums, and hashed once more. Any engine with SHA-256 can compute it."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]).cast("binary"), 256)
     parts = [F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
-    return df.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]).cast("binary"), 256)).first()[0]
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]).cast("binary"), 256)
+
+
+def content_hash(df: DataFrame, *columns: str) -> str:
+    """content_hash_of() a table."""
+    return df.agg(content_hash_of(*columns)).first()[0]
+
+
+def first_change(frozen: DataFrame, now: DataFrame, *keys: str) -> DataFrame:
+    """One row: first_change, the first of the keys in which one row of identities differs from another, null if none does."""
+    both = frozen.select(F.struct(*keys).alias("a")).crossJoin(now.select(F.struct(*keys).alias("b")))  # a row each
+    return both.select(F.coalesce(*[F.when(~F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")), k) for k in keys]).alias("first_change"))
+
+
+def identity(assigned: DataFrame) -> DataFrame:
+    """One row: label_hash, train_hash and validation_hash of a split (path, label, sha256, source_id, split)."""
+    part = lambda s: assigned.where(F.col("split") == s).agg(content_hash_of("path", "label", "sha256", "source_id").alias(f"{s}_hash"))
+    labels = audit.label_index(assigned).agg(content_hash_of("label", "idx").alias("label_hash"))
+    return labels.crossJoin(part("train")).crossJoin(part("validation"))  # a row each
 
 
 def metadata(source: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import values
-from plumbline.operators import audit, contracts, joins, metrics, scoring
+from plumbline.operators import audit, contracts, inference, joins, metrics, scoring, training
 from plumbline.plans.registry import query
+from plumbline.runtime import cut
 from plumbline.sources.views import table, vectors
 
 V = """vec AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding AS v, CASE WHEN vec_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM embeddings),
@@ -91,9 +93,10 @@ def confusion_long(spark: SparkSession, d: str) -> DataFrame:
     return metrics.confusion(predictions(spark, d), _labels(spark, d))
 
 
-@query(f"{W} SELECT true_label, " + ", ".join(f"count(*) FILTER (predicted_label = '{i}') AS \"{i}\"" for i in range(10)) + " FROM pred GROUP BY 1")
+@query(f"{W} SELECT a.label AS true_label, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY b.idx) AS counts FROM labs a CROSS JOIN labs b LEFT JOIN (SELECT true_label AS t, predicted_label AS p, count(*) AS n FROM pred GROUP BY 1, 2) ON t = a.label AND p = b.label GROUP BY 1")
 def confusion_wide(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.confusion_wide(predictions(spark, d), [str(i) for i in range(10)])
+    wide = metrics.confusion_wide(predictions(spark, d), _labels(spark, d))
+    return wide.select("true_label", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
 
 
 REPORT = f"""{W}, s AS (
@@ -227,6 +230,60 @@ def vector_distance(spark: SparkSession, d: str) -> DataFrame:
     return p.select("vec_id", *[F.round(f("x", "y"), 5).alias(n) for n, f in (("dot", lambda a, b: values.dot(F.col(a), F.col(b))), ("euclidean", lambda a, b: values.euclidean(F.col(a), F.col(b))), ("manhattan", lambda a, b: values.manhattan(F.col(a), F.col(b))))])
 
 
+_SPOILT = """bad AS (SELECT vec_id, CASE WHEN vec_id % 13 = 5 THEN 'no vector' WHEN vec_id % 11 = 3 THEN 'length 63, not 64' WHEN vec_id % 17 = 2 THEN 'a component is null or not finite' END AS error FROM embeddings)"""
+
+
+@query(
+    f"""{W.replace("validation' ELSE 'train' END AS split FROM embeddings)", "validation' ELSE 'train' END AS split FROM embeddings), allv AS (SELECT vec_id, i, CAST(v[i] AS DOUBLE) AS y FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM vec))")}, {_SPOILT},
+al AS (SELECT vec_id, cen.label AS predicted_label, sum(x * y) AS logit FROM allv JOIN cen USING (i) GROUP BY 1, 2),
+ap AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS prob FROM (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM al)),
+ar AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, predicted_label) AS rk FROM ap),
+one AS (SELECT vec_id, max(predicted_label) FILTER (rk = 1) AS prediction, max(prob) FILTER (rk = 1) AS p1, max(prob) FILTER (rk = 2) AS p2, max(predicted_label) FILTER (rk = 2) AS top2_label FROM ar GROUP BY 1)
+SELECT vec_id, CASE WHEN error IS NULL THEN prediction END AS prediction, CASE WHEN error IS NULL THEN round(p1, 6) END AS confidence, CASE WHEN error IS NULL THEN round(p1 - p2, 6) END AS margin,
+  CASE WHEN error IS NULL THEN top2_label END AS top2_label, error, CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN p1 < 0.12 THEN 'LOW_CONFIDENCE' ELSE 'OK' END AS status FROM one JOIN bad USING (vec_id)"""
+)
+def batch_predict(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors by a linear model in batches; some are missing, some too short, some hold a number that is none."""
+    v, k = vectors(spark, d), F.col("vec_id")
+    weights = {r.label: r.centroid for r in scoring.CentroidScorer(v.where("split = 'train'")).centroids.collect()}  # a row for each label
+    labels = sorted(weights)
+    model = inference.linear(np.array([weights[x] for x in labels]), np.zeros(len(labels)))
+    spoilt = F.transform("v", lambda x, i: F.when(i == 7, float("nan")).otherwise(x))
+    items = v.select("vec_id", F.when(k % 13 == 5, None).when(k % 11 == 3, F.slice("v", 1, 63)).when(k % 17 == 2, spoilt).otherwise(F.col("v")).alias("v"))
+    out = inference.BatchScorer(model, labels, 64).results(items, "vec_id", 0.12)
+    return out.select("vec_id", "prediction", *[F.round(c, 6).alias(c) for c in ("confidence", "margin")], "top2_label", "error", "status")
+
+
+def _rounds(n: int) -> str:
+    """SQL of so many rounds of gradient descent of a softmax regression, from zero weights; i = 65 is the bias."""
+    out = [
+        """vec AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding AS v, vec_id % 5 = 0 AS val FROM embeddings),
+x AS (SELECT vec_id, i, CASE WHEN i = 65 THEN 1.0 ELSE CAST(v[i] AS DOUBLE) END AS x FROM (SELECT vec_id, v, unnest(range(1, 66)) AS i FROM vec)),
+lab AS (SELECT DISTINCT label AS c FROM vec), num AS (SELECT count(*) AS n FROM vec WHERE NOT val), w0 AS (SELECT c, i, 0.0::DOUBLE AS w FROM lab, (SELECT unnest(range(1, 66)) AS i))"""
+    ]
+    for r in range(n):
+        out += [
+            f"z{r} AS (SELECT vec_id, c, sum(x * w) AS z FROM x JOIN w{r} USING (i) GROUP BY 1, 2)",
+            f"p{r} AS (SELECT vec_id, c, label, val, e / sum(e) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, c) AS rk FROM (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z{r}) JOIN vec USING (vec_id))",
+        ]
+        if r < n - 1:
+            out.append(f"w{r + 1} AS (SELECT c, i, w - 2.0 / (SELECT n FROM num) * g AS w FROM w{r} JOIN (SELECT c, i, sum((p - CASE WHEN c = label THEN 1 ELSE 0 END) * x) AS g FROM p{r} JOIN x USING (vec_id) WHERE NOT val GROUP BY 1, 2) USING (c, i))")
+    each = [
+        f"SELECT {r} AS epoch, round((SELECT avg(-ln(p)) FROM p{r - 1} WHERE NOT val AND c = label), 6) AS train_loss, round((SELECT avg(CAST(c = label AS INT)) FROM p{r - 1} WHERE NOT val AND rk = 1), 6) AS train_accuracy, "
+        f"round((SELECT avg(-ln(p)) FROM p{r} WHERE val AND c = label), 6) AS val_loss, round((SELECT avg(CAST(c = label AS INT)) FROM p{r} WHERE val AND rk = 1), 6) AS val_accuracy"
+        for r in range(1, n)
+    ]
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(each)
+
+
+@query(_rounds(4))
+def training_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of softmax regression, the loss and accuracy of each."""
+    v = cut(vectors(spark, d))
+    found = training.fit(v.where("split = 'train'"), v.where("split = 'validation'"), epochs=3, lr=2.0)
+    return found.frame(spark).select("epoch", *[F.round(c, 6).alias(c) for c in ("train_loss", "train_accuracy", "val_loss", "val_accuracy")])
+
+
 @query()
 def logistic_predict(spark: SparkSession, d: str) -> DataFrame:
     """(path, predicted_label) of a logistic model; a fitted model, so without SQL."""

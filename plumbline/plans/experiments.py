@@ -121,13 +121,13 @@ def runs_enriched(h: DataFrame, r: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""{R} SELECT coalesce(a.k, b.k) AS key, a.v AS a, b.v AS b FROM (SELECT candidate AS k, CAST(sum(parameter_count) AS VARCHAR) AS v FROM receipts WHERE seed IN (0, 1) GROUP BY 1) a
-FULL OUTER JOIN (SELECT candidate AS k, CAST(sum(parameter_count) AS VARCHAR) AS v FROM receipts WHERE seed IN (1, 2) AND candidate <> 'view' GROUP BY 1) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v"""
+    f"""{R} SELECT coalesce(a.k, b.k) AS key, a.v AS a, b.v AS b FROM (SELECT candidate AS k, CAST(sum(parameter_count) AS VARCHAR) AS v FROM receipts WHERE seed IN (0, 1, 3) GROUP BY 1) a
+FULL OUTER JOIN (SELECT candidate AS k, CAST(sum(parameter_count) AS VARCHAR) AS v FROM receipts WHERE seed IN (1, 2, 4) AND candidate <> 'view' GROUP BY 1) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v"""
 )
 def config_diff(spark: SparkSession, d: str) -> DataFrame:
     r = receipts(spark, d)
     side = lambda where: r.where(where).groupBy(F.col("candidate").alias("key")).agg(F.sum("parameter_count").cast("string").alias("value"))
-    return contracts.config_diff(side("seed in (0, 1)"), side("seed in (1, 2) and candidate <> 'view'"))
+    return contracts.config_diff(side("seed in (0, 1, 3)"), side("seed in (1, 2, 4) and candidate <> 'view'"))
 
 
 @query(f"{R} SELECT 'seed' AS \"column\", count(DISTINCT seed) AS n_values, count(DISTINCT seed) = 1 AS ok FROM receipts UNION ALL SELECT 'status', count(DISTINCT status), count(DISTINCT status) = 1 FROM receipts")

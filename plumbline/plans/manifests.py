@@ -26,7 +26,7 @@ def audit_imbalance(spark: SparkSession, d: str) -> DataFrame:
     return audit.imbalance(manifest(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
 
-def _scan(spark: SparkSession, d: str) -> DataFrame:
+def scanned(spark: SparkSession, d: str) -> DataFrame:
     """The manifest as a scan in which some files have no label and some are corrupt."""
     m = manifest(spark, d)
     return m.select("path", F.when(F.col("doc_id") % 17 == 3, None).otherwise(F.col("label")).alias("label"), F.when(F.col("doc_id") % 13 == 5, -1).otherwise(F.col("n_chars")).alias("width"), "sha256")
@@ -42,7 +42,7 @@ SELECT (SELECT count(*) FROM scan) AS discovered, (SELECT count(*) FROM valid) A
   (SELECT count(*) FROM g) AS duplicate_groups, CAST((SELECT coalesce(sum(n), 0) FROM g) AS BIGINT) AS duplicate_members, round((SELECT max(n) / min(n) FROM c), 6) AS imbalance"""
 )
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.summary(_scan(spark, d)).withColumn("imbalance", F.round("imbalance", 6))
+    return audit.summary(scanned(spark, d)).withColumn("imbalance", F.round("imbalance", 6))
 
 
 @query(f"{M} SELECT n_chars AS value, count(*) AS n FROM manifest GROUP BY 1 ORDER BY n DESC, min(path) LIMIT 20")

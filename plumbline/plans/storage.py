@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +17,13 @@ from plumbline.functions import paths, values
 from plumbline.operators import contracts, kernels, runs, scoring, sequence, split
 from plumbline.plans.registry import query
 from plumbline.runtime import checkpoint_dir
-from plumbline.sources import files, sinks
+from plumbline.sources import archives, files, sinks
 from plumbline.sources.views import RECEIPTS_SQL, manifest, manifest_sql, receipts, table
 
 M = f"WITH {manifest_sql()}"
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder where all executors see it."""
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
@@ -39,7 +41,7 @@ def _put(folder: str, contents: dict[str, bytes]) -> str:
 @query(f"{M} SELECT path, coalesce(label, '') AS label, sha AS sha256, source_id FROM manifest")
 def manifest_csv(spark: SparkSession, d: str) -> DataFrame:
     """A manifest written as CSV and read again by its schema."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     sinks.write_csv(manifest(spark, d), folder, "path", "label", "sha256", "source_id")
     return files.csv_manifest(spark, folder)
 
@@ -47,7 +49,7 @@ def manifest_csv(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {RECEIPTS_SQL} SELECT run_id, candidate, seed, val_macro_f1, status, training_seconds FROM receipts")
 def receipt_documents(spark: SparkSession, d: str) -> DataFrame:
     """A receipt document of each run, of which there are a few, read again by a glob."""
-    folder, kept = _folder(spark), receipts(spark, d).select("run_id", "candidate", "seed", "val_macro_f1", "status", "training_seconds")
+    folder, kept = new_folder(spark), receipts(spark, d).select("run_id", "candidate", "seed", "val_macro_f1", "status", "training_seconds")
     _put(folder, {f"{r.run_id}/run_receipt.json": kept_json(r) for r in kept.collect()})
     return files.receipts(spark, f"{folder}/*/run_receipt.json", kept.schema).drop("file")
 
@@ -61,7 +63,7 @@ def kept_json(row) -> bytes:
 @query(f"WITH {RECEIPTS_SQL} SELECT run_id, CASE WHEN run_seq % 3 = 0 THEN 'done' ELSE status END AS status FROM receipts")
 def appended_status(spark: SparkSession, d: str) -> DataFrame:
     """A status table that is appended to, the last status of each run."""
-    folder, r = _folder(spark), receipts(spark, d)
+    folder, r = new_folder(spark), receipts(spark, d)
     sinks.append_status(r.select("run_id", F.lit(1).alias("seq"), "status"), folder)
     sinks.append_status(r.where("run_seq % 3 = 0").select("run_id", F.lit(2).alias("seq"), F.lit("done").alias("status")), folder)
     return runs.last_status(spark.read.parquet(folder))
@@ -77,7 +79,7 @@ def _images(spark: SparkSession, d: str) -> str:
     for r in rows:
         k = r.n_nationkey
         content[("" if k % 7 == 5 else f"{r.r_name}/") + f"{k}.png"] = b"broken" if k % 7 == 3 else files.png(4 + k, 4 + k, (9 * k, 10, 20))
-    return _put(_folder(spark), {**content, ".cache/x.png": files.png(2, 2, (0, 0, 0)), "notes.txt": b"no image"})
+    return _put(new_folder(spark), {**content, ".cache/x.png": files.png(2, 2, (0, 0, 0)), "notes.txt": b"no image"})
 
 
 @query(
@@ -107,6 +109,45 @@ def discovered_files(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.regexp_extract("path", r"/[0-9a-f]{32}/(.*)$", 1).alias("path"), (F.col("length") > 6).alias("valid"))
 
 
+def _zipped(rows: DataFrame, folder: str) -> DataFrame:
+    """(archive, n): archives in a folder that all executors see, each written where its rows (archive, member, text) are."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, name, n = None, None, 0
+        for batch in batches:
+            for archive, member, text in zip(batch["archive"], batch["member"], batch["text"], strict=True):
+                if archive != name:
+                    if open_:
+                        open_.close()
+                        yield pd.DataFrame([(name, n)], columns=["archive", "n"])
+                    system, where = archives.located(f"{folder}/{archive}")
+                    open_, name, n = zipfile.ZipFile(system.open_output_stream(where), "w", zipfile.ZIP_DEFLATED), archive, 0
+                open_.writestr(zipfile.ZipInfo(member), text or "", zipfile.ZIP_DEFLATED if n % 2 else zipfile.ZIP_STORED)
+                n += 1
+        if open_:
+            open_.close()
+            yield pd.DataFrame([(name, n)], columns=["archive", "n"])
+
+    return rows.repartition("archive").sortWithinPartitions("archive", "member").mapInPandas(write, "archive string, n long")
+
+
+_IN = "'texts ' || doc_id % 16 || '.zip'"
+
+
+@query(
+    f"""SELECT {_IN} AS archive, lang || '/' || doc_id || '.txt' AS member, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256, false AS failed FROM documents
+UNION ALL SELECT 'broken.zip', NULL, NULL, NULL, true"""
+)
+def zip_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents put into archives, read again member by member; one file is no archive."""
+    folder, docs = new_folder(spark), table(spark, d, "documents")
+    _put(folder, {"broken.zip": b"PK no archive"})
+    rows = docs.select(F.concat(F.lit("texts "), (F.col("doc_id") % 16).cast("string"), F.lit(".zip")).alias("archive"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), "text")
+    _zipped(rows, folder).agg(F.sum("n")).collect()
+    got = archives.zip_members(spark, folder, 1 << 20)
+    return got.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "member", "size", "sha256", F.col("error").isNotNull().alias("failed"))
+
+
 @query("SELECT 'wrap/P-' || n_nationkey || '-' || (161 + n_nationkey) || '-0F-' || n_regionkey || '.png' AS member, CAST(n_nationkey + 1 AS BIGINT) AS size, CAST(161 + n_nationkey AS VARCHAR) AS code, CAST(n_nationkey AS VARCHAR) AS writer FROM nation")
 def archive_codes(spark: SparkSession, d: str) -> DataFrame:
     """Members of a ZIP for each region, their codes and writers."""
@@ -114,7 +155,7 @@ def archive_codes(spark: SparkSession, d: str) -> DataFrame:
     for r in table(spark, d, "nation").collect():  # 25 rows
         with zipfile.ZipFile(zips.setdefault(r.n_regionkey, io.BytesIO()), "a") as z:
             z.writestr(f"wrap/P-{r.n_nationkey}-{161 + r.n_nationkey}-0F-{r.n_regionkey}.png", b"x" * (r.n_nationkey + 1))
-    root = _put(_folder(spark), {f"{k}.zip": v.getvalue() for k, v in zips.items()})
+    root = _put(new_folder(spark), {f"{k}.zip": v.getvalue() for k, v in zips.items()})
     return files.archive_members(spark, root).select("member", "size", "code", paths.writer_id(F.col("member")).alias("writer"))
 
 
@@ -157,7 +198,7 @@ def train_only_labels(spark: SparkSession, d: str) -> DataFrame:
     return split.train_only(n)
 
 
-@query("SELECT s_suppkey, CAST((i - 1) // 10 AS INTEGER) AS sheet_row, CAST((i - 1) % 10 AS INTEGER) AS sheet_col FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i FROM supplier) WHERE i <= 10000")
+@query("SELECT s_suppkey, CAST((i - 1) // 10 AS INTEGER) AS sheet_row, CAST((i - 1) % 10 AS INTEGER) AS sheet_col FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i FROM supplier)")
 def contact_sheet_places(spark: SparkSession, d: str) -> DataFrame:
     return sinks.contact_sheet(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey").select("s_suppkey", "sheet_row", "sheet_col")
 
@@ -210,14 +251,14 @@ def text_columns(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(i AS VARCHAR) AS label, CAST(10 AS BIGINT) AS n FROM range(3) t(i)")
 def fixture_tree(spark: SparkSession, d: str) -> DataFrame:
     """The synthetic tree of three labels with ten images each, all different."""
-    root = _put(_folder(spark), {f"{label}/{i}.png": files.png(8, 8, (80 * label + 10, 20 * i % 256, (7 * i + label) % 256)) for label in range(3) for i in range(10)})
+    root = _put(new_folder(spark), {f"{label}/{i}.png": files.png(8, 8, (80 * label + 10, 20 * i % 256, (7 * i + label) % 256)) for label in range(3) for i in range(10)})
     return files.images(spark, root).where("error is null").groupBy("label").agg(F.countDistinct("sha256").alias("n"))
 
 
-@query("SELECT sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0 AND text <> '' GROUP BY 1")
+@query("SELECT sha256(text) AS sha256 FROM documents WHERE text <> '' GROUP BY 1")
 def hashes_seen(spark: SparkSession, d: str) -> DataFrame:
     """The hashes of a training manifest, of which a missing one has none."""
-    folder, docs = _folder(spark), table(spark, d, "documents")
-    rows = docs.where("doc_id % 2 = 0").select(F.lit("p").alias("path"), F.lit("l").alias("label"), F.when(F.col("text") != "", values.sha256(F.col("text"))).otherwise("").alias("sha256"), F.lit("s").alias("source_id"))
+    folder, docs = new_folder(spark), table(spark, d, "documents")
+    rows = docs.select(F.lit("p").alias("path"), F.lit("l").alias("label"), F.when(F.col("text") != "", values.sha256(F.col("text"))).otherwise("").alias("sha256"), F.lit("s").alias("source_id"))
     sinks.write_csv(rows, folder, *[f.name for f in T.StructType(files.MANIFEST)])
     return files.seen_hashes(spark, folder).union(files.seen_hashes(spark, f"{folder}-missing"))

@@ -21,6 +21,7 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "p
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -40,10 +41,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def storage(spark: SparkSession, path: str):
+    """The Hadoop file system that a path is on, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, on whatever storage the path names."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    system, where = storage(spark, path)
+    return system.exists(where)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small document, written beside and put in place at once, on whatever storage the path names."""
+    system, where = storage(spark, path)
+    beside = where.suffix(f".{uuid.uuid4().hex}.new")
+    out = system.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(where, False)
+    if not system.rename(beside, where):
+        raise OSError(f"{path} can't be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small document from whatever storage the path names."""
+    system, where = storage(spark, path)
+    stream = system.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -71,5 +100,4 @@ class Stored:
         self.df = spark.read.parquet(str(self._path))
 
     def drop(self) -> None:
-        sc = self.df.sparkSession.sparkContext
-        self._path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(self._path, True)
+        storage(self.df.sparkSession, str(self._path))[0].delete(self._path, True)

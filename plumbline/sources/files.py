@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import paths
 from plumbline.runtime import exists
+from plumbline.sources import archives
 
 MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "label", "sha256", "source_id")])
 PREDICTIONS = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "true_label", "predicted_label")] + [T.StructField("confidence", T.DoubleType())])
@@ -126,29 +127,30 @@ def image_root(path: str, work: str, extensions: tuple[str, ...] = paths.AUDIT_E
 
 
 def archive_members(spark: SparkSession, root: str) -> DataFrame:
-    """(archive, member, size, code) of the files in every ZIP and TAR below root; code is the three-digit code in a name.
+    """(archive, member, size, error, code) of the files in every ZIP and TAR below root; code is the three-digit code in a name.
 
     Archives are opened where they are by the executors, which read a ZIP's directory, or pass through a TAR, without
-    holding the archive.
+    holding the archive; archives.zip_members() reads the content of members too. An archive that can't be read is a row with an
+    error and no member; a file without any bytes has no row, as Spark's reader passes over it.
     """
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             for path in batch["path"]:
-                system, where = fs.FileSystem.from_uri(path)
-                with system.open_input_file(where) as raw:
-                    if zipfile.is_zipfile(raw):
-                        rows = [(path, i.filename, i.file_size) for i in zipfile.ZipFile(raw).infolist() if not i.is_dir()]
-                    else:
-                        raw.seek(0)
-                        with tarfile.open(fileobj=raw) as t:
-                            rows = [(path, m.name, m.size) for m in t if m.isfile()]
-                yield pd.DataFrame(rows, columns=["archive", "member", "size"])
+                system, where = archives.located(path)
+                try:
+                    with system.open_input_file(where) as raw:
+                        if path.lower().endswith(".zip"):
+                            rows = [(path, i.filename, i.file_size, None) for i in zipfile.ZipFile(raw).infolist() if not i.is_dir()]
+                        else:
+                            with tarfile.open(fileobj=raw) as t:
+                                rows = [(path, m.name, m.size, None) for m in t if m.isfile()]
+                except (zipfile.BadZipFile, tarfile.TarError, OSError, ValueError, EOFError) as e:
+                    rows = [(path, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["archive", "member", "size", "error"]).astype({"size": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.lower("path").rlike(r"\.(zip|tar|tgz|tar\.gz)$"))
-    return files.select("path").mapInPandas(listing, "archive string, member string, size long").withColumn("code", paths.member_code(F.col("member")))
+    return files.select("path").mapInPandas(listing, "archive string, member string, size long, error string").withColumn("code", paths.member_code(F.col("member")))
 
 
 def csv_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:

@@ -6,18 +6,12 @@ import base64
 import hashlib
 import html
 import json
-import os
-import shutil
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from plumbline.runtime import exists
-
-#: Places of a contact sheet.
-SHEET = 10_000
+from plumbline.operators import audit, sequence
+from plumbline.runtime import exists, read_text, write_text
 
 
 def write_csv(df: DataFrame, path: str, *columns: str, single: bool = False) -> None:
@@ -27,11 +21,8 @@ def write_csv(df: DataFrame, path: str, *columns: str, single: bool = False) ->
 
 
 def write_json(value: object, path: str) -> None:
-    """A small document, indented, written beside and put in place at once."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    beside = f"{path}.new"
-    Path(beside).write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
-    os.replace(beside, path)
+    """A small document, indented, written beside and put in place at once, on whatever storage the path names."""
+    write_text(SparkSession.active(), path, json.dumps(value, ensure_ascii=False, indent=2))
 
 
 def write_audit(tables: dict[str, DataFrame], report: dict, folder: str) -> None:
@@ -41,6 +32,26 @@ def write_audit(tables: dict[str, DataFrame], report: dict, folder: str) -> None
     write_json(report, f"{folder}/audit_report.json")
 
 
+def audit_to(scan: DataFrame, folder: str) -> dict:
+    """The report of audit.summary() of a scan (path, label, width, sha256, ...), with its tables written to folder.
+
+    The scan, which may open and decode every file, is read once: its rows are written and their totals observed on the
+    way; counts of classes and equal contents come from the rows written. The folder gets scan.parquet, the CSV tables
+    class_counts, exact_duplicate_groups, corrupt_images and label_errors, and audit_report.json.
+    """
+    lost, corrupt, valid = audit.states()
+    seen = Observation("audit")
+    totals = [F.count("*").alias("discovered")] + [F.count_if(c).alias(name) for name, c in (("valid", valid), ("corrupt", corrupt), ("label_errors", lost))]
+    scan.observe(seen, *totals).write.mode("overwrite").parquet(f"{folder}/scan.parquet")
+    kept = scan.sparkSession.read.parquet(f"{folder}/scan.parquet")
+    sound = kept.where(valid)
+    groups = audit.duplicate_groups(sound).select("duplicate_groups", "duplicate_members").first().asDict()
+    sizes = audit.imbalance(sound).first()
+    report = {**{k: seen.get[k] for k in ("discovered", "valid", "corrupt", "label_errors")}, "classes": sound.select("label").distinct().count(), "minimum": sizes["minimum"], "maximum": sizes["maximum"], **groups, "imbalance": sizes["ratio"]}
+    write_audit({"class_counts": audit.class_counts(sound), "exact_duplicate_groups": audit.duplicate_members(sound), "corrupt_images": kept.where(corrupt).select("path"), "label_errors": kept.where(lost).select("path")}, report, folder)
+    return report
+
+
 def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
     """A folder for each sheet; each is bounded by what a workbook held."""
     for name, df in sheets.items():
@@ -48,23 +59,21 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
 
 
 def freeze_copy(source: str, target: str) -> str:
-    """The SHA-256 of a file copied to target; a target with other content is an error, the same content is left alone."""
-    digest = lambda p: hashlib.sha256(Path(p).read_bytes()).hexdigest()
-    have = digest(source)
-    if os.path.exists(target):
-        if digest(target) != have:
-            raise ValueError(f"{target} is frozen and differs")
-    else:
-        Path(target).parent.mkdir(parents=True, exist_ok=True)
-        shutil.copyfile(source, target)
-    return have
+    """The SHA-256 of a small document copied to target, on whatever storage either is; a target with other content is an
+    error, the same content is left alone."""
+    spark = SparkSession.active()
+    text = read_text(spark, source)
+    if not exists(spark, target):
+        write_text(spark, target, text)
+    elif read_text(spark, target) != text:
+        raise ValueError(f"{target} is frozen and differs")
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def contact_sheet(rows: DataFrame, *order: str, across: int = 10) -> DataFrame:
-    """The first SHEET of rows with sheet_row and sheet_col, `across` to a row: a sheet is looked at by a person."""
-    rows = rows.orderBy(*order).limit(SHEET)
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("n", n).withColumn("sheet_row", F.floor(F.col("n") / across).cast("int")).withColumn("sheet_col", (F.col("n") % across).cast("int")).drop("n")
+    """rows with sheet_row and sheet_col, `across` to a row, in an order that must tell all rows apart."""
+    rows = sequence.numbered(rows, *order, name="__i")
+    return rows.withColumns({"sheet_row": F.expr(f"__i div {across}").cast("int"), "sheet_col": (F.col("__i") % across).cast("int")}).drop("__i")
 
 
 def append_status(df: DataFrame, path: str) -> None:
@@ -89,5 +98,4 @@ def html_report(title: str, sections: dict[str, DataFrame], path: str, image: st
             cell = lambda c, v: f"<img src='data:image/png;base64,{base64.b64encode(v).decode()}'>" if c == image and v is not None else html.escape("" if v is None else str(v))
             out.append(f"<tr>{''.join(f'<td>{cell(c, r[c])}</td>' for c in df.columns)}</tr>")
         out.append("</table>")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n".join(out), encoding="utf-8")
+    write_text(SparkSession.active(), path, "\n".join(out))

@@ -306,13 +306,3 @@ def test_config_and_frozen_folder(spark, tmp_path):
     (tmp_path / "val.csv").unlink()
     with pytest.raises(ValueError, match="val.csv"):
         split.frozen_at(spark, str(tmp_path))
-
-
-def test_contained_in_several_passes(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "one two three"), (2, "three"), (3, None), (4, "")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "two"), (2, "three"), (3, "three"), (4, ""), (5, None), (6, "e t"), (7, "four")], "item_id long, text string")
-    want = [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (6, 1)]
-    for size in (joins.PASS_CHARS, 4):
-        monkeypatch.setattr(joins, "PASS_CHARS", size)
-        assert sorted(map(tuple, joins.contained(docs, items).collect())) == want
-    assert joins.contained(docs, items.limit(0)).count() == 0
