@@ -15,7 +15,6 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import small_batches
 
 #: Pre-tokens remembered by a worker, and characters of one at most; the memory is emptied when full.
 REMEMBERED, SHORT = 200_000, 40
@@ -114,7 +113,6 @@ class Tokenizer:
     """Encodes and decodes columns by the ranks of a file, its vocabulary held in a broadcast of fixed size."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str = public_tokenizers.PATTERN):
-        small_batches(spark)
         self._shared = spark.sparkContext.broadcast((serialise(read_ranks(path)), pattern))
 
     def encode(self, text: Column) -> Column:

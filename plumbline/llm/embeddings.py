@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import small_batches
 from plumbline.operators.graph import connected_components
 from plumbline.runtime import cut
 
@@ -149,7 +148,6 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES,
     link. Rows that repeat an id count as vectors of their own. Other columns are not read; an empty table
     gives an empty result.
     """
-    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.coalesce(F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     key = [F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(F.lit(i), "label", "v")).alias(f"k{i}") for i in (1, 2)]

@@ -15,7 +15,6 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import small_batches
 
 #: Trigrams are hashed to so many buckets, so that the model's size is that times the languages.
 BUCKETS = 1 << 15
@@ -118,7 +117,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     and finds every text undetermined. Counts are summed by bucket and language on the executors; what
     reaches the driver is bounded by BUCKETS x MOST_LANGUAGES whatever the input's size.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     docs = docs.where("text is not null and lang is not null")
     sizes = {r[0]: r[1] for r in docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
@@ -155,7 +153,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """struct<lang, score, mix> of the text column; see Model.mixture()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<lang:string,score:double,mix:array<struct<lang:string,share:double>>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

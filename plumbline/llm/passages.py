@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.batches import small_batches
 from plumbline.llm.native import small_side
 from plumbline.operators.graph import connected_components
 from plumbline.runtime import Stored, cut
@@ -396,7 +395,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null, empty and short texts have no passages. Rows with a null id take part and are told apart by
     their text; other columns are not read; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

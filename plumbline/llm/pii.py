@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import small_batches
 
 #: Kinds in the order in which spans are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "account", "address")
@@ -183,7 +182,6 @@ def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts have none; of spans that overlap within a kind the leftmost stands; repeated rows each get
     the same; an empty table stays empty; a column of docs called `pii_spans` is replaced, others come out as they were.
     """
-    small_batches(docs.sparkSession)
     return docs.withColumn("pii_spans", spans(F.col(text_col)))
 
 
@@ -192,7 +190,6 @@ def mask_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null and empty texts stay so; repeated rows are masked alike; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
     return docs.withColumn(text_col, mask(F.col(text_col)))
 
 

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.batches import small_batches
 from plumbline.llm.langid import held_out
 
 #: Labelled rows, and unlabelled rows that get pseudo-labels, that the classifiers are fitted on at most, taken by a hash of the id.
@@ -142,7 +141,6 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     several rows of one id the one with the least hash of text, source, language and size is learnt from.
     Features are made on the executors; the driver gets labelled + pool rows of fixed width at most.
     """
-    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     order = F.xxhash64(F.lit("quality"), "doc_id")
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
@@ -167,7 +165,6 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def score(docs: DataFrame, model: CoTrained) -> Column:
     """struct<score, text_score, meta_score> of text, source, lang and n_chars."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<score:double,text_score:double,meta_score:double>")
