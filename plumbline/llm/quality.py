@@ -11,11 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.langid import held_out
+from plumbline.runtime import Stored
 
-#: Labelled rows, and unlabelled rows that get pseudo-labels, that the classifiers are fitted on at most, taken by a hash of the id.
-LABELLED, POOL = 4000, 4000
+#: Labelled rows that the classifiers are fitted on at most, taken by a hash of the id.
+LABELLED = 4000
 #: Hashed features of each view.
 WORDS, META = 1024, 256
 ROUNDS, ADDED = 5, 100
@@ -93,10 +95,79 @@ class CoTrained:
         return _sigmoid(self.blend[0] * a + self.blend[1] * b + self.blend[2]), _sigmoid(a), _sigmoid(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, added: int = ADDED, sure: float = 0.9) -> CoTrained:
+#: The key of a row of a pool: its id and the hash of what it holds.
+Key = tuple
+#: For a view, what the other one is surest of: (key, label, text features, metadata features).
+Picked = list[tuple[Key, int, np.ndarray, np.ndarray]]
+
+
+class ArrayPool:
+    """Unlabelled rows in memory, keyed by their place."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.views = (text, meta)
+
+    def surest(self, weights: list[np.ndarray], added: int, sure: float) -> list[Picked]:
+        """For each view the `added` rows of each class that it is surest of, at `sure` at least; ties by key."""
+        out: list[Picked] = []
+        for x, w in zip(self.views, weights, strict=True):
+            p = chance(x, w)
+            out.append([((int(i),), label, self.views[0][i], self.views[1][i]) for label, q in ((1, p), (0, 1 - p)) for i in np.argsort(-q, kind="stable")[:added] if q[i] >= sure])
+        return out
+
+
+class TablePool:
+    """Unlabelled rows (doc_id, which, t, m) of a stored table, scored where they are; equal rows of an id count once."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self._kind = dict(rows.dtypes)["doc_id"]
+
+    def surest(self, weights: list[np.ndarray], added: int, sure: float) -> list[Picked]:
+        """As of ArrayPool, ties by a checksum of the id. A task gives what the weights of a batch rank first, an id and a chance,
+        and the rows picked are fetched by id: four times `added` at most."""
+        shared = self.rows.sparkSession.sparkContext.broadcast(weights)
+
+        def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for view, (c, n, w) in enumerate(zip(("t", "m"), (WORDS + _SHAPES, META), shared.value, strict=True)):
+                    p = chance(unpacked(b[c], n), w)
+                    for label, q in ((1, p), (0, 1 - p)):
+                        some = np.flatnonzero(q >= sure)
+                        if len(some) > added:
+                            some = some[q[some] >= np.partition(q[some], -added)[-added]]
+                        part = b.iloc[some]
+                        yield pd.DataFrame({"view": view, "label": label, "chance": q[some], "doc_id": part["doc_id"], "which": part["which"], "tie": [zlib.crc32(str(i).encode()) for i in part["doc_id"]]})
+
+        found = self.rows.mapInPandas(rank, f"view int, label int, chance double, doc_id {self._kind}, which long, tie long")
+        found = found.groupBy("view", "label", "doc_id", "which").agg(F.max("chance").alias("chance"), F.first("tie").alias("tie"))
+        order = Window.partitionBy("view", "label").orderBy(F.desc("chance"), "tie", "doc_id", "which")
+        best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= added).orderBy("view", F.desc("label"), "place").collect()
+        shared.unpersist()
+        wanted = self.rows.sparkSession.createDataFrame([(r.doc_id, r.which) for r in best], f"doc_id {self._kind}, which long").distinct()
+        rows = self.rows.join(F.broadcast(wanted), ["doc_id", "which"]).dropDuplicates(["doc_id", "which"]).collect() if best else []
+        held = {(r.doc_id, r.which): (unpacked([r.t], WORDS + _SHAPES)[0], unpacked([r.m], META)[0]) for r in rows}
+        return [[((r.doc_id, r.which), r.label, *held[r.doc_id, r.which]) for r in best if r.view == view] for view in (0, 1)]
+
+
+def unpacked(cells, n: int) -> np.ndarray:
+    """Rows of n features from cells of bytes."""
+    return np.frombuffer(b"".join(cells), np.float16).reshape(-1, n).astype(np.float32)
+
+
+def packed(row: np.ndarray) -> bytes:
+    return row.astype(np.float16).tobytes()
+
+
+def chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The chance of good quality by a view, to nine digits, so that it doesn't depend on which rows are computed together."""
+    return np.round(_sigmoid(x.astype(np.float64) @ w[:-1].astype(np.float64) + float(w[-1])), 9)
+
+
+def exchange(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: ArrayPool | TablePool | None, rounds: int = ROUNDS, added: int = ADDED, sure: float = 0.9) -> CoTrained:
     """Each round, each view labels the pool rows of each class that it is surest of (`added` at most, at
-    `sure` at least) for the other view's next fit. A fifth of the labelled rows, in order, takes no
-    part in the fits and calibrates each view by a slope and a shift. The views say different things of a
+    `sure` at least) for the other view's next fit; the first label that a row got stays. A fifth of the labelled rows, in
+    order, takes no part in the fits and calibrates each view by a slope and a shift. The views say different things of a
     row, so their calibrated log-odds add up."""
     if not len(y) or len(set(y.tolist())) < 2:
         p = float(y.mean()) if len(y) else 0.5
@@ -108,25 +179,21 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
         rest = own
     else:
         rest = ~own
-    views = [(text, pool_text), (meta, pool_meta)]
-    given: list[dict[int, int]] = [{}, {}]
+    given: list[dict[Key, tuple[int, np.ndarray]]] = [{}, {}]
     weights: list[np.ndarray | None] = [None, None]
     for r in range(rounds + 1):
-        for k, (x, pool) in enumerate(views):
-            rows = sorted(given[k])
-            fx = np.concatenate((x[own], pool[rows])) if rows else x[own]
-            fy = np.concatenate((y[own], np.array([given[k][i] for i in rows], y.dtype))) if rows else y[own]
+        for k, x in enumerate((text, meta)):
+            rows = [given[k][i] for i in sorted(given[k])]
+            fx = np.concatenate((x[own], np.stack([f for _, f in rows]))) if rows else x[own]
+            fy = np.concatenate((y[own], np.array([label for label, _ in rows], y.dtype))) if rows else y[own]
             weights[k] = _logistic(fx, fy, weights[k])
-        if r == rounds or not len(pool_text):
+        if r == rounds or pool is None:
             break
-        for k, (_, pool) in enumerate(views):
-            p = _sigmoid(pool @ weights[k][:-1] + weights[k][-1])
-            for label, chance in ((1, p), (0, 1 - p)):
-                for i in np.argsort(-chance, kind="stable")[:added]:
-                    if chance[i] >= sure:
-                        given[1 - k].setdefault(int(i), label)
+        for k, picked in enumerate(pool.surest(weights, added, sure)):
+            for key, label, *features in picked:
+                given[1 - k].setdefault(key, (label, features[1 - k]))
     blend = np.zeros(3)
-    for k, ((x, _), w) in enumerate(zip(views, weights, strict=True)):
+    for k, (x, w) in enumerate(zip((text, meta), weights, strict=True)):
         z = x[rest] @ w[:-1] + w[-1]
         scale = max(float(np.abs(z).mean()), 1e-6)
         slope, shift = _logistic((z / scale)[:, None], y[rest], l2=1e-2, steps=300)
@@ -134,33 +201,46 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
     return CoTrained(weights[0], weights[1], blend)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """The classifiers of labelled rows and a pool of others, each bounded by a parameter, by a hash of the id.
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, added: int = ADDED, sure: float = 0.9) -> CoTrained:
+    """exchange() with a pool in memory."""
+    return exchange(text, meta, y, ArrayPool(pool_text, pool_meta) if len(pool_text) else None, rounds, added, sure)
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """(doc_id, which, quality, t, m): the features of whole texts and of metadata as bytes; which identifies what a row holds."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "which": b["which"], "quality": b["quality"], "t": [packed(text_features(t)) for t in b["text"]], "m": [packed(meta_features(*x)) for x in zip(b["source"], b["lang"], b["n_chars"], strict=True)]})
+
+    rows = rows.select("doc_id", "which", "quality", "text", "source", "lang", "n_chars")
+    return rows.mapInPandas(of, f"doc_id {dict(rows.dtypes)['doc_id']}, which long, quality int, t binary, m binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrained:
+    """The classifiers of labelled rows, bounded by a parameter, by a hash of the id, and of all other rows as the pool.
 
     Rows whose id or label is null are not labelled; an id with several labels takes the largest; of
-    several rows of one id the one with the least hash of text, source, language and size is learnt from.
-    Features are made on the executors; the driver gets labelled + pool rows of fixed width at most.
+    several rows of one labelled id the one with the least hash of text, source, language and size is learnt from. The
+    features of the pool, two kilobytes a row before they are compressed, are stored once for all rounds; the driver gets
+    `labelled` rows of fixed width and those that a round picks.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     order = F.xxhash64(F.lit("quality"), "doc_id")
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    some = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled)
-    rest = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).withColumn("quality", F.lit(-1))
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "source", "lang", "n_chars").alias("which"))
-    chosen = F.broadcast(some.union(rest))  # labelled + pool rows at most
-    one = own.select("doc_id", "which").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("which").alias("which"), F.first("quality").alias("quality"))
+    some = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled))  # so many rows at most
+    own = docs.where("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "source", "lang", "n_chars").alias("which"))
+    one = own.select("doc_id", "which").join(some, "doc_id").groupBy("doc_id").agg(F.min("which").alias("which"), F.first("quality").alias("quality"))
     picked = own.join(F.broadcast(one), ["doc_id", "which"]).dropDuplicates(["doc_id"])
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "t": [text_features(t).tobytes() for t in b["text"]], "m": [meta_features(*x).tobytes() for x in zip(b["source"], b["lang"], b["n_chars"], strict=True)]})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    got = picked.mapInPandas(features, f"doc_id {kind}, quality int, t binary, m binary").toPandas()
+    got = _features(picked).toPandas()
     got = got.sort_values("doc_id", key=lambda s: s.map(lambda i: zlib.crc32(str(i).encode()))).reset_index(drop=True)
-    matrix = lambda part, c, n: np.frombuffer(b"".join(part[c]), np.float32).reshape(len(part), n)
-    a, b = got[got["quality"] >= 0], got[got["quality"] < 0]
-    return co_train(matrix(a, "t", WORDS + _SHAPES), matrix(a, "m", META), (a["quality"].to_numpy() > 0).astype(np.float32), matrix(b, "t", WORDS + _SHAPES), matrix(b, "m", META))
+    text, meta, y = unpacked(got["t"], WORDS + _SHAPES), unpacked(got["m"], META), (got["quality"].to_numpy() > 0).astype(np.float32)
+    if len(set(y.tolist())) < 2:
+        return exchange(text, meta, y, None)
+    pool = Stored(_features(own.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))))
+    model = exchange(text, meta, y, TablePool(pool.df.select("doc_id", "which", "t", "m")))
+    pool.drop()
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained) -> Column:
@@ -182,7 +262,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with `quality_score` struct<score, text_score, meta_score>, a score for every row.
 
     Learns from labels (doc_id, quality) of rows that are not held out (see langid.held_out) and from
-    a pool of rows without label. Null and empty texts are scored by their metadata and the intercept;
+    all rows without label. Null and empty texts are scored by their metadata and the intercept;
     a null in a metadata column is a value of its own; without labels of both classes every score is
     the labels' mean (0.5 without any). Repeated rows each get the same score; an empty table stays empty;
     a column of docs called `quality_score` is replaced, others come out as they were.
