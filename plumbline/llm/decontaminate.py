@@ -15,8 +15,8 @@ from plumbline.runtime import cut
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a benchmark window, and words of a hashed gram; any WINDOW shared words share a fingerprint.
 WINDOW, GRAM = 10, 5
-#: 64-bit words of a filter of the benchmark's hashes that plans carry at most, and bits set for a hash.
-FILTER_WORDS, FILTER_BITS = 1 << 15, 3
+#: 64-bit words of a filter of the benchmark's hashes that plans carry at most (two megabytes), and bits set for a hash.
+FILTER_WORDS, FILTER_BITS = 1 << 18, 3
 
 
 def words_of(text: Column) -> Column:
@@ -41,16 +41,16 @@ def winnowed(hashes: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
 def _filter(hashes: DataFrame, most: int = FILTER_WORDS):
     """A test of a long column or variable that passes every value of hashes.h, and few others while hashes are few.
 
-    A Bloom filter of four words a hash, of a size bounded by FILTER_WORDS; beyond that it passes more
-    and the exact joins after it have more to do, with the same result.
+    A Bloom filter of four words a hash while they fit, of a size bounded by FILTER_WORDS: of other values a million hashes
+    pass one in 200, four million one in seven. Beyond that the exact joins after it have more to do, with the same result.
     """
     n = hashes.count()
     size = 1
     while size < most and size < n * 4:
         size *= 2
-    # 21 bits of the hash for each bit set, more than the 15 + 6 that choose a word and a bit in it
-    word = lambda x, k: F.shiftrightunsigned(x, 21 * k + 6).bitwiseAND(F.lit(size - 1)).cast("int")
-    bit = lambda x, k: F.shiftrightunsigned(x, 21 * k).bitwiseAND(F.lit(63)).cast("int")
+    # 20 bits of the hash on for each bit set, of which 18 + 6 choose a word and a bit in it
+    word = lambda x, k: F.shiftrightunsigned(x, 20 * k + 6).bitwiseAND(F.lit(size - 1)).cast("int")
+    bit = lambda x, k: F.shiftrightunsigned(x, 20 * k).bitwiseAND(F.lit(63)).cast("int")
     places = F.explode(F.array(*[F.struct(word(F.col("h"), k).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h"), k)).alias("b")) for k in range(FILTER_BITS)]))
     table = dict(map(tuple, hashes.select(places.alias("x")).groupBy("x.i").agg(F.bit_or("x.b")).collect()))
     bits = longs([table.get(i, 0) for i in range(size)])

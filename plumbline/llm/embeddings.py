@@ -74,18 +74,25 @@ def _codes(nodes: DataFrame, tables: int) -> DataFrame:
     return nodes.select("node", "v").mapInPandas(put, "node string, codes array<bigint>")
 
 
+def _narrow(codes: DataFrame) -> DataFrame:
+    """codes in the narrowest integers that hold them: a vector carries them to each of its buckets."""
+    most = codes.agg(F.max(F.array_max("codes"))).first()[0] or 0
+    return codes.withColumn("codes", F.col("codes").cast("array<smallint>" if most < 1 << 15 else "array<int>" if most < 1 << 31 else "array<bigint>"))
+
+
 def _first_shared(a: np.ndarray, b: np.ndarray, t: int, bucket: int) -> np.ndarray:
     """Whether `bucket` of table t is the first that rows of a and b share, given codes as tables x PROBES."""
     seen = np.zeros(len(a), bool)
     for k in range(t):
         seen |= (a[:, k, :, None] == b[:, k, None, :]).any((1, 2))
-    both = np.where((a[:, t, :, None] == b[:, t, None, :]).any(2), a[:, t], np.iinfo(np.int64).max).min(1)
+    both = np.where((a[:, t, :, None] == b[:, t, None, :]).any(2), a[:, t].astype(np.int64), np.iinfo(np.int64).max).min(1)
     return ~seen & (both == bucket)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest of n points that each reaches over links a to b."""
-    root = np.arange(n)
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest point that each reaches over links a to b and what it reached before, root, itself if nothing else."""
+    if not len(a):
+        return root
     while True:
         least = np.minimum(root[a], root[b])
         new = root.copy()
@@ -113,7 +120,7 @@ def _counted(groups: DataFrame, least: float) -> DataFrame:
             c = np.stack(cs).reshape(len(x), -1, PROBES)
             n, side = np.asarray(n), np.asarray(side)
             links = np.zeros(len(x), np.int64)
-            left, right = [], []
+            root = np.arange(len(x))
             for at in range(0, len(x), 500):
                 i, j = np.nonzero(x[at : at + 500] @ x.T >= least)
                 i += at
@@ -121,12 +128,9 @@ def _counted(groups: DataFrame, least: float) -> DataFrame:
                 for k in range(0, int(some.sum()), PAIRS):
                     a, b = i[some][k : k + PAIRS], j[some][k : k + PAIRS]
                     first = _first_shared(c[a], c[b], table, code)
-                    left.append(a[first])
-                    right.append(b[first])
-            a, b = (np.concatenate([*y, np.zeros(0, np.int64)]).astype(np.int64) for y in (left, right))
-            np.add.at(links, a, n[b])
-            np.add.at(links, b, n[a])
-            root = _roots(len(x), a, b)
+                    a, b = a[first], b[first]
+                    links += np.bincount(a, n[b], len(x)).astype(np.int64) + np.bincount(b, n[a], len(x)).astype(np.int64)
+                    root = _roots(root, a, b)
             out.append([{"node": ids[k], "links": int(links[k]), "root": ids[root[k]]} for k in np.flatnonzero(links).tolist()])
         return pd.Series(out)
 
@@ -155,10 +159,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, tables: int = TABLES,
     rows = rows.withColumn("node", F.concat(F.hex("k1"), F.lit("-"), F.hex("k2"))).drop("k1", "k2")  # null where either is
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
 
-    coded = cut(_codes(nodes.repartition("node"), tables).join(nodes.select("node", "n", "label", "v"), "node"))
+    coded = cut(_narrow(cut(_codes(nodes.repartition("node"), tables))).join(nodes.select("node", "n", "label", "v"), "node"))
     bucket = ["dim", "t", "bucket", "label"]
-    entries = coded.select("node", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("p", "bucket"))
-    entries = entries.select("node", "label", "dim", F.floor(F.col("p") / PROBES).cast("int").alias("t"), "bucket")
+    entries = coded.select("node", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("p", "code"))
+    entries = entries.select("node", "label", "dim", F.floor(F.col("p") / PROBES).cast("int").alias("t"), F.col("code").cast("long").alias("bucket"))
     full = entries.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     held = entries.join(full, bucket).withColumn("own", own).join(coded.select("node", "n", "v", "codes"), "node")
