@@ -106,9 +106,14 @@ def ink_box(grey: np.ndarray, dark: int = 190) -> tuple[int, int, int, int]:
     return int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1
 
 
+def grey(x: np.ndarray) -> np.ndarray:
+    """The luma of an image, by the weights of ITU-R BT.601; an image of one channel as it is."""
+    return x[..., :3] @ np.array([0.299, 0.587, 0.114]) if x.shape[-1] >= 3 else x[..., 0]
+
+
 def trim(x: np.ndarray, padding: float = 0.15) -> np.ndarray:
     """The image cut to its ink, with `padding` of the ink's extent around it on each axis, two pixels at least."""
-    left, top, right, bottom = ink_box(x.mean(2))
+    left, top, right, bottom = ink_box(grey(x))
     px, py = (max(2, round(n * padding)) for n in (right - left, bottom - top))
     return x[max(0, top - py) : bottom + py, max(0, left - px) : right + px]
 
@@ -140,90 +145,6 @@ def grid_boxes(width: int, height: int, rows: int, columns: int = 8, label_band:
     return [(round(j * w) + mx, round(i * h) + band + my, round((j + 1) * w) - mx, round((i + 1) * h) - my) for i in range(rows) for j in range(columns)]
 
 
-def grow(mask: np.ndarray) -> np.ndarray:
-    """A 3 x 3 maximum."""
-    p = np.pad(mask, 1)
-    h, w = mask.shape
-    return np.maximum.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
-
-
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of the 4-connected parts of a mask, 0 outside, by minima that spread until nothing changes."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    top = mask.size + 1
-    while True:
-        x = np.pad(np.where(mask, label, top), 1, constant_values=top)
-        new = np.where(mask, np.minimum.reduce([x[1:-1, 1:-1], x[:-2, 1:-1], x[2:, 1:-1], x[1:-1, :-2], x[1:-1, 2:]]), 0)
-        flat = np.concatenate(([0], new.ravel()))
-        new = np.where(mask, np.minimum(new, flat[new]), 0)  # jump to the label of the label
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
-def parts_of(mask: np.ndarray, least: int = 6) -> pd.DataFrame:
-    """(size, x, left, top, right, bottom) of the 4-connected parts of a mask of `least` pixels or more, x the mean column."""
-    y, x = np.nonzero(mask)
-    points = pd.DataFrame({"part": components(mask)[y, x], "x": x, "y": y}).groupby("part")
-    parts = points.agg(size=("x", "size"), x=("x", "mean"), left=("x", "min"), top=("y", "min"), right=("x", "max"), bottom=("y", "max"))
-    parts[["right", "bottom"]] += 1
-    return parts[parts["size"] >= least]
-
-
-def central_box(grey: np.ndarray) -> tuple[int, int, int, int]:
-    """The padded box of the part nearest to the middle among those of a quarter of the largest part's size; the whole image without parts."""
-    h, w = grey.shape
-    parts = parts_of(grow((grey < 200).astype(np.uint8)).astype(bool))
-    if parts.empty:
-        return 0, 0, w, h
-    large = parts[parts["size"] * 4 >= parts["size"].max()]
-    box = large.loc[(large["x"] - w / 2).abs().idxmin()]
-    pad = max(2, round((box["bottom"] - box["top"]) * 0.12))
-    return max(0, int(box["left"]) - pad), max(0, int(box["top"]) - pad), min(w, int(box["right"]) + pad), min(h, int(box["bottom"]) + pad)
-
-
-def low_runs(profile: np.ndarray, most: int = 1) -> list[tuple[int, int]]:
-    """(start, end) of runs of a profile at `most` or below, end exclusive."""
-    edge = np.diff(np.concatenate(([0], (profile <= most).astype(np.int8), [0])))
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-
-
-# Fixed values of the phrase: where its space lies in the line, between which bounds it is looked for, what a pixel of
-# its width is worth; units of the phrase, where the glyph lies in it, how near and far its neighbours' gaps are, half
-# its width where they are missing; padding of the glyph.
-SPACE_AT, SPACE_FROM, SPACE_TO, SPACE_WORTH = 0.41, 0.25, 0.58, 2
-UNITS, GLYPH_AT, NEAREST, FARTHEST, HALF_GLYPH = 23, 0.5, 0.15, 1.4, 0.75
-PAD_X, PAD_Y = 0.2, 0.08
-
-
-def glyph_between_gaps(grey: np.ndarray) -> tuple[int, int, int, int]:
-    """The box of the glyph at the middle of the phrase after a written line's space, cut to its central part.
-
-    A line is a table of the gaps in its ink. Ranking it by distance to where the space is expected, less the
-    gap's worth, gives the phrase's start; the glyph reaches from the last gap before its middle to the
-    first one after it, among those at a distance that neighbours can have.
-    """
-    height, width = grey.shape
-    left, top, right, bottom = ink_box(grey)
-    gaps = pd.DataFrame(low_runs((grey[top:bottom, left:right] < 190).sum(0)), columns=["begin", "end"], dtype=float) + left
-    gaps["at"] = (gaps["begin"] + gaps["end"]) / 2
-    line = right - left
-    place = (gaps["at"] - left) / line
-    cost = (gaps["at"] - left - line * SPACE_AT).abs() - SPACE_WORTH * (gaps["end"] - gaps["begin"])
-    cost = cost[place.between(SPACE_FROM, SPACE_TO, inclusive="neither")]
-    phrase = gaps["end"][cost.idxmin()] if len(cost) else round(left + line * SPACE_AT)
-    unit, centre = (right - phrase) / UNITS, phrase + (right - phrase) * GLYPH_AT
-    away = (gaps["at"] - centre) / unit
-    default = [round(centre - HALF_GLYPH * unit), round(centre + HALF_GLYPH * unit)]
-    bounds = [gaps["end"][(away >= -FARTHEST) & (away < -NEAREST)].max(), gaps["begin"][(away > NEAREST) & (away <= FARTHEST)].min()]
-    bounds = [d if pd.isna(b) else int(b) for b, d in zip(bounds, default, strict=True)]
-    a, b = bounds if bounds[0] < bounds[1] else default
-    px, py = max(2, round(unit * PAD_X)), max(2, round((bottom - top) * PAD_Y))
-    x0, y0 = max(0, a - px), max(0, top - py)
-    box = central_box(grey[y0 : min(height, bottom + py), x0 : min(width, b + px)])
-    return x0 + box[0], y0 + box[1], x0 + box[2], y0 + box[3]
-
-
 def hsv(x: np.ndarray) -> np.ndarray:
     """Hue in degrees, saturation and value from 0 to 1, of RGB from 0 to 255."""
     x = x.astype(np.float64) / 255

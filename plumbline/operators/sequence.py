@@ -39,6 +39,13 @@ def jobs(spark: SparkSession, team: int, rounds: int, total: int = 41) -> DataFr
     return grid.withColumn("job", ((F.col("round") - 1) * team + F.col("member")).cast("int")).where(F.col("job") <= total)
 
 
+def allocated(rows: DataFrame, team: int, *order: str) -> DataFrame:
+    """rows with (round, member, job) of a round-robin allocation in an order that must tell them apart, jobs from 1."""
+    n = F.col("__n")
+    rows = numbered(rows, *order, name="__n")
+    return rows.withColumns({"round": F.expr(f"__n div {team} + 1").cast("int"), "member": (n % team + 1).cast("int"), "job": (n + 1).cast("int")}).drop("__n")
+
+
 def job_coverage(allocation: DataFrame, total: int = 41) -> DataFrame:
     """One row: jobs allocated, distinct ones, and whether each from 1 to total is there once."""
     g = allocation.agg(F.count("*").alias("n"), F.countDistinct("job").alias("distinct_jobs"), F.min("job").alias("lo"), F.max("job").alias("hi"))

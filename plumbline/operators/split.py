@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators import audit
 from plumbline.operators.graph import connected_components
 from plumbline.runtime import cut, exists
 
 ALGORITHM = "source-family-hash-order-greedy"
+#: Hexadecimal digits of a group's hash that name its bucket.
+DIGITS = 3
 
 
 def families(manifest: DataFrame) -> DataFrame:
@@ -31,38 +34,56 @@ def assign(grouped: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFra
     brings the count strictly closer to that and is not the last. With fewer than two such groups the
     label stays in train. Derived rows of a chosen group are held out.
 
-    The fold goes through a label's groups in their order and holds one count: rows of (group, size), sorted by the
-    shuffle, which spills, and never an array of a label's groups.
+    While the count stays at or below its goal every group follows, so whole buckets of the order are settled by their
+    sums, and one bucket of a label by a running sum. Beyond that only groups below twice what is missing can follow,
+    of each size so many as fit and one more; a fold in order holds one count and gets these alone, however
+    many groups a label has.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
     groups = grouped.groupBy("label", "grp").agg(F.sum(F.when(F.col("derived"), 0).otherwise(1)).cast("long").alias("size")).where("size > 0")
     groups = cut(groups.withColumn("o", F.md5(F.concat(F.lit(f"{seed}|"), F.col("grp")).cast("binary"))))
+    order = F.struct("o", "grp")
+    head = F.min(F.struct(F.abs(F.col("size") - F.col("target")).alias("off"), "o", "grp", "size")).alias("head")  # ties go by the hash
     totals = groups.groupBy("label").agg((F.sum("size") * F.lit(float(fraction))).alias("target"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.join(totals, "label")
-    first = F.min(F.struct(F.abs(F.col("size") - F.col("target")).alias("off"), F.col("o").alias("o"), F.col("grp").alias("grp"), F.col("size").alias("size")))  # ties go by the hash
-    first = cut(groups.groupBy("label").agg(first.alias("head")))
-    rest = groups.join(first, "label").where("grp <> head.grp").select("label", "grp", "size", "o", "target", F.col("head.size").alias("start"), "n")
+    heads = cut(groups.join(totals, "label").groupBy("label", "target").agg(head))
+    rest = groups.join(heads, "label").where("grp <> head.grp").select("label", "grp", "size", "o", "target", F.col("head.size").alias("start"))
+    lasts = rest.groupBy("label").agg(F.max(order).alias("last"))
+    rest = cut(rest.join(lasts, "label").where(order < F.col("last")).drop("last").withColumn("bucket", F.substring("o", 1, DIGITS)))
+
+    sums = rest.groupBy("label", "bucket", "start", "target").agg(F.sum("size").alias("sum"))
+    before = F.col("start") + F.coalesce(F.sum("sum").over(Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("before", before)  # sixteen to the power of DIGITS rows a label at most
+    crossed = cut(sums.where("before + sum > target").groupBy("label").agg(F.min("bucket").alias("crossing"), F.min_by("before", "bucket").alias("before")))
+    rest = rest.join(crossed, "label", "left")
+    whole = rest.where("crossing is null or bucket < crossing").select("label", "grp")
+    line = Window.partitionBy("label").orderBy("o", "grp")
+    inside = rest.where("bucket = crossing").withColumn("held", F.col("before") + F.sum("size").over(line))
+    inside = cut(inside.select("label", "grp", "size", "o", "target", "held"))
+    stop = cut(inside.where("held > target").groupBy("label").agg(F.min(order).alias("stop"), F.min_by(F.col("held") - F.col("size"), order).alias("held")))
+    fits = inside.drop("held").join(stop, "label").where(order < F.col("stop")).select("label", "grp")
+
+    missing = F.col("target") - F.col("held")
+    open_ = rest.join(stop, "label").where((F.col("bucket") >= F.col("crossing")) & (order >= F.col("stop")) & (F.col("size") < 2 * missing))
+    open_ = open_.withColumn("place", F.row_number().over(Window.partitionBy("label", "size").orderBy("o", "grp"))).where(F.col("place") <= missing / F.col("size") + 1)
     kind = dict(grouped.dtypes)
-    chosen = rest.repartition("label").sortWithinPartitions("label", "o", "grp").mapInPandas(_greedy, f"label {kind['label']}, grp {kind['grp']}")
-    chosen = chosen.union(first.select("label", "head.grp")).withColumn("chosen", F.lit(True))
+    late = open_.select("label", "o", "grp", "size", "target", "held").repartition("label").sortWithinPartitions("label", "o", "grp").mapInPandas(_greedy, f"label {kind['label']}, grp {kind['grp']}")
+    chosen = heads.select("label", "head.grp").union(whole).union(fits).union(late).withColumn("chosen", F.lit(True))
     out = grouped.join(chosen, ["label", "grp"], "left")
     split = F.when(F.col("chosen").isNull(), "train").when(F.col("derived"), "held_out_derived").otherwise("validation")
     return out.withColumn("split", split).drop("chosen")
 
 
 def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(label, grp) of the groups that bring their label's count closer to its target, from rows in order; start is the
-    count before the first, and the last of a label's n - 1 rows never goes."""
-    label, held, seen = None, 0, 0
+    """(label, grp) of the groups that bring their label's count closer to its target, from rows in order; held is the count before the first."""
+    label, count = None, 0
     for batch in batches:
         picked = []
-        for name, grp, size, target, start, n in zip(*(batch[c] for c in ("label", "grp", "size", "target", "start", "n")), strict=True):
+        for name, grp, size, target, held in zip(*(batch[c] for c in ("label", "grp", "size", "target", "held")), strict=True):
             if name != label:
-                label, held, seen = name, start, 0
-            seen += 1
-            if seen < n - 1 and abs(held + size - target) < abs(held - target):
-                held += size
+                label, count = name, held
+            if abs(count + size - target) < abs(count - target):
+                count += size
                 picked.append((name, grp))
         yield pd.DataFrame(picked, columns=["label", "grp"])
 

@@ -135,20 +135,24 @@ def protocol_uniqueness(spark: SparkSession, d: str) -> DataFrame:
     return contracts.same_values(receipts(spark, d), "seed", "status")
 
 
-@query("SELECT CAST(r AS INTEGER) AS round, CAST(m AS INTEGER) AS member, CAST((r - 1) * 7 + m AS INTEGER) AS job FROM range(1, 8) a(r), range(1, 8) b(m) WHERE (r - 1) * 7 + m <= 41")
+@query("SELECT c_custkey, CAST((i - 1) // 7 + 1 AS INTEGER) AS round, CAST((i - 1) % 7 + 1 AS INTEGER) AS member, CAST(i AS INTEGER) AS job FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer)")
 def job_allocation(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.jobs(spark, 7, 7)
+    """Customers given to a team of seven in turn, those with the largest balance first."""
+    rows = table(spark, d, "customer").select("c_custkey", (-F.col("c_acctbal")).alias("o"))
+    return sequence.allocated(rows, 7, "o", "c_custkey").drop("o")
 
 
 @query(
-    """WITH j AS (SELECT 0 AS gaps, CAST(i AS INTEGER) AS job FROM range(1, 42) t(i) UNION ALL SELECT 1, CASE WHEN i = 7 THEN 8 ELSE CAST(i AS INTEGER) END FROM range(1, 42) t(i) WHERE i <> 41)
-SELECT gaps, count(*) AS n, count(DISTINCT job) AS distinct_jobs, min(job) AS lo, max(job) AS hi, count(*) = 41 AND count(DISTINCT job) = 41 AND min(job) = 1 AND max(job) = 41 AS ok FROM j GROUP BY gaps"""
+    """WITH j AS (SELECT 0 AS gaps, row_number() OVER (ORDER BY c_custkey) AS job, count(*) OVER () AS total FROM customer UNION ALL
+  SELECT 1, CASE WHEN i = 7 THEN 8 ELSE i END, total FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS i, count(*) OVER () AS total FROM customer) WHERE i <> 41)
+SELECT gaps, count(*) AS n, count(DISTINCT job) AS distinct_jobs, CAST(min(job) AS INTEGER) AS lo, CAST(max(job) AS INTEGER) AS hi, count(*) = any_value(total) AND count(DISTINCT job) = any_value(total) AND min(job) = 1 AND max(job) = any_value(total) AS ok FROM j GROUP BY gaps"""
 )
 def job_coverage(spark: SparkSession, d: str) -> DataFrame:
     """A whole allocation, and one in which a job is given twice and one to nobody."""
-    whole = sequence.jobs(spark, 6, 7)
+    customers = table(spark, d, "customer").select("c_custkey")
+    whole, total = sequence.allocated(customers, 6, "c_custkey"), customers.count()
     holes = whole.where("job <> 41").withColumn("job", F.when(F.col("job") == 7, 8).otherwise(F.col("job")))
-    out = [sequence.job_coverage(x).select(F.lit(i).alias("gaps"), "*") for i, x in enumerate((whole, holes))]
+    out = [sequence.job_coverage(x, total).select(F.lit(i).alias("gaps"), "*") for i, x in enumerate((whole, holes))]
     return out[0].union(out[1])
 
 
@@ -231,8 +235,14 @@ def comparable_runs(spark: SparkSession, d: str) -> DataFrame:
     return contracts.comparable_runs(r.union(bad)).select("ord", "check", "violations")
 
 
-@query("SELECT CAST(i AS INTEGER) AS number FROM range(7) t(i)")
+@query(
+    """WITH g AS (SELECT c.event_type AS candidate, s.seed, a.augment FROM (SELECT DISTINCT event_type FROM events) c, (SELECT DISTINCT CAST(user_id % 5 AS INTEGER) AS seed FROM events) s, (VALUES ('no'), ('yes')) a(augment))
+SELECT candidate, seed, augment, CAST(row_number() OVER (ORDER BY md5('42|' || candidate || '|' || seed || '|' || augment)) - 1 AS INTEGER) AS number FROM g"""
+)
 def search_space(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of the candidates and seeds that events name, in a seeded order."""
     from plumbline.operators import scoring
 
-    return scoring.search_space(spark, {"lr": [0.1, 0.01, 0.001], "batch": [32, 64], "augment": ["no", "yes"]}, 7).select("number")
+    e = table(spark, d, "events")
+    seen = e.agg(F.collect_set("event_type").alias("candidate"), F.collect_set((F.col("user_id") % 5).cast("int")).alias("seed")).first()
+    return scoring.search_space(spark, {"candidate": sorted(seen.candidate), "seed": sorted(seen.seed), "augment": ["no", "yes"]}).withColumn("seed", F.col("seed").cast("int"))

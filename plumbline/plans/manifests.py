@@ -56,13 +56,17 @@ def audit_color_modes(spark: SparkSession, d: str) -> DataFrame:
     return audit.histogram(table(spark, d, "documents"), audit.color_mode(F.when(c == 0, 1).when(c == 1, 3).when(c == 2, 4)))
 
 
-_EXTS = "VALUES (1, '.PNG, jpg,,tif'), (2, 'png,.png , PNG'), (3, ' ,')"
+_EXTS = "CASE doc_id % 4 WHEN 0 THEN '.PNG, ' || lang || ',,tif' WHEN 1 THEN 'png,.png , PNG,' || source WHEN 2 THEN ' ,' ELSE '. ' || lang || ', .' || lang END"
 
 
-@query("SELECT * FROM (VALUES (1, '.jpg,.png,.tif', CAST(3 AS BIGINT)), (2, '.png', CAST(1 AS BIGINT)), (3, '', CAST(0 AS BIGINT))) t(id, extensions, n)")
+@query(
+    f"""SELECT doc_id, string_agg(e, ',' ORDER BY e) AS extensions, count(e) AS n FROM (SELECT DISTINCT doc_id, CASE WHEN x <> '' THEN '.' || ltrim(x, '.') END AS e FROM (
+  SELECT doc_id, trim(lower(unnest(string_split({_EXTS}, ',')))) AS x FROM documents)) GROUP BY 1"""
+)
 def ext_parse(spark: SparkSession, d: str) -> DataFrame:
-    e = paths.extensions(F.col("text"))
-    return spark.sql(f"SELECT * FROM ({_EXTS}) t(id, text)").select("id", F.array_join(e, ",").alias("extensions"), F.size(e).cast("long").alias("n"))
+    """Lists of extensions as people write them, with blanks, capitals, repeats and nothing at all."""
+    e = paths.extensions(F.expr(_EXTS))
+    return table(spark, d, "documents").select("doc_id", F.nullif(F.array_join(e, ","), F.lit("")).alias("extensions"), F.size(e).cast("long").alias("n"))
 
 
 @query(f"{M} SELECT path, label AS label1, CAST(NULL AS VARCHAR) AS label2 FROM manifest")

@@ -44,9 +44,9 @@ def bbox_expand(spark: SparkSession, d: str) -> DataFrame:
     return _boxes(spark, d).select("box_id", b.alias("b")).select("box_id", "b.*")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(i // 8 AS INTEGER) AS row, CAST(i % 8 AS INTEGER) AS col FROM range(72) t(i)")
+@query("SELECT o_orderkey, CAST(o_custkey % 72 // 8 AS INTEGER) AS row, CAST(o_custkey % 72 % 8 AS INTEGER) AS col FROM orders")
 def grid_cells(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(72).select(F.col("id").cast("int").alias("i"), values.grid_cell(F.col("id")).alias("c")).select("i", "c.*")
+    return table(spark, d, "orders").select("o_orderkey", values.grid_cell(F.col("o_custkey") % 72).alias("c")).select("o_orderkey", "c.*")
 
 
 @query(
@@ -133,9 +133,9 @@ def short_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", values.short_hash(F.col("c_name")).alias("short_id"), values.identifier(F.col("c_name")).alias("plain"))
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, CAST(floor((n + 2 - 3) / 2) + 1 AS BIGINT) AS size FROM range(8, 65) t(n)")
+@query("SELECT p_partkey, CAST(floor((p_size + 2 - 3) / 2) + 1 AS BIGINT) AS size FROM part")
 def conv_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(8, 65).select(F.col("id").cast("int").alias("n"), values.conv_size(F.col("id"), 3, 2, 1).alias("size"))
+    return table(spark, d, "part").select("p_partkey", values.conv_size(F.col("p_size"), 3, 2, 1).alias("size"))
 
 
 @query("SELECT p_partkey, CAST(split_part(p_brand, '#', 2) AS INTEGER) AS prefix FROM part")

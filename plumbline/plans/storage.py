@@ -203,10 +203,12 @@ def contact_sheet_places(spark: SparkSession, d: str) -> DataFrame:
     return sinks.contact_sheet(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey").select("s_suppkey", "sheet_row", "sheet_col")
 
 
-@query("SELECT CAST(i AS INTEGER) AS cell, CAST((i % 8) * 300 + 21 AS INTEGER) AS x0, CAST((i // 8) * 300 + 48 + 21 AS INTEGER) AS y0, CAST((i % 8 + 1) * 300 - 21 AS INTEGER) AS x1, CAST((i // 8 + 1) * 300 - 21 AS INTEGER) AS y1 FROM range(72) t(i)")
+@query("SELECT page_id, CAST(i % 8 * 300 + 21 AS INTEGER) AS x0, CAST(i // 8 * 300 + 48 + 21 AS INTEGER) AS y0, CAST((i % 8 + 1) * 300 - 21 AS INTEGER) AS x1, CAST((i // 8 + 1) * 300 - 21 AS INTEGER) AS y1 FROM (SELECT page_id, page_id % 72 AS i FROM pages)")
 def form_boxes(spark: SparkSession, d: str) -> DataFrame:
-    boxes = kernels.grid_boxes(2400, 2700, 9)
-    return spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)], "cell int, x0 int, y0 int, x1 int, y1 int")
+    """Where the inside of each page's cell of a form is."""
+    boxes = F.broadcast(spark.createDataFrame([(i, *b) for i, b in enumerate(kernels.grid_boxes(2400, 2700, 9))], "cell int, x0 int, y0 int, x1 int, y1 int"))  # 72 rows
+    pages = table(spark, d, "pages").select("page_id", (F.col("page_id") % 72).cast("int").alias("cell"))
+    return pages.join(boxes, "cell").drop("cell")
 
 
 @query("SELECT o_orderkey, 'b' || i AS box, round(o_totalprice * i, 2) AS score, CAST(i - 1 AS INTEGER) AS box_id FROM (SELECT *, unnest(range(1, o_orderkey % 3 + 1)) AS i FROM orders)")
@@ -248,10 +250,11 @@ def text_columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT CAST(i AS VARCHAR) AS label, CAST(10 AS BIGINT) AS n FROM range(3) t(i)")
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS label, count(*) AS n FROM nation GROUP BY 1")
 def fixture_tree(spark: SparkSession, d: str) -> DataFrame:
-    """The synthetic tree of three labels with ten images each, all different."""
-    root = _put(new_folder(spark), {f"{label}/{i}.png": files.png(8, 8, (80 * label + 10, 20 * i % 256, (7 * i + label) % 256)) for label in range(3) for i in range(10)})
+    """A tree with a label for each region and an image for each of its nations, all different."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 rows
+    root = _put(new_folder(spark), {f"{r.n_regionkey}/{r.n_nationkey}.png": files.png(8, 8, (10 * r.n_nationkey, 10, 7)) for r in rows})
     return files.images(spark, root).where("error is null").groupBy("label").agg(F.countDistinct("sha256").alias("n"))
 
 

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,38 @@ def test_preflight(spark, case, message):
     else:
         with pytest.raises(ValueError, match=message):
             contracts.raise_first(checks.where("ord > 0"))
+
+
+def plain_assign(sizes, fraction=0.2, seed=42):
+    """The groups of each label that go to validation, one by one."""
+    out = set()
+    for label in {lab for lab, _ in sizes}:
+        groups = sorted((hashlib.md5(f"{seed}|{g}".encode()).hexdigest(), g, n) for (lab, g), n in sizes.items() if lab == label and n)
+        if len(groups) < 2:
+            continue
+        target = sum(n for *_, n in groups) * fraction
+        head = min(groups, key=lambda x: (abs(x[2] - target), x))
+        out.add((label, head[1]))
+        held, rest = head[2], [g for g in groups if g != head]
+        for _, g, n in rest[:-1]:
+            if abs(held + n - target) < abs(held - target):
+                held += n
+                out.add((label, g))
+    return out
+
+
+@pytest.mark.parametrize(("digits", "seed"), [(1, 0), (1, 1), (3, 2), (2, 3)])
+def test_groups_against_plain_loops(spark, monkeypatch, digits, seed):
+    monkeypatch.setattr(split, "DIGITS", digits)
+    r = random.Random(seed)
+    sizes = {}
+    for label, n, most in (("few", 2, 3), ("one", 1, 5), ("many", 300, 1), ("mixed", 120, 30), ("large", 20, 200), ("skewed", 60, 2), ("pair", 3, 50)):
+        for i in range(n):
+            sizes[label, f"{label}{i}"] = r.randint(1, most) if r.random() < 0.9 else 0
+    sizes["skewed", "skewed0"] = 500
+    rows = [(lab, g, False) for (lab, g), n in sizes.items() for _ in range(n)] + [(lab, g, True) for lab, g in sizes]
+    got = split.assign(spark.createDataFrame(rows, "label string, grp string, derived boolean").repartition(6), seed=seed)
+    want = plain_assign(sizes, seed=seed)
+    assert {(x.label, x.grp) for x in got.where("split = 'validation'").distinct().collect()} == {w for w in want if sizes[w]}
+    assert {(x.label, x.grp) for x in got.where("split = 'held_out_derived'").collect()} == want
+    assert got.count() == len(rows)
