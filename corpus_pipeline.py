@@ -32,7 +32,10 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and whether decoding the ids gives the text again."""
+    """doc_id, lang, source, n_tokens, ids and whether decoding the ids gives the text again (null as the empty text).
+
+    docs needs these three columns and text; its other columns end here, the text among them, as the ids hold it.
+    """
     coded = bpe.tokenise(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))

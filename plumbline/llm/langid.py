@@ -172,7 +172,8 @@ def language_mixture(docs: DataFrame, fitted_on: DataFrame | None = None, text_c
     """docs with `language` struct<lang, score, mix>, by a model of fitted_on (docs' rows that are not held out).
 
     Every row of docs stays, in any order and however often it is repeated; a column of docs called
-    `language` is replaced. lang, source and id are no inputs of a prediction.
+    `language` is replaced. lang, source and id are no inputs of a prediction. Null, empty and letterless
+    texts are undetermined (`und`) with score 0 and an empty mix; an empty table stays empty.
     """
     model = fit(docs.where(~held_out()) if fitted_on is None else fitted_on, text_col=text_col)
     return docs.withColumn("language", identify(docs, model, text_col))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a few numbers or short strings that are broadcast at most, counted first; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+from plumbline.functions.values import let
 
+__all__ = ["BROADCAST_ROWS", "let", "longs", "small_side"]
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, also where body uses it within a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Rows of a few numbers or short strings that are broadcast at most, counted first; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def longs(values: list[int]) -> Column:

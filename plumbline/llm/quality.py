@@ -156,7 +156,7 @@ def unpacked(cells, n: int) -> np.ndarray:
 
 
 def packed(row: np.ndarray) -> bytes:
-    return row.astype(np.float16).tobytes()
+    return np.minimum(row, np.finfo(np.float16).max).astype(np.float16).tobytes()
 
 
 def chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:

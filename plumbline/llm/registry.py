@@ -26,6 +26,7 @@ SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_embeddings": embeddings.OP8_SQL,
     "op11_negatives": negatives.OP11_SQL,
+    "op13_repair": repair.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

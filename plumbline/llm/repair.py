@@ -293,3 +293,46 @@ def repair_audit(conversations: DataFrame, fault: bool = True) -> DataFrame:
 
 def op13_repair(spark, sf_dir: str) -> DataFrame:
     return repair_audit(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code
+  FROM conversations, tab
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE code <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS c FROM damaged
+), f AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS twice, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) = 1 AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+    coalesce(lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM placed)
+), ins AS (
+  SELECT * FROM (VALUES (0, 0, 0, '', []), (0, 1, 2, 'I', ['user:']), (0, 2, 3, 'II', ['user:', 'assistant:']), (1, 0, 1, '', []), (1, 1, 2, 'I', ['user:']), (1, 2, 3, 'II', ['user:', 'assistant:']),
+    (2, 0, 2, '', []), (2, 1, 3, 'I', ['assistant:']), (2, 2, 2, 'II', ['assistant:', 'user:']), (3, 0, 3, '', []), (3, 1, 2, 'I', ['user:']), (3, 2, 3, 'II', ['user:', 'assistant:'])) t(a, k, b, audit, lines)
+), ed AS (
+  SELECT b AS a, c, e, z FROM (VALUES (0), (1), (2), (3)) s(b), (VALUES ('s'), ('u'), ('a'), ('x')) r(c), LATERAL (SELECT 'D' AS e, b AS z UNION ALL SELECT 'R', CASE WHEN b = 2 THEN 3 ELSE 2 END
+    UNION ALL SELECT 'K', CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHERE (b, c) IN ((0, 's'), (0, 'u'), (1, 'u'), (2, 'a'), (3, 'u')))
+), dp(conv_id, i, st, cost, audit, lines) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM f
+  UNION ALL
+  SELECT conv_id, i, z, cost, audit, lines FROM (
+    SELECT f.conv_id, f.i, ed.z, dp.cost + 5 * ins.k + CASE ed.e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN f.cut AND ed.e <> 'D' THEN 5 ELSE 0 END AS cost, dp.audit || ins.audit || ed.e AS audit,
+      list_concat(dp.lines, ins.lines, CASE ed.e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE ed.z WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END) AS lines
+    FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN ins ON ins.a = dp.st JOIN ed ON ed.a = ins.b AND ed.c = f.c AND (ed.e = 'D' OR NOT f.blank AND NOT f.twice)
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, z ORDER BY cost, audit) = 1
+), ended AS (
+  SELECT dp.conv_id, dp.cost + 5 * k AS cost, dp.audit || ins.audit AS audit, list_concat(dp.lines, ins.lines) AS lines
+  FROM dp JOIN (SELECT conv_id, max(i) AS n FROM f GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.n = dp.i JOIN ins ON ins.a = dp.st AND ins.b IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY dp.conv_id ORDER BY dp.cost + 5 * k, dp.audit || ins.audit) = 1
+), counts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (twice) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

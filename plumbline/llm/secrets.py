@@ -59,7 +59,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sums, exact for texts of any length. Texts are read once and are in no shuffle.
 
     Null and empty texts have no spans. Rows are told apart by id and text hash: repeated rows are
-    looked at once and each gets the result; null ids are ids like others; other columns are not read.
+    looked at once and each gets the result; null ids are ids like others; spans of one start are in the order of
+    their kinds; an empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), text.alias("text"))

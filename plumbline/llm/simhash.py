@@ -132,7 +132,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_hash is Spark's xxhash64 of the text. Copies share one fingerprint and so one node of the
     graph. Null and wordless texts have fingerprint zero and are linked like any other; null ids are
     passed over when the smallest id is taken (a group of null ids alone has a null component);
-    repeated rows give repeated rows; other columns of docs are not read.
+    repeated rows give repeated rows; the smallest id is one of a group's ids, so ties can't be; an empty table
+    gives an empty result; other columns of docs are not read.
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), fingerprint(F.col(text_col), words).alias("fp")))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -147,7 +148,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each group of near_groups(), the one with the smallest id; all columns stay.
 
     Among repeated rows (equal id and text) one stays. Groups whose ids are all null keep one row of
-    each distinct text.
+    each distinct text. Null, empty and blank texts are one group, so one row of them stays; an empty table stays empty.
     """
     groups = cut(near_groups(docs, id_col, text_col, words, radius))
     gone = groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id", "text_hash").distinct()

@@ -43,21 +43,6 @@ def words(r):
     return {w for s in filter(None, r.spans.split(",")) for w in range(*map(int, s.split("-")))}
 
 
-def test_every_exact_passage_is_found(spark):
-    """In each document that has one, and all but a few words at the ends, where a third document shares more."""
-    sf = "/root/testdata/sf0.01"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    want = covered(docs)
-    got = passages.op6_passages(spark, sf).collect()
-    assert len(got) == len(docs)
-    for r in got:
-        found = words(r)
-        assert r.n_words == len(docs[r.doc_id].split()) and r.n_repeated_words == len(found)
-        assert (r.n_passages > 0) >= bool(want[r.doc_id])
-    missed = sum(len(want[r.doc_id] - words(r)) for r in got)
-    assert missed <= 0.001 * sum(map(len, want.values()))
-
-
 def test_planted_passages_hot_groups_and_clean_documents(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))

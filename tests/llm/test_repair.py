@@ -95,6 +95,20 @@ def test_query_against_plain_loops(spark):
     assert of(repair.op13_repair(spark, SF)) == brute(rows)
 
 
+def test_sql_against_plain_loops_and_query(spark):
+    import duckdb
+
+    r = random.Random(17)
+    roles, texts = ["user", "assistant", "system", "tool", "", None], ["Yes.", "No!", "cut off", "", " \n", None, "One. ", "é日本。"]
+    rows = [(conv if conv else None, r.choice([*range(9), None]), r.choice(roles), r.choice(texts)) for conv in range(60) for _ in range(r.randint(1, 9))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = brute(rows)
+    got = {x[0]: x[1:] for x in con.sql(repair.OP13_SQL).fetchall()}
+    assert got == want == of(repair.repair_audit(frame(spark, rows)))
+
+
 def test_random_conversations_in_small_blocks(spark, monkeypatch):
     r = random.Random(7)
     roles, texts = ["user", "assistant", "system", "tool", "", None, "s"], ["Yes.", "No!", "cut off", "", " \n", None, "One. ", "é日本。", "Yes."]
