@@ -39,23 +39,81 @@ SHARED = int(np.ceil(2 * SPAN * SIMILAR / (1 + SIMILAR)))
 BLOCK = 4096
 #: Passages that are compared, or written, in one step.
 STEP = 20_000
-_REMEMBERED = 500_000
-_words: dict[bytes, int] = {}
+#: Bytes of text that are hashed in one step.
+STRETCH = 1 << 20
+_GAP = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_NUMBERS = np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
+_BASE = np.uint64(xxhash.xxh64_intdigest(b"base") | 5)
+_POWERS = np.concatenate(([np.uint64(1)], np.cumprod(np.full((1 << 12) - 1, _BASE, np.uint64))))
 _PLACES = np.uint64((1 << 30) - 1)
 
 
 def tokens(text: str | None) -> tuple[np.ndarray, int]:
     """(hashes of each SHINGLE consecutive words as uint64, number of words). A-Z is lowered, words are runs without ASCII white space."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if len(found) < SHINGLE:
-        return np.zeros(0, np.uint64), len(found)
-    if len(_words) > _REMEMBERED:
-        _words.clear()
-    known = _words
-    for w in set(found).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    return _chained(h, SHINGLE), len(found)
+    words = _words(text.encode("utf-8", "surrogatepass").lower() if text else b"")
+    return (_chained(words, SHINGLE) if len(words) >= SHINGLE else words[:0]), len(words)
+
+
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(the hashes of tokens() of all texts in a row, how many each text has)."""
+    raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    words, counts = [], []
+    at = 0
+    while at < len(raw):  # many short texts at a time, as each step has a cost of its own
+        end, size = at, 0
+        while end < len(raw) and (end == at or size + len(raw[end]) <= STRETCH):
+            size += len(raw[end]) + 1
+            end += 1
+        ends = np.cumsum([len(x) + 1 for x in raw[at:end]])
+        hashes, starts = _words(b" ".join(raw[at:end]), places=True)
+        words.append(hashes)
+        counts.append(np.bincount(np.searchsorted(ends, starts, "right"), minlength=end - at))
+        at = end
+    every = np.concatenate([np.zeros(0, np.uint64), *words])
+    counts = np.concatenate([np.zeros(0, np.int64), *counts])
+    sizes = np.maximum(counts - (SHINGLE - 1), 0)
+    if len(every) < SHINGLE:
+        return every[:0], sizes
+    first = np.cumsum(counts) - counts
+    return _chained(every, SHINGLE)[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes
+
+
+def _words(text: bytes, places: bool = False):
+    """A hash of each word of a text, and where the words start: a sum of a number for each byte times a power for its place
+    in the word, in 64 bits, mixed with the length."""
+    code = np.frombuffer(text, np.uint8)
+    gap = _GAP[code]
+    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1]))) if len(code) else np.zeros(0, np.int64)
+    if not len(starts):
+        return (np.zeros(0, np.uint64), starts) if places else np.zeros(0, np.uint64)
+    sizes = np.flatnonzero(~gap & np.concatenate((gap[1:], [True]))) + 1 - starts
+    out = np.empty(len(starts), np.uint64)
+    longest = min(int(sizes.max()), STRETCH)
+    power = _POWERS if longest <= len(_POWERS) else np.concatenate(([np.uint64(1)], np.cumprod(np.full(longest - 1, _BASE, np.uint64))))
+    bounds = [0]
+    while bounds[-1] < len(starts):  # stretches of whole words
+        at = bounds[-1]
+        bounds.append(max(at + 1, int(np.searchsorted(starts + sizes, starts[at] + STRETCH, "right"))))
+    for a, b in zip(bounds, bounds[1:]):
+        if sizes[a] > STRETCH:
+            out[a] = _long_word(code[starts[a] : starts[a] + sizes[a]], power)
+            continue
+        n, flat = sizes[a:b], np.cumsum(sizes[a:b]) - sizes[a:b]
+        place = np.arange(int(n.sum())) - np.repeat(flat, n)
+        out[a:b] = np.add.reduceat(_NUMBERS[code[np.repeat(starts[a:b], n) + place]] * power[place], flat)
+    out ^= sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return (out, starts) if places else out
+
+
+def _long_word(code: np.ndarray, power: np.ndarray) -> int:
+    """The sum of a word of over STRETCH bytes, stretch by stretch."""
+    total = 0
+    for at in range(0, len(code), STRETCH):
+        part = code[at : at + STRETCH]
+        total += int((_NUMBERS[part] * power[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    return total % (1 << 64)
 
 
 def _chained(h: np.ndarray, n: int) -> np.ndarray:
@@ -112,12 +170,11 @@ def compact_windows(hashes: np.ndarray, span: int = SPAN, ends: np.ndarray | Non
 
 def signatures(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """(row, f, key, l, c, r) arrays: the compact windows of each text for each hash function f; key is the signature."""
-    found = [tokens(t)[0] for t in texts]
-    rows = np.array([i for i, t in enumerate(found) if len(t) >= SPAN], np.int64)
+    every, sizes = tokens_of(texts)
+    rows = np.flatnonzero(sizes >= SPAN)
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     if len(rows):
-        every = np.concatenate([found[i] for i in rows])
-        ends = np.cumsum([len(found[i]) for i in rows])
+        every, ends = every[np.repeat(sizes >= SPAN, sizes)], np.cumsum(sizes[rows])
         for f in range(HASHES):
             h = _mixed(every, f)
             x = np.array(compact_windows(h, SPAN, ends), np.int64)
@@ -170,14 +227,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        found = [tokens(t)[0] for t in batch.column("text").to_pylist()]
-        sizes = np.array([len(t) for t in found])
+        found, sizes = tokens_of(batch.column("text").to_pylist())
         start, base = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(sizes - SPAN + 1)))
         row, (f, key, left, c, right) = _of_lists(batch.column("windows"))
         count, pair, i, j, o = held_by(f, key, *(x.astype(np.int64) for x in (left, c, right)), base[row], int(base[-1]))
         at, doc = np.flatnonzero(count == HASHES), np.searchsorted(base, i, "right") - 1
         every = np.repeat(np.arange(len(batch)), sizes - SPAN + 1)
-        run = _chained(np.concatenate(found), SPAN)[start[every] + np.arange(base[-1]) - base[every]]
+        run = _chained(found, SPAN)[start[every] + np.arange(base[-1]) - base[every]]
         new = np.zeros(len(run), np.int64)
         new[np.unique(run ^ every.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]] = 1
         new = np.concatenate(([0], np.cumsum(new)))
@@ -206,9 +262,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        found = [tokens(t)[0] for t in batch.column("text").to_pylist()]
-        start = np.concatenate(([0], np.cumsum([len(t) for t in found])))
-        t = (np.concatenate(found) >> np.uint64(32)).astype(np.uint32)
+        found, sizes = tokens_of(batch.column("text").to_pylist())
+        start = np.concatenate(([0], np.cumsum(sizes)))
+        t = (found >> np.uint64(32)).astype(np.uint32)
         row, (key, blocks, i, j, o) = _of_lists(batch.column("items"))
         th = batch.column("th").to_numpy()
         for x in range(0, len(row), STEP):
