@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.langid import held_out
-from plumbline.runtime import Stored
+from plumbline.runtime import Stored, cut
 
 #: Labelled rows that the classifiers are fitted on at most, taken by a hash of the id.
 LABELLED = 4000
@@ -117,15 +117,15 @@ class ArrayPool:
 
 
 class TablePool:
-    """Unlabelled rows (doc_id, which, t, m) of a stored table, scored where they are; equal rows of an id count once."""
+    """Rows (doc_id, which, t, m) of a stored table but for those with an id of known, scored where they are; equal rows of an id count once."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, known: DataFrame):
+        self.rows, self.known = rows, known.select("doc_id")
         self._kind = dict(rows.dtypes)["doc_id"]
 
     def surest(self, weights: list[np.ndarray], added: int, sure: float) -> list[Picked]:
-        """As of ArrayPool, ties by a checksum of the id. A task gives what the weights of a batch rank first, an id and a chance,
-        and the rows picked are fetched by id: four times `added` at most."""
+        """As of ArrayPool, ties by a checksum of the id. A task gives the ids of what it is sure of, a few numbers each, of which
+        labelled ones go; the rows picked are fetched by id: four times `added` at most."""
         shared = self.rows.sparkSession.sparkContext.broadcast(weights)
 
         def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,13 +134,11 @@ class TablePool:
                     p = chance(unpacked(b[c], n), w)
                     for label, q in ((1, p), (0, 1 - p)):
                         some = np.flatnonzero(q >= sure)
-                        if len(some) > added:
-                            some = some[q[some] >= np.partition(q[some], -added)[-added]]
                         part = b.iloc[some]
                         yield pd.DataFrame({"view": view, "label": label, "chance": q[some], "doc_id": part["doc_id"], "which": part["which"], "tie": [zlib.crc32(str(i).encode()) for i in part["doc_id"]]})
 
         found = self.rows.mapInPandas(rank, f"view int, label int, chance double, doc_id {self._kind}, which long, tie long")
-        found = found.groupBy("view", "label", "doc_id", "which").agg(F.max("chance").alias("chance"), F.first("tie").alias("tie"))
+        found = found.join(self.known, "doc_id", "left_anti").groupBy("view", "label", "doc_id", "which").agg(F.max("chance").alias("chance"), F.first("tie").alias("tie"))
         order = Window.partitionBy("view", "label").orderBy(F.desc("chance"), "tie", "doc_id", "which")
         best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= added).orderBy("view", F.desc("label"), "place").collect()
         shared.unpersist()
@@ -222,11 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrain
 
     Rows whose id or label is null are not labelled; an id with several labels takes the largest; of
     several rows of one labelled id the one with the least hash of text, source, language and size is learnt from. The
-    features of the pool, two kilobytes a row before they are compressed, are stored once for all rounds; the driver gets
+    features of all rows, two kilobytes a row before they are compressed, are stored once for all rounds; the driver gets
     `labelled` rows of fixed width and those that a round picks.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    order = F.xxhash64(F.lit("quality"), "doc_id")
+    known, order = cut(known), F.xxhash64(F.lit("quality"), "doc_id")
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
     some = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(labelled))  # so many rows at most
     own = docs.where("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "source", "lang", "n_chars").alias("which"))
@@ -237,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrain
     text, meta, y = unpacked(got["t"], WORDS + _SHAPES), unpacked(got["m"], META), (got["quality"].to_numpy() > 0).astype(np.float32)
     if len(set(y.tolist())) < 2:
         return exchange(text, meta, y, None)
-    pool = Stored(_features(own.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int"))))
-    model = exchange(text, meta, y, TablePool(pool.df.select("doc_id", "which", "t", "m")))
+    pool = Stored(_features(own.withColumn("quality", F.lit(None).cast("int"))))  # labelled rows too, so that no text is in a shuffle
+    model = exchange(text, meta, y, TablePool(pool.df.select("doc_id", "which", "t", "m"), known))
     pool.drop()
     return model
 

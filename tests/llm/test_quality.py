@@ -2,6 +2,7 @@ import math
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from plumbline.llm import quality
 
@@ -43,7 +44,7 @@ def test_a_hot_id_is_learnt_from_once(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id long, quality int")
     seen = []
     plain = quality.exchange
-    monkeypatch.setattr(quality, "exchange", lambda *a: seen.append((*a[:3], a[3].rows.select("doc_id", "which", "t", "m").distinct().toPandas())) or plain(*a))
+    monkeypatch.setattr(quality, "exchange", lambda *a: seen.append((*a[:3], a[3].rows.join(a[3].known, "doc_id", "left_anti").select("doc_id", "which", "t", "m").distinct().toPandas())) or plain(*a))
     first = quality.fit(docs, labels)
     second = quality.fit(docs.repartition(7), labels)
     assert [len(x[2]) for x in seen] == [19, 19] and [len(x[3]) for x in seen] == [10, 10]
@@ -123,7 +124,8 @@ def test_the_pool_of_a_table_is_that_in_memory(spark):
     weights = [r.normal(0, 1, text.shape[1] + 1).astype(np.float32), r.normal(0, 1, meta.shape[1] + 1).astype(np.float32)]
     for added, sure in ((5, 0.5), (1000, 0.6), (3, 1.1)):
         want = quality.ArrayPool(text, meta).surest(weights, added, sure)
-        got = quality.TablePool(rows.union(rows).repartition(5)).surest(weights, added, sure)
+        more = rows.limit(20).withColumn("doc_id", F.col("doc_id") + 1_000_000)  # rows with a label take no part
+        got = quality.TablePool(rows.union(rows).union(more).repartition(5), more.select("doc_id")).surest(weights, added, sure)
         for a, b in zip(want, got, strict=True):
             assert [(local["doc_id"][k[0]], label) for k, label, *_ in a] == [(k[0], label) for k, label, *_ in b]
             assert all(np.array_equal(x[2], z[2]) and np.array_equal(x[3], z[3]) for x, z in zip(a, b))
