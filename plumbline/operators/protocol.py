@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,9 +56,14 @@ class Lock:
 
     def acquire(self) -> None:
         self._fs.mkdirs(self._where.getParent())
-        if not self._fs.createNewFile(self._where):
-            raise Locked(f"{self.path} is held by {self.holder() or 'somebody'}")
-        runtime.write_text(self._spark, self.path, self.owner)
+        try:
+            out = self._fs.create(self._where, False)  # of two that create it one gets an error
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            raise Locked(f"{self.path} is held by {self.holder() or 'somebody'}") from None
+        out.write(bytearray(self.owner.encode()))
+        out.close()
 
     def holder(self) -> str | None:
         return runtime.read_text(self._spark, self.path) if runtime.exists(self._spark, self.path) else None

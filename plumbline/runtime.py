@@ -54,15 +54,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small document, written beside and put in place at once, on whatever storage the path names."""
+    """A small document, written beside and put in place at once, over the one that is there, on whatever storage the path names."""
     system, where = storage(spark, path)
+    where = system.makeQualified(where)
     beside = where.suffix(f".{uuid.uuid4().hex}.new")
     out = system.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    system.delete(where, False)
-    if not system.rename(beside, where):
-        raise OSError(f"{path} can't be written")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, where, over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
