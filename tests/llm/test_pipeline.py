@@ -47,6 +47,6 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_registry_names():
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in registry.QUERIES
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in registry.QUERIES
     assert set(registry.SQL) <= set(registry.QUERIES)
     assert langid.UNDETERMINED == "und" and decontaminate.WINDOW == 10
