@@ -7,38 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, langid, pii, simhash
+from plumbline.llm.batches import bounded
 from plumbline.runtime import cut
 
-#: Rows of an Arrow batch: whole documents pass through, and a batch is held by the JVM and by Python.
-BATCH = 1000
-
-
-def _bounded(spark: SparkSession) -> None:
-    """Bounds the batches of the session that runs the pipeline; the operators leave its settings alone."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs whose language can be told, by a model of docs' own labels; null and letterless texts go."""
-    _bounded(spark)
+    bounded(spark)
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of SimHash near-duplicates."""
-    _bounded(spark)
+    bounded(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that hold no window of a benchmark item."""
-    _bounded(spark)
+    bounded(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with personal data replaced by the name of its kind; n_chars follows the text."""
-    _bounded(spark)
+    bounded(spark)
     masked = pii.mask_personal(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), "n_chars")) if "n_chars" in docs.columns else masked
 
@@ -48,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     docs needs these three columns and text; its other columns end here, the text among them, as the ids hold it.
     """
-    _bounded(spark)
+    bounded(spark)
     coded = bpe.tokenise(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))

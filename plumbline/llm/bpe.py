@@ -15,6 +15,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.batches import bounded
+
 
 #: Pre-tokens remembered by a worker, and characters of one at most; the memory is emptied when full.
 REMEMBERED, SHORT = 200_000, 40
@@ -166,5 +168,6 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
+    bounded(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(tokenise(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
