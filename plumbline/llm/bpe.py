@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.batches import bounded
 
-
 #: Pre-tokens remembered by a worker, and characters of one at most; the memory is emptied when full.
 REMEMBERED, SHORT = 200_000, 40
 
