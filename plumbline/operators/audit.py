@@ -59,9 +59,11 @@ def conflict_members(manifest: DataFrame) -> DataFrame:
 
 
 def quarantine(manifest: DataFrame, policy: str = "exclude") -> DataFrame:
-    """manifest without content in conflict; with policy `error`, a conflict is an error."""
-    if policy not in ("exclude", "error"):
-        raise ValueError("policy must be exclude or error")
+    """manifest without content in conflict; with policy `error`, a conflict is an error, with `keep`, it stays."""
+    if policy not in ("exclude", "error", "keep"):
+        raise ValueError("policy must be exclude, error or keep")
+    if policy == "keep":
+        return manifest
     bad = conflict_groups(manifest).select("sha256")
     if policy == "error" and not bad.isEmpty():
         raise ValueError("equal content has conflicting labels")

@@ -89,7 +89,11 @@ def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def split(manifest: DataFrame, fraction: float = 0.2, seed: int = 42, policy: str = "exclude", expected: int | None = None) -> DataFrame:
-    """Quarantine of conflicts, families, assignment."""
+    """Quarantine of conflicts, families, assignment.
+
+    With policy `keep` content in conflict stays: it links the families of its labels, and each label's rows are assigned
+    on their own, so the two can be on two sides.
+    """
     kept = audit.quarantine(manifest, policy)
     audit.check_classes(manifest, kept, expected)
     return assign(families(kept), fraction, seed)
@@ -128,8 +132,8 @@ def identity(assigned: DataFrame) -> DataFrame:
 
 
 def metadata(source: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One row of the split's accounts."""
-    conflicts = audit.conflict_groups(source).agg(F.count("*").alias("excluded_conflicting_hashes"), F.coalesce(F.sum("members"), F.lit(0)).alias("excluded_conflicting_images"))
+    """One row of the split's accounts; excluded is content in conflict that is not in the split."""
+    conflicts = audit.conflict_groups(source).join(assigned.select("sha256"), "sha256", "left_anti").agg(F.count("*").alias("excluded_conflicting_hashes"), F.coalesce(F.sum("members"), F.lit(0)).alias("excluded_conflicting_images"))
     counts = assigned.agg(
         F.count_if(F.col("split") == "train").alias("train_images"),
         F.count_if(F.col("split") == "validation").alias("val_images"),
