@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,40 +54,44 @@ def job_coverage(allocation: DataFrame, total: int = 41) -> DataFrame:
     return g.withColumn("ok", F.expr(f"n = {total} and distinct_jobs = {total} and lo = 1 and hi = {total}"))
 
 
-def read_in_order(boxes: pd.DataFrame) -> pd.DataFrame:
-    """Boxes (x1, y1, x2, y2) with `line` and `position` in reading order.
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (first, cy, near, ...) with `line`, from 0 on each page, from rows page by page by centre.
 
-    By centre from the top, a box joins the first line whose mean centre is within 0.6 x the mean height.
+    A line that a centre is too far below is below all later ones too, so the last line alone is open, and a sum and a
+    count are all that is held of a page, however many boxes it has.
     """
-    b = boxes.assign(cy=(boxes["y1"] + boxes["y2"]) / 2).sort_values(["cy", "x1"], kind="stable")
-    tolerance = (b["y2"] - b["y1"]).clip(lower=1.0).mean() * 0.6
-    lines: list[list] = []  # [sum, count, rows]
-    for row, cy in zip(b.index, b["cy"], strict=True):
-        for line in lines:
-            if abs(cy - line[0] / line[1]) <= tolerance:
-                break
-        else:
-            lines.append(line := [0.0, 0, []])
-        line[0] += cy
-        line[1] += 1
-        line[2].append(row)
-    lines.sort(key=lambda x: x[0] / x[1])
-    place = [(row, i, b.at[row, "x1"]) for i, line in enumerate(lines) for row in line[2]]
-    place.sort(key=lambda t: (t[1], t[2]))
-    order = pd.DataFrame({"line": [i for _, i, _ in place], "position": range(len(place))}, index=[r for r, _, _ in place])
-    return boxes.join(order)
+    line, total, count = 0, 0.0, 0
+    for batch in batches:
+        out = []
+        for first, cy, near in zip(*(batch.column(c).to_pylist() for c in ("first", "cy", "near")), strict=True):
+            if first:
+                line, total, count = 0, cy, 1
+            elif abs(cy - total / count) <= near:
+                total, count = total + cy, count + 1
+            else:
+                line, total, count = line + 1, cy, 1
+            out.append(line)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "line"])
 
 
 def reading_order(boxes: DataFrame, page: str = "page") -> DataFrame:
-    """boxes (page, box_id, x1, y1, x2, y2) with line and position; a page's boxes are one group, as large as a page."""
-    schema = f"{page} {dict(boxes.dtypes)[page]}, box_id {dict(boxes.dtypes)['box_id']}, x1 double, y1 double, x2 double, y2 double, line int, position int"
-    columns = [page, "box_id", "x1", "y1", "x2", "y2"]
-
-    def of(b: pd.DataFrame) -> pd.DataFrame:
-        out = read_in_order(b.sort_values("box_id").reset_index(drop=True)[columns])
-        return out.astype({"line": "int32", "position": "int32"})
+    """boxes (page, box_id, x1, y1, x2, y2) with line and position in reading order.
 
-    return boxes.select(page, "box_id", *[F.col(c).cast("double").alias(c) for c in columns[2:]]).groupBy(page).applyInPandas(of, schema)
+    By centre from the top, a box joins the first line whose mean centre is within 0.6 x the mean height. Pages are
+    dealt out and sorted by Spark, and their boxes pass in batches.
+    """
+    columns = ["x1", "y1", "x2", "y2"]
+    b = boxes.select(F.col(page).alias("page"), "box_id", *[F.col(c).cast("double").alias(c) for c in columns]).repartition("page")
+    b = b.withColumn("cy", F.coalesce((F.col("y1") + F.col("y2")) / 2, F.lit(float("nan"))))  # unknown centres are last, each a line
+    height = F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))
+    order = [F.asc_nulls_last(c) for c in ("cy", "x1", "box_id")]
+    b = b.withColumn("near", F.avg(height).over(Window.partitionBy("page")) * 0.6)
+    b = b.withColumn("first", F.row_number().over(Window.partitionBy("page").orderBy(*order)) == 1)
+    b = b.sortWithinPartitions("page", *order)
+    kind = ", ".join(f"{c} {t}" for c, t in b.dtypes)
+    b = b.mapInArrow(_lines, f"{kind}, line int")
+    place = Window.partitionBy("page").orderBy("line", F.asc_nulls_last("x1"), *order[::2])
+    return b.select(F.col("page").alias(page), "box_id", *columns, "line", (F.row_number().over(place) - 1).alias("position"))
 
 
 def zipped(df: DataFrame, boxes: str, scores: str) -> DataFrame:

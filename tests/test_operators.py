@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import zipfile
 
 import numpy as np
@@ -117,6 +118,33 @@ def test_reading_order(spark):
     assert [r.box_id for r in sequence.reading_order(b).orderBy("position").collect()] == [1, 0, 2]
 
 
+def test_reading_order_against_plain_loops(spark):
+    """Of many pages and a large one, of null pages and centres, in batches smaller than a page; no page is held as a group."""
+    r = random.Random(3)
+    boxes = [(p, i, float(r.randint(0, 60)), y := float(r.randint(0, 300)), 0.0, y + r.randint(0, 30)) for p in [None, *range(40)] for i in range(700 if p == 7 else r.randint(1, 30))]
+    boxes[0:0] = [(8, 1000, 5.0, None, 9.0, 3.0), (8, 1001, 4.0, None, 9.0, 3.0)]
+    want = {}
+    for page in {b[0] for b in boxes}:
+        rows = sorted((b[3] is None, ((b[3] or 0.0) + b[5]) / 2, b[2], b[1], max(1.0, b[5] - b[3]) if b[3] is not None else 1.0) for b in boxes if b[0] == page)
+        near, lines = sum(x[4] for x in rows) / len(rows) * 0.6, []
+        for lost, cy, x1, i, _ in rows:
+            line = None if lost else next((n for n in lines if not n[0] and abs(cy - n[1] / n[2]) <= near), None)
+            if line is None:
+                lines.append(line := [lost, 0.0, 0, []])
+            line[1:3] = line[1] + cy, line[2] + 1
+            line[3].append((x1, cy, i))
+        place = [(k, i) for k, line in enumerate(lines) for *_, i in sorted(line[3])]
+        want |= {(page, i): (k, n) for n, (k, i) in enumerate(place)}
+    df = spark.createDataFrame(boxes, "page int, box_id int, x1 double, y1 double, x2 double, y2 double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sequence.reading_order(df)
+        assert {(x.page, x.box_id): (x.line, x.position) for x in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_kernels():
     assert np.allclose(kernels.homography([(0, 0), (640, 0), (640, 480), (0, 480)], 320, 240), [2, 0, 0, 0, 2, 0, 0, 0])
     with pytest.raises(ValueError):
