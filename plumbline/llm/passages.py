@@ -39,12 +39,13 @@ SHARED = int(np.ceil(2 * SPAN * SIMILAR / (1 + SIMILAR)))
 BLOCK = 4096
 #: Passages that are compared, or written, in one step.
 STEP = 20_000
-#: Bytes of text that are hashed in one step.
-STRETCH = 1 << 20
+#: Bytes of text that are looked at in one step, and whose words are hashed in one step.
+STRETCH, PIECE = 1 << 20, 1 << 16
 _GAP = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _NUMBERS = np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
 _BASE = np.uint64(xxhash.xxh64_intdigest(b"base") | 5)
-_POWERS = np.concatenate(([np.uint64(1)], np.cumprod(np.full((1 << 12) - 1, _BASE, np.uint64))))
+_POWERS = np.concatenate(([np.uint64(1)], np.cumprod(np.full(PIECE - 1, _BASE, np.uint64))))
+_INVERSE = np.concatenate(([np.uint64(1)], np.cumprod(np.full(PIECE - 1, pow(int(_BASE), -1, 1 << 64), np.uint64))))
 _PLACES = np.uint64((1 << 30) - 1)
 
 
@@ -54,10 +55,16 @@ def tokens(text: str | None) -> tuple[np.ndarray, int]:
     return (_chained(words, SHINGLE) if len(words) >= SHINGLE else words[:0]), len(words)
 
 
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(the hashes of tokens() of all texts in a row, how many each text has)."""
-    raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
-    words, counts = [], []
+    found, counts = _tokens_of(texts)
+    return found, np.maximum(counts - (SHINGLE - 1), 0)
+
+
+def _tokens_of(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(the hashes of tokens() of all texts in a row, how many words each text has); bytes are UTF-8."""
+    raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     at = 0
     while at < len(raw):  # many short texts at a time, as each step has a cost of its own
         end, size = at, 0
@@ -65,54 +72,52 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             size += len(raw[end]) + 1
             end += 1
         ends = np.cumsum([len(x) + 1 for x in raw[at:end]])
-        hashes, starts = _words(b" ".join(raw[at:end]), places=True)
-        words.append(hashes)
-        counts.append(np.bincount(np.searchsorted(ends, starts, "right"), minlength=end - at))
+        words, starts = _words(b" ".join(raw[at:end]).lower(), places=True)
+        n = np.diff(np.searchsorted(starts, ends), prepend=0)
+        counts.append(n)
+        if len(words) >= SHINGLE:
+            size = np.maximum(n - (SHINGLE - 1), 0)
+            found.append(_chained(words, SHINGLE)[np.repeat(np.cumsum(n) - n - np.cumsum(size) + size, size) + np.arange(size.sum())])
         at = end
-    every = np.concatenate([np.zeros(0, np.uint64), *words])
-    counts = np.concatenate([np.zeros(0, np.int64), *counts])
-    sizes = np.maximum(counts - (SHINGLE - 1), 0)
-    if len(every) < SHINGLE:
-        return every[:0], sizes
-    first = np.cumsum(counts) - counts
-    return _chained(every, SHINGLE)[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def _words(text: bytes, places: bool = False):
     """A hash of each word of a text, and where the words start: a sum of a number for each byte times a power for its place
-    in the word, in 64 bits, mixed with the length."""
+    in the word, in 64 bits, mixed with the length. Sums of all words come from the running sum of a piece of text."""
     code = np.frombuffer(text, np.uint8)
-    gap = _GAP[code]
-    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1]))) if len(code) else np.zeros(0, np.int64)
+    word = ~_GAP[code]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False)) if len(code) else np.zeros(0, np.int64)
+    starts, stops = edges[::2], edges[1::2]
     if not len(starts):
         return (np.zeros(0, np.uint64), starts) if places else np.zeros(0, np.uint64)
-    sizes = np.flatnonzero(~gap & np.concatenate((gap[1:], [True]))) + 1 - starts
+    sizes = stops - starts
     out = np.empty(len(starts), np.uint64)
-    longest = min(int(sizes.max()), STRETCH)
-    power = _POWERS if longest <= len(_POWERS) else np.concatenate(([np.uint64(1)], np.cumprod(np.full(longest - 1, _BASE, np.uint64))))
-    bounds = [0]
-    while bounds[-1] < len(starts):  # stretches of whole words
-        at = bounds[-1]
-        bounds.append(max(at + 1, int(np.searchsorted(starts + sizes, starts[at] + STRETCH, "right"))))
-    for a, b in zip(bounds, bounds[1:]):
-        if sizes[a] > STRETCH:
-            out[a] = _long_word(code[starts[a] : starts[a] + sizes[a]], power)
-            continue
-        n, flat = sizes[a:b], np.cumsum(sizes[a:b]) - sizes[a:b]
-        place = np.arange(int(n.sum())) - np.repeat(flat, n)
-        out[a:b] = np.add.reduceat(_NUMBERS[code[np.repeat(starts[a:b], n) + place]] * power[place], flat)
+    total = np.zeros(PIECE + 1, np.uint64)
+    a = 0
+    while a < len(starts):  # pieces of whole words
+        b = max(a + 1, int(np.searchsorted(stops, starts[a] + PIECE, "right")))
+        if sizes[a] > PIECE:
+            out[a] = _long_word(code[starts[a] : stops[a]])
+        else:
+            piece = _NUMBERS[code[starts[a] : stops[b - 1]]]
+            piece *= _POWERS[: len(piece)]
+            np.cumsum(piece, out=total[1 : len(piece) + 1])
+            first = starts[a:b] - starts[a]
+            out[a:b] = (total[stops[a:b] - starts[a]] - total[first]) * _INVERSE[first]
+        a = b
     out ^= sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
     return (out, starts) if places else out
 
 
-def _long_word(code: np.ndarray, power: np.ndarray) -> int:
-    """The sum of a word of over STRETCH bytes, stretch by stretch."""
+def _long_word(code: np.ndarray) -> int:
+    """The sum of a word of over PIECE bytes, piece by piece."""
     total = 0
-    for at in range(0, len(code), STRETCH):
-        part = code[at : at + STRETCH]
-        total += int((_NUMBERS[part] * power[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    for at in range(0, len(code), PIECE):
+        part = code[at : at + PIECE]
+        total += int((_NUMBERS[part] * _POWERS[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
     return total % (1 << 64)
 
 
@@ -120,11 +125,45 @@ def _chained(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive values."""
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
-        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= h[i : i + len(out)]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive values, put together from hashes of runs of half the length."""
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = a * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+        out += b
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+        return out
+
+    width = 1
+    while width * 2 <= n:
+        h, width = pair(h[:-width], h[width:]), width * 2
+    return pair(h[: len(h) - n + width], h[n - width :]) if width < n else h
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(begin, end) of stretches of a column of texts, of STRETCH bytes at most where a text is no longer than that."""
+    if not len(texts):
+        return
+    size = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int32 if texts.type in (pa.string(), pa.binary()) else np.int64)[texts.offset : texts.offset + len(texts) + 1]).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + STRETCH, "right")))
+        yield at, end
+        at = end
+
+
+def _raw(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.binary() if texts.type in (pa.string(), pa.binary()) else pa.large_binary()).to_pylist()
+
+
 def _mixed(t: np.ndarray, seed: int) -> np.ndarray:
     t = (t ^ np.uint64(seed * 0x5851F42D4C957F2D + 0x14057B7EF767814F & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
     return t ^ t >> np.uint64(31)
@@ -137,54 +176,75 @@ def compact_windows(hashes: np.ndarray, span: int = SPAN, ends: np.ndarray | Non
     the Cartesian tree with `span` hashes or more below, are the sliding minima. l and r come from the tree of the
     centres alone, as the nearest smaller hash on either side of a centre is a centre too.
     """
+    ends = np.array([len(hashes)]) if ends is None else ends
+    return [tuple(x) for x in _windows(hashes, span, ends, _inside(span, ends)).tolist()]
+
+
+def _inside(span: int, ends: np.ndarray) -> np.ndarray:
+    """Whether the runs of `span` values that begin at each place lie in one document."""
+    sizes = np.diff(ends, prepend=0)
+    good = np.ones(int(ends[-1]), bool)
+    for k in range(1, span):
+        good[(ends - k)[sizes >= k]] = False
+    return good[: max(len(good) - span + 1, 0)]
+
+
+def _windows(hashes: np.ndarray, span: int, ends: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """compact_windows() as rows of an array, by c."""
     n = len(hashes)
-    if n < span:
-        return []
-    ends = np.array([n]) if ends is None else ends
     # hashes are compared by their upper 34 bits, then by place, wherever they stand
-    low, width = hashes & ~_PLACES | np.arange(n, dtype=np.uint64), 1
-    while width * 2 <= span:
+    low, width = hashes & ~_PLACES, 1
+    low |= np.arange(n, dtype=np.uint64)
+    while width * 2 <= span and width < n:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < span:
-        low = np.minimum(low[: n - span + 1], low[span - width :])
-    starts = np.concatenate(([0], ends[:-1]))
-    document = np.searchsorted(ends, np.arange(n - span + 1), "right")
-    low = low[np.arange(n - span + 1) + span <= ends[document]]
-    low = low[np.concatenate(([True], low[1:] != low[:-1]))] if len(low) else low
-    centres = (low & _PLACES).astype(np.int64)
-    of = np.searchsorted(ends, centres, "right")
-    out, stack = [], []
-    first, last, where = 0, -1, -1
-    for c, h, d in zip(centres.tolist(), low.tolist(), of.tolist(), strict=True):
-        if d != where:
-            out += [(left, x, last) for left, x, _ in stack]
-            first, last, where, stack = int(starts[d]), int(ends[d]) - 1, d, []
-        while stack and stack[-1][2] > h:
-            left, x, _ = stack.pop()
-            out.append((left, x, c - 1))
-        stack.append((stack[-1][1] + 1 if stack else first, c, h))
-    out += [(left, x, last) for left, x, _ in stack]
-    return out
+        low = np.minimum(low[: max(n - span + 1, 0)], low[span - width :])
+    low = low[inside]
+    if not len(low):
+        return np.zeros((0, 3), np.int64)
+    low = low[np.concatenate(([True], low[1:] != low[:-1]))]
+    c = (low & _PLACES).astype(np.int64)
+    of, m = np.searchsorted(ends, c, "right"), len(low)
+    first = np.concatenate(([True], of[1:] != of[:-1]))
+    before, after = np.arange(-1, m - 1), np.arange(1, m + 1)  # places of the next smaller hash on either side, m where there is none
+    before[first], after[np.concatenate((first[1:], [True]))] = m, m
+    low = np.concatenate((low, [np.uint64(0)]))
+    for at in (before, after):
+        some = np.flatnonzero(low[at] > low[:-1])
+        while len(some):  # who is larger says where to look on
+            at[some] = at[at[some]]
+            some = some[low[at[some]] > low[some]]
+    place = np.concatenate((c, [0]))
+    left = np.where(before == m, np.concatenate(([0], ends))[of], place[before] + 1)
+    right = np.where(after == m, ends[of] - 1, place[after] - 1)
+    return np.stack((left, c, right), 1)
+
+
+def signatures(texts: list[str | bytes | None]) -> tuple[np.ndarray, ...]:
+    """(row, f, key, l, c, r) arrays: the compact windows of each text for each hash function f; key is the signature."""
+    return _signatures(texts)[0]
 
 
-def signatures(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """(row, f, key, l, c, r) arrays: the compact windows of each text for each hash function f; key is the signature."""
-    every, sizes = tokens_of(texts)
+def _signatures(texts: list[str | bytes | None]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(signatures(), the number of words of each text)."""
+    every, counts = _tokens_of(texts)
+    sizes = np.maximum(counts - (SHINGLE - 1), 0)
     rows = np.flatnonzero(sizes >= SPAN)
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     if len(rows):
         every, ends = every[np.repeat(sizes >= SPAN, sizes)], np.cumsum(sizes[rows])
+        starts, inside = np.concatenate(([0], ends)), _inside(SPAN, ends)
         for f in range(HASHES):
             h = _mixed(every, f)
-            x = np.array(compact_windows(h, SPAN, ends), np.int64)
+            x = _windows(h, SPAN, ends, inside)
             d = np.searchsorted(ends, x[:, 1], "right")
-            at = x - np.concatenate(([0], ends))[d][:, None]
+            at = x - starts[d][:, None]
             for c, v in zip(columns, (rows[d], np.full(len(x), f), h[x[:, 1]] ^ np.uint64(f), *at.T), strict=True):
                 c.append(v)
     out = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
     out[2] = out[2].astype(np.uint64).view(np.int64)
-    return tuple(out)
+    return tuple(out), counts
 
 
 def held_by(f: np.ndarray, key: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray, base: np.ndarray | int, n: int) -> tuple[np.ndarray, ...]:
@@ -192,9 +252,7 @@ def held_by(f: np.ndarray, key: np.ndarray, left: np.ndarray, c: np.ndarray, rig
     windows of two functions that hold the passages from i to j a key of both signatures, and how far on from i the
     first's centre is. Windows may be of several documents whose passages are numbered from `base` of each window."""
     lo, hi = base + np.maximum(left, c - SPAN + 1), base + np.minimum(c, right - SPAN + 1)
-    count = np.zeros(n + 1, np.int64)
-    np.add.at(count, lo, 1)
-    np.add.at(count, hi + 1, -1)
+    count = np.bincount(lo, minlength=n + 1) - np.bincount(hi + 1, minlength=n + 1)
     by = [at[np.argsort(lo[at], kind="stable")] for at in (np.flatnonzero(f == g) for g in range(HASHES))]
     mixed, out = key.view(np.uint64), []
     for a, b in combinations(by, 2):  # the windows of one function hold a passage once
@@ -224,25 +282,37 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (th, text, windows): `runs`, hashes of the passages that lie in a shared window of every function, as only
     these can stand in another text as they are, and `items`, what held_by() gives but for those of which all passages
     stand earlier in the same text, as in a word said a thousand times."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        found, sizes = tokens_of(batch.column("text").to_pylist())
-        start, base = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(sizes - SPAN + 1)))
-        row, (f, key, left, c, right) = _of_lists(batch.column("windows"))
-        count, pair, i, j, o = held_by(f, key, *(x.astype(np.int64) for x in (left, c, right)), base[row], int(base[-1]))
-        at, doc = np.flatnonzero(count == HASHES), np.searchsorted(base, i, "right") - 1
-        every = np.repeat(np.arange(len(batch)), sizes - SPAN + 1)
-        run = _chained(found, SPAN)[start[every] + np.arange(base[-1]) - base[every]]
-        new = np.zeros(len(run), np.int64)
-        new[np.unique(run ^ every.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]] = 1
-        new = np.concatenate(([0], np.cumsum(new)))
-        some = new[j + 1] > new[i]
-        doc, pair, i, j, o = (x[some] for x in (doc, pair, i, j, o))
-        of, run = every[at], run[at].view(np.int64)
-        short = lambda x, d: (x - base[d]).astype(np.int32)
-        lists = _lists(of, len(batch), h=run, i=short(at, of)), _lists(doc, len(batch), key=pair, i=short(i, doc), j=short(j, doc), o=o.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("th"), *lists], ["th", "runs", "items"])
+    for whole in batches:
+        for begin, end in _parts(whole.column("text")):
+            batch = whole.slice(begin, end - begin)
+            found, sizes = tokens_of(_raw(batch.column("text")))
+            start, base = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(sizes - SPAN + 1)))
+            row, (key, lr, cf) = _of_lists(batch.column("windows"))
+            count, pair, i, j, o = held_by(cf & 3, key, lr >> 32, cf >> 2, lr & (1 << 32) - 1, base[row], int(base[-1]))
+            at, doc = np.flatnonzero(count == HASHES), np.searchsorted(base, i, "right") - 1
+            every = np.repeat(np.arange(len(batch)), sizes - SPAN + 1)
+            run = _runs(found, SPAN)[start[every] + np.arange(base[-1]) - base[every]]
+            new = np.concatenate(([0], np.cumsum(_first(run ^ every.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))))
+            some = new[j + 1] > new[i]
+            doc, pair, i, j, o = (x[some] for x in (doc, pair, i, j, o))
+            of, run = every[at], run[at].view(np.int64)
+            short = lambda x, d: (x - base[d]).astype(np.int32)
+            lists = _lists(of, len(batch), h=run, i=short(at, of)), _lists(doc, len(batch), key=pair, i=short(i, doc), j=short(j, doc), o=o.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("th"), *lists], ["th", "runs", "items"])
+
+
+def _first(values: np.ndarray) -> np.ndarray:
+    """Whether each of the values is the first of its kind."""
+    n = len(values)
+    bits = max(n, 1).bit_length() + 2
+    slot = (values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    least = np.full(1 << bits, n, np.int32)
+    least[slot[::-1]] = np.arange(n - 1, -1, -1, dtype=np.int32)  # the last one written stays
+    of = least[slot]
+    out = of == np.arange(n)
+    rest = np.flatnonzero(values[of] != values) if n else of  # who shares a slot with another value
+    out[rest[np.unique(values[rest], return_index=True)[1]]] = True
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])))
@@ -259,23 +329,23 @@ def _merged(starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (th, text, items): a row (key, blocks, th, i, o, n, tokens) an item, with the upper halves of the n passages' tokens."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        found, sizes = tokens_of(batch.column("text").to_pylist())
-        start = np.concatenate(([0], np.cumsum(sizes)))
-        t = (found >> np.uint64(32)).astype(np.uint32)
-        row, (key, blocks, i, j, o) = _of_lists(batch.column("items"))
-        th = batch.column("th").to_numpy()
-        for x in range(0, len(row), STEP):
-            x = slice(x, x + STEP)
-            size = (j[x] - i[x]).astype(np.int64) + SPAN
-            ends = np.cumsum(size)
-            flat = t[np.repeat(start[row[x]] + i[x] - ends + size, size) + np.arange(ends[-1])]
-            bounds = np.concatenate(([0], ends * 4)).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.tobytes())])
-            columns = [pa.array(v) for v in (key[x], blocks[x], th[row[x]], i[x], o[x], (size - SPAN + 1).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, raw], ["key", "blocks", "th", "i", "o", "n", "tokens"])
+    for whole in batches:
+        for begin, end in _parts(whole.column("text")):
+            batch = whole.slice(begin, end - begin)
+            found, sizes = tokens_of(_raw(batch.column("text")))
+            start = np.concatenate(([0], np.cumsum(sizes)))
+            t = (found >> np.uint64(32)).astype(np.uint32)
+            row, (key, blocks, i, j, o) = _of_lists(batch.column("items"))
+            th = batch.column("th").to_numpy()
+            for x in range(0, len(row), STEP):
+                x = slice(x, x + STEP)
+                size = (j[x] - i[x]).astype(np.int64) + SPAN
+                ends = np.cumsum(size)
+                flat = t[np.repeat(start[row[x]] + i[x] - ends + size, size) + np.arange(ends[-1])]
+                bounds = np.concatenate(([0], ends * 4)).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.tobytes())])
+                columns = [pa.array(v) for v in (key[x], blocks[x], th[row[x]], i[x], o[x], (size - SPAN + 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, raw], ["key", "blocks", "th", "i", "o", "n", "tokens"])
 
 
 class _Items:
@@ -350,13 +420,13 @@ class _Items:
             there = (place[begin[k][:, None] + window] - in_a[k][:, None].astype(np.int32)).view(np.uint32)  # negative ones are large
             good[k] = (there < SPAN).sum(1) >= SHARED
         rest = np.flatnonzero(twice)
-        if len(rest):  # sets of tokens, by row
-            row = (np.arange(len(rest), dtype=np.uint64) << np.uint64(32))[:, None]
-            p = np.unique(row | self.t[(self.at[a[x[rest]]] + in_a[rest])[:, None] + window])
-            q = np.unique(row | self.t[(self.at[others[x[rest]]] + self.o[others[x[rest]]] - step[rest])[:, None] + window])
-            count = lambda v: np.bincount((v >> np.uint64(32)).astype(np.int64), minlength=len(rest))
-            both = count(np.intersect1d(p, q, assume_unique=True))
-            good[rest] = both >= SIMILAR * (count(p) + count(q) - both)
+        distinct = lambda v: 1 + (np.diff(np.sort(v, 1)) != 0).sum(1)
+        for k in range(0, len(rest), STEP):  # sets of tokens, by row
+            k = rest[k : k + STEP]
+            p = self.t[(self.at[a[x[k]]] + in_a[k])[:, None] + window]
+            q = self.t[(self.at[others[x[k]]] + self.o[others[x[k]]] - step[k])[:, None] + window]
+            either = distinct(np.concatenate((p, q), 1))
+            good[k] = distinct(p) + distinct(q) - either >= SIMILAR * either
         x, step = x[good], step[good]
         if not len(x):
             return x, x, x
@@ -454,20 +524,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, f, key, *at = signatures(batch.column("text").to_pylist())
-            th = batch.column("th").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (th, key, f.astype(np.int8), *(v.astype(np.int32) for v in at))], ["th", "key", "f", "l", "c", "r"])
-
-    every = Stored(rows.select("th", "text").mapInArrow(windows, "th long, key long, f byte, l int, c int, r int"))
-    shared = every.df.join(_in_two(every.df).select("key"), "key").groupBy("th").agg(F.collect_set(F.struct("f", "key", "l", "c", "r")).alias("windows"))
-    functions = F.size(F.array_distinct(F.transform("windows", lambda w: w["f"])))
+        for whole in batches:
+            for begin, end in _parts(whole.column("text")):
+                batch = whole.slice(begin, end - begin)
+                (row, f, key, left, c, right), n = _signatures(_raw(batch.column("text")))
+                th = batch.column("th").to_numpy()
+                for columns in ((th[row], key, left << 32 | right, c << 2 | f), (th, n, np.full(len(th), -1), np.full(len(th), -1))):
+                    yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in columns], ["th", "key", "lr", "cf"])
+
+    # l and r, c and f are one number each, as all windows are shuffled; a text's number of words is a row where they are -1
+    every = Stored(rows.select("th", "text").mapInArrow(windows, "th long, key long, lr long, cf long"))
+    texts = cut(rows.select("doc_id", "th"))
+    counts = every.df.where("cf < 0").groupBy("th").agg(F.max("key").alias("n_words"))
+    nodes = cut(texts.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).join(counts, "th"))
+    found = every.df.where("cf >= 0")
+    shared = found.join(_in_two(found).select("key"), "key").groupBy("th").agg(F.collect_set(F.struct("key", "lr", "cf")).alias("windows"))
+    functions = F.size(F.array_distinct(F.transform("windows", lambda w: w["cf"].bitwiseAND(F.lit(3)))))
     shared = Stored(shared.where(functions > 1))
     every.drop()
 
-    texts = cut(rows.select("doc_id", "th", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")))
-    nodes = cut(texts.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_words").alias("n_words")))
-
     def source(wanted: DataFrame) -> DataFrame:
         """(th, text), a row for each text of wanted; rows that repeat one id may give it twice, to the same result."""
         wanted = small_side(cut(wanted.select("th").join(nodes.select("th", "rep"), "th")))
@@ -513,13 +588,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     listed = F.coalesce("xs", F.array().cast("array<struct<s:int,e:int>>"))
     label = label.select(
         "th",
+        "words",
         F.size(listed).cast("long").alias("n_passages"),
         F.aggregate(listed, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]).alias("n_repeated_words"),
         F.array_join(F.transform(listed, lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",").alias("spans"),
         F.when((F.col("n") > 1) & (F.col("words") >= PASSAGE) | F.col("least").isNotNull(), F.coalesce("least", "rep")).alias("group"),
     )
     out = texts.join(label, "th")
-    return out.select("doc_id", "n_words", "n_passages", "n_repeated_words", "spans", F.coalesce("group", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("words").alias("n_words"), "n_passages", "n_repeated_words", "spans", F.coalesce("group", "doc_id").alias("component_id"))
 
 
 def op6_passages(spark, sf_dir: str) -> DataFrame:
