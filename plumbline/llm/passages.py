@@ -360,28 +360,45 @@ class _Items:
         self.twice = np.zeros(len(n), bool)
         bit = np.uint64(1) << (self.t & np.uint32(63)).astype(np.uint64)
         self.bits = np.stack([np.bitwise_or.reduceat(np.where((self.t >> np.uint32(6)) & np.uint32(3) == k, bit, np.uint64(0)), self.at[:-1]) for k in range(4)], 1)
-        self.slack = self.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        self.slack = np.zeros(len(n), np.int64)
+        self.least = np.full(len(n), SPAN)
 
     def can_be(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether items a and b can share SHARED tokens, by a set of 256 bits of each; those that differ in so many bits can't."""
+        """Whether items a and b can share the tokens that similar passages do, by a set of 256 bits of each; those that
+        differ in so many bits can't. Passages of p and q distinct tokens share SIMILAR / (1 + SIMILAR) of p + q."""
         both = np.bitwise_count(self.bits[a] & self.bits[b]).sum(1, dtype=np.int64)
-        return (both + self.slack[a] >= SHARED) | self.twice[a] | self.twice[b]
+        return (1 + SIMILAR) * (both + self.slack[a]) >= SIMILAR * (self.least[a] + self.least[b]) - 1e-6
 
     def live(self) -> np.ndarray:
-        """Items with a passage of which SHARED places hold a token that another item of the group has too, or one twice."""
+        """Items with a passage of which SHARED places hold a token that another item of the group has too, or, where it holds
+        one twice, SIMILAR of its distinct tokens. Notes which items hold a token twice, the `least` distinct tokens of a
+        passage of theirs, and the `slack`, distinct tokens that set no bit of their own."""
         item = np.repeat(np.arange(len(self.n)), self.size)
         value = self.group[item].astype(np.uint64) << np.uint64(32) | self.t
         order = np.argsort(value, kind="stable")
         v, x = value[order], item[order]
         same = v[1:] == v[:-1]
-        self.twice[x[1:][same & (x[1:] == x[:-1])]] = True
+        again = np.flatnonzero(same & (x[1:] == x[:-1]))
+        self.twice[x[again]] = True
+        self.slack = self.size - np.bincount(x[again], minlength=len(self.n)) - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
         often = np.zeros(len(v), bool)
         often[order[1:]] |= same
         often[order[:-1]] |= same
         total = np.concatenate(([0], np.cumsum(often)))
+        of = np.repeat(np.arange(len(self.n)), self.n)
         begin = np.repeat(self.at[:-1] - np.cumsum(self.n) + self.n, self.n) + np.arange(self.n.sum())
-        enough = total[begin + SPAN] - total[begin] >= SHARED
-        return self.twice | (np.bincount(np.repeat(np.arange(len(self.n)), self.n), enough, len(self.n)) > 0)
+        need = np.full(len(begin), float(SHARED))
+        if len(again):  # where a token stood before in its item; one that did within the passage is not distinct
+            earlier = np.full(len(v), -1)
+            earlier[order[again + 1]] = order[again]
+            rest = np.flatnonzero(self.twice[of])
+            for k in range(0, len(rest), STEP):
+                k = rest[k : k + STEP]
+                p = SPAN - (earlier[begin[k][:, None] + np.arange(SPAN)] >= begin[k][:, None]).sum(1)
+                np.minimum.at(self.least, of[k], p)
+                need[k] = SIMILAR * p - 1e-6
+        enough = total[begin + SPAN] - total[begin] >= need
+        return np.bincount(of, enough, len(self.n)) > 0
 
     def _flat(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the items' tokens, where each item's start among these)."""

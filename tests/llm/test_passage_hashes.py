@@ -51,3 +51,20 @@ def test_result_counts_words_without_a_regular_expression(spark):
     texts = [None, "", "  a\x0bb\x0cc\r\nd ", "one", "w " * 60, "w " * 60]
     out = p.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {x.doc_id: x.n_words for x in out.collect()} == {0: 0, 1: 0, 2: 4, 3: 1, 4: 60, 5: 60}
+
+
+def test_passages_of_few_distinct_tokens_are_compared_only_where_they_can_be_similar(monkeypatch):
+    """Items of texts that say few words again and again share a key and nothing else; those that are similar are linked all the same."""
+    r = np.random.default_rng(4)
+    rows = [r.choice(r.integers(0, 1 << 32, 12), p.SPAN) for _ in range(200)]
+    rows += [np.where(np.arange(p.SPAN) == k, 7, rows[k]) for k in range(0, 40, 4)]  # one token of 46 is another
+    tokens = np.array(rows, np.uint32)
+    n = len(tokens)
+    items = p._Items(np.zeros(n, int), np.arange(n), np.zeros(n, int), np.full(n, 5), np.ones(n, int), [t.tobytes() for t in tokens])
+    compared, near = [], p._Items.near
+    monkeypatch.setattr(p._Items, "near", lambda self, a, of, b: (compared.append(len(b)), near(self, a, of, b))[1])
+    got = {(int(a), int(b)) for a, b, *_ in items.links()}
+    sets = [set(t.tolist()) for t in tokens]
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if len(sets[a] & sets[b]) >= p.SIMILAR * len(sets[a] | sets[b])}
+    assert len(want) >= 10 and {tuple(sorted(x)) for x in got} == want
+    assert sum(compared) <= 20 * len(want)  # all 22,000 before
